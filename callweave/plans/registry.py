@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from .capture import QUERIES as CAPTURE
+from .delivery import QUERIES as DELIVERY
+from .speakers import QUERIES as SPEAKERS
+
+QUERIES = {**SPEAKERS, **DELIVERY, **CAPTURE}
