@@ -208,20 +208,26 @@ def _lexicon(counts: list, clean: int, toxic: int, min_support: int, min_odds: f
         if t >= min_support and odds >= min_odds:
             (stems if kind else words)[term] = odds
     # a word or a longer stem adds nothing where a shorter stem is as good
-    under = lambda term, n: any(stems.get(term[:k], -1) >= odds - 0.5 for k in STEMS if k < n for odds in ((stems if n <= 6 and term in stems else words).get(term, 0),))
-    keep_stems = {s: w for s, w in stems.items() if not under(s, len(s))}
-    keep_words = {w: o for w, o in words.items() if not any(keep_stems.get(w[:k], -1) >= o - 0.5 for k in STEMS)}
+    covered = lambda term, odds: any(stems.get(term[:k], -1.0) >= odds - 0.5 for k in STEMS if k < len(term))
+    often = {term for kind, term, t, _ in counts if not kind and t >= max(min_support, 0.01 * toxic)}
+    keep_stems = {s: w for s, w in stems.items() if not covered(s, w)}
+    # words of many toxic documents stay all the same: they may be misspelled, stems may not
+    keep_words = {w: o for w, o in words.items() if not covered(w, o) or (w in often and o >= 4)}
     return Lexicon(keep_words, keep_stems)
 
 
+#: Where the weights are drawn to without evidence: misspelled hits speak for abuse, quoted ones against it.
+PRIOR = (0.0, 0.0, 0.0, 0.0, 2.0, -1.0, 0.0)
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method; weights, then the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.array(PRIOR)
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (w - np.array(PRIOR)))
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
