@@ -77,7 +77,7 @@ def communication_matrix(counts: DataFrame, caps: list[int], levels: int, seed:
     ``counts`` has (block, n); the entries of ``caps`` sum to all n.
     """
     spark = counts.sparkSession
-    now = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*(F.lit(c).cast("long") for c in caps)).alias("caps"))
+    now = spark.range(1).select(F.col("id").alias("node"), F.array(*(F.lit(c).cast("long") for c in caps)).alias("caps"))
     draw = _draws(seed)
     for level in range(1, levels + 1):
         half = counts.select(F.shiftright("block", levels - level).alias("child"), "n").groupBy("child").agg(F.sum("n").alias("n"))
