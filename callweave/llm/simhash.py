@@ -14,6 +14,10 @@ yields a spanning forest of its links, never all pairs. Buckets of over ``hot``
 again by blocks of their other bits, by the same rule. Components are found by large-star / small-star
 rounds over a checkpointed edge table.
 
+``near_dedup`` keeps one document of each group. It searches a wider circle (eight bits) and holds each pair
+against a second fingerprint, of 128 bits over runs of five words: twenty differing bits or fewer stand
+for a similarity of 0.8. That test is part of the link, so a spanning forest is enough here too.
+
 Repeated fingerprints count once. Rows with a null id get a component like any other; a component of
 only null ids has a null component id.
 """
@@ -24,7 +28,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,30 +40,39 @@ FAN = 8
 # ---------------------------------------------------------------- fingerprints
 
 
-def _maker(ngram: int):
+def _votes(hashes: list[bytes], size: int) -> bytes:
+    """A bit is set if it is set in over half of the hashes."""
+    rows = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, size)
+    counts = np.zeros(8 * size, np.int64)
+    for i in range(0, len(rows), 1 << 14):
+        counts += np.unpackbits(rows[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(rows)).tobytes()
+
+
+def _runs(words: list[bytes], ngram: int):
+    if len(words) <= ngram:
+        return [b" ".join(words)]
+    return map(b" ".join, zip(*(words[i:] for i in range(ngram)), strict=False))
+
+
+def _maker(ngram: int, wide: int | None = None):
+    """The 64-bit fingerprint; with ``wide`` also the halves of a 128-bit one over runs of so many words."""
+
     def make():
         import xxhash
 
-        digest = xxhash.xxh64_digest
+        short, long = xxhash.xxh64_digest, xxhash.xxh128_digest
 
-        def one(text) -> int:
-            if not text:
-                return 0
-            words = text.encode().lower().split()
-            if not words:
-                return 0
-            if len(words) <= ngram:
-                runs = [b" ".join(words)]
-            else:
-                runs = map(b" ".join, zip(*(words[i:] for i in range(ngram)), strict=False))
-            hashes = np.frombuffer(b"".join([digest(x, 42) for x in runs]), np.uint8).reshape(-1, 8)
-            counts = np.zeros(64, np.int64)
-            for i in range(0, len(hashes), 1 << 14):
-                counts += np.unpackbits(hashes[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-            return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+        def one(text) -> tuple[int, ...]:
+            words = text.encode().lower().split() if text else []
+            bits = _votes([short(x, 42) for x in _runs(words, ngram)], 8) if words else bytes(8)
+            if wide:
+                bits += _votes([long(x, 42) for x in _runs(words, wide)], 16) if words else bytes(16)
+            return tuple(np.frombuffer(bits, ">i8").tolist())
 
         def function(texts):
-            return [pa.array([one(x) for x in texts.to_pylist()], pa.int64())]
+            rows = [one(x) for x in texts.to_pylist()]
+            return [pa.array([r[i] for r in rows], pa.int64()) for i in range(3 if wide else 1)]
 
         return function
 
@@ -118,8 +131,13 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 class GrayTree:
     """The hierarchical index over buckets of fingerprints in Gray order."""
 
-    def __init__(self, bucket: np.ndarray, values: np.ndarray):
-        """``bucket``: non-decreasing numbers; ``values``: uint64 in Gray order within each bucket."""
+    def __init__(self, bucket: np.ndarray, values: np.ndarray, wide: tuple[np.ndarray, ...] = (), wide_bits: int = 0):
+        """``bucket``: non-decreasing numbers; ``values``: uint64 in Gray order within each bucket.
+
+        With ``wide`` (more words of 64 bits for each value) a link also needs ``wide_bits`` or fewer
+        differing bits there.
+        """
+        self.wide, self.wide_bits = wide, wide_bits
         self.bucket, self.values = [bucket], values
         self.all, self.any = [values], [values]
         self.begin: list[np.ndarray] = []
@@ -144,6 +162,14 @@ class GrayTree:
         good = (x < begin[a + 1][:, None]) & (y < begin[b + 1][:, None]) & ((a != b)[:, None] | (x <= y))
         return x[good], y[good]
 
+    def near(self, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+        good = np.bitwise_count(self.values[a] ^ self.values[b]) <= max_bits
+        if self.wide and good.any():
+            at = np.flatnonzero(good)
+            apart = sum(np.bitwise_count(w[a[at]] ^ w[b[at]]).astype(np.int64) for w in self.wide)
+            good[at[apart > self.wide_bits]] = False
+        return good
+
     def forest(self, max_bits: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         """Positions of pairs: a spanning forest of the links at ``max_bits`` or fewer."""
         n, top = len(self.values), len(self.begin)
@@ -159,7 +185,7 @@ class GrayTree:
         # neighbours in Gray order first: they collapse groups of close copies, which prunes most else
         for step in (1, 2):
             a = np.flatnonzero(self.bucket[0][:-step] == self.bucket[0][step:]) if n > step else np.empty(0, np.int64)
-            a = a[np.bitwise_count(self.values[a] ^ self.values[a + step]) <= max_bits]
+            a = a[self.near(a, a + step, max_bits)]
             join(a, a + step)
         roots = np.arange(len(self.bucket[top]))
         stack = [(top, roots, roots)]
@@ -167,7 +193,7 @@ class GrayTree:
             level, a, b = stack.pop()
             if level == 0:
                 a, b = a[a != b], b[a != b]
-                near = np.bitwise_count(self.values[a] ^ self.values[b]) <= max_bits
+                near = self.near(a, b, max_bits)
                 join(a[near], b[near])
                 continue
             if len(a) > chunk:
@@ -184,7 +210,7 @@ class GrayTree:
                 same = (lowest[x] == highest[x]) & (lowest[y] == highest[y]) & (lowest[x] == lowest[y])
                 x, y = x[~same], y[~same]
                 free = np.bitwise_count((self.any[level][x] | self.any[level][y]) & ~(self.all[level][x] & self.all[level][y]))
-                whole = free <= max_bits
+                whole = (free <= max_bits) & (not self.wide)
                 if whole.any():
                     join(*self._star(level, x[whole], y[whole]))
                     x, y = x[~whole], y[~whole]
@@ -222,34 +248,35 @@ class GrayTree:
         return a[a != b], b[a != b]
 
 
-def _bucket_links(max_bits: int, limit: int = 1 << 18):
+def _bucket_links(max_bits: int, wide_bits: int, limit: int = 1 << 18):
+    """Rows (combo, block, value, node, wide ...), buckets together, to edges (a, b) of nodes."""
+
     def run(batches):
         held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                new = [np.asarray(batch.column(i)) for i in range(3)]
+                new = [np.asarray(c) for c in batch.columns]
                 held = new if held is None else [np.concatenate(z) for z in zip(held, new, strict=True)]
                 if len(held[0]) < limit:
                     continue
             if held is None or not len(held[0]):
                 continue
-            combo, block, value = held
+            combo, block = held[:2]
             cut = len(combo)
             if batch is not None:  # the last bucket may go on in the next batch
                 last = np.flatnonzero((combo != combo[-1]) | (block != block[-1]))
                 cut = int(last[-1]) + 1 if len(last) else 0
-            held = [z[cut:] for z in held]
-            combo, block, value = combo[:cut], block[:cut], value[:cut].view(np.uint64)
             if not cut:
                 continue
-            order = np.lexsort((gray_rank(value), block, combo))
-            combo, block, value = combo[order], block[order], value[order]
+            now, held = [z[:cut] for z in held], [z[cut:] for z in held]
+            order = np.lexsort((gray_rank(now[2].view(np.uint64)), now[1], now[0]))
+            combo, block, value, node, *wide = (z[order] for z in now)
             bucket = np.cumsum(np.concatenate([[0], (combo[1:] != combo[:-1]) | (block[1:] != block[:-1])]))
             many = np.bincount(bucket)[bucket] > 1
             if many.any():
-                bucket, value = bucket[many], value[many]
-                a, b = GrayTree(bucket, value).forest(max_bits)
-                x, y = value[a].view(np.int64), value[b].view(np.int64)
+                tree = GrayTree(bucket[many], value[many].view(np.uint64), tuple(w[many].view(np.uint64) for w in wide), wide_bits)
+                a, b = tree.forest(max_bits)
+                x, y = node[many][a], node[many][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
@@ -268,36 +295,36 @@ def _signed(mask: int) -> int:
 def _dealt(values: DataFrame, masks: list[int]) -> DataFrame:
     """A row for each mask: (combo, block, value)."""
     picks = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("value").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(masks)))
-    return values.select("value", F.explode(picks).alias("p")).select(F.col("p.combo").cast("long").alias("combo"), "p.block", "value")
+    return values.select("*", F.explode(picks).alias("p")).select(F.col("p.combo").cast("long").alias("combo"), "p.block", *values.columns)
 
 
-def links(values: DataFrame, *, max_bits: int = 3, blocks: int = 4, choose: int | None = None, hot: int = 4096) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column ``value``): their components are those of all links."""
+def links(values: DataFrame, *, max_bits: int = 3, blocks: int = 4, choose: int | None = None, wide_bits: int = 0, hot: int = 4096) -> DataFrame:
+    """Edges (a, b) of nodes: their components are those of all links.
+
+    ``values``: distinct rows (value[, node, wide ...]); without ``node`` the value itself is the node.
+    """
     choose = choose or blocks - max_bits
     if choose > blocks - max_bits:
         raise ValueError("a choice of more blocks than always agree loses links")
+    if "node" not in values.columns:
+        values = values.withColumn("node", F.col("value"))
+    values = values.select("value", "node", *(c for c in values.columns if c not in ("value", "node")))
     bits = list(range(64))
     masks = _masks(bits, blocks, choose)
     dealt = _dealt(values, masks)
     # buckets of over `hot` fingerprints are dealt again by blocks of the bits they do not share
-    sizes = dealt.groupBy("combo", "block").count().filter(F.col("count") > hot).select("combo", "block", F.lit(1).alias("is_hot"))
-    sizes = checkpointed(sizes)
-    if sizes.isEmpty():
-        ready = dealt
-    else:
+    sizes = checkpointed(dealt.groupBy("combo", "block").count().filter(F.col("count") > hot).select("combo", "block", F.lit(1).alias("is_hot")))
+    ready = dealt
+    if not sizes.isEmpty():
         marked = dealt.join(sizes, ["combo", "block"], "left")
-        cold = marked.filter("is_hot is null").select("combo", "block", "value")
-        again = marked.filter("is_hot is not null").select("combo", "value")
-        parts = [cold]
+        ready = marked.filter("is_hot is null").select(*dealt.columns)
+        again = marked.filter("is_hot is not null").select("combo", *values.columns)
         for i, mask in enumerate(masks):
             rest = [b for b in bits if not mask >> b & 1]
             inner = [m | mask for m in _masks(rest, blocks, choose)]
-            more = _dealt(again.filter(F.col("combo") == i).select("value"), inner)
-            parts.append(more.withColumn("combo", F.col("combo") + (i + 1) * 1000))
-        ready = parts[0]
-        for part in parts[1:]:
-            ready = ready.unionByName(part)
-    edges = ready.repartition("combo", "block").sortWithinPartitions("combo", "block").mapInArrow(_bucket_links(max_bits), "a long, b long")
+            more = _dealt(again.filter(F.col("combo") == i).select(*values.columns), inner)
+            ready = ready.unionByName(more.withColumn("combo", F.col("combo") + (i + 1) * 1000))
+    edges = ready.repartition("combo", "block").sortWithinPartitions("combo", "block").mapInArrow(_bucket_links(max_bits, wide_bits), "a long, b long")
     return edges.distinct()
 
 
@@ -341,3 +368,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = rooted.join(ids, "root").select("value", "component_id")
     return prints.join(table, prints["fingerprint"] == table["value"], "left").select("doc_id", "fingerprint", "component_id")
+
+
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = 3, max_bits: int = 8, blocks: int = 10, choose: int = 2, wide_ngram: int = 5, wide_bits: int = 20) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the one of least id stays (then least text hash)."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    outputs = [("value", T.LongType()), ("wide_a", T.LongType()), ("wide_b", T.LongType())]
+    prints = checkpointed(append_columns(keyed, "text", ["text"], outputs, _maker(ngram, wide_ngram)).drop("text").withColumn("node", F.xxhash64("value", "wide_a", "wide_b")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
+    groups = checkpointed(prints.groupBy("value", "node", "wide_a", "wide_b").agg(first.alias("first")))
+    found = components(links(groups.drop("first"), max_bits=max_bits, blocks=blocks, choose=choose, wide_bits=wide_bits))
+    rooted = groups.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    own = docs.withColumn("__h2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = own.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
+    # rows that repeat both id and text are copies too
+    nth = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))
+    return joined.withColumn("__nth", nth).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
