@@ -77,7 +77,7 @@ def zscores(features: DataFrame, by: list[str], *, min_duration: float = 1.5, na
 
 
 def tag(z: dict[str, Column], slope: Column) -> Column:
-    """``{pitch +1.4σ rising · energy +0.9σ}``, or an empty string."""
+    """``{pitch +1.4σ · rising · energy +0.9σ}``, or an empty string."""
     shown = lambda name, label, least: F.when(F.abs(z[name]) >= least, F.concat(F.lit(f"{label} "), F.format_string("%+.1f", z[name]), F.lit("σ")))
     bits = F.concat_ws(
         " · ",
