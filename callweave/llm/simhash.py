@@ -14,9 +14,10 @@ yields a spanning forest of its links, never all pairs. Buckets of over ``hot``
 again by blocks of their other bits, by the same rule. Components are found by large-star / small-star
 rounds over a checkpointed edge table.
 
-``near_dedup`` keeps one document of each group. It searches a wider circle (eight bits) and holds each pair
-against a second fingerprint, of 128 bits over runs of five words: twenty differing bits or fewer stand
-for a similarity of 0.8. That test is part of the link, so a spanning forest is enough here too.
+``near_dedup`` keeps one document of each group. Its index fingerprint is over runs of two words, which a few
+changed words move less, and it searches a wider circle (eight bits); each pair is held against a second
+fingerprint, of 256 bits over runs of five words: 42 differing bits or fewer stand for a similarity of
+0.8. That test is part of the link, so a spanning forest is enough here too.
 
 Repeated fingerprints count once. Rows with a null id get a component like any other; a component of
 only null ids has a null component id.
@@ -56,7 +57,7 @@ def _runs(words: list[bytes], ngram: int):
 
 
 def _maker(ngram: int, wide: int | None = None):
-    """The 64-bit fingerprint; with ``wide`` also the halves of a 128-bit one over runs of so many words."""
+    """The 64-bit fingerprint; with ``wide`` also the four words of a 256-bit one over runs of so many words."""
 
     def make():
         import xxhash
@@ -67,12 +68,12 @@ def _maker(ngram: int, wide: int | None = None):
             words = text.encode().lower().split() if text else []
             bits = _votes([short(x, 42) for x in _runs(words, ngram)], 8) if words else bytes(8)
             if wide:
-                bits += _votes([long(x, 42) for x in _runs(words, wide)], 16) if words else bytes(16)
+                bits += _votes([long(x, 42) + long(x, 43) for x in _runs(words, wide)], 32) if words else bytes(32)
             return tuple(np.frombuffer(bits, ">i8").tolist())
 
         def function(texts):
             rows = [one(x) for x in texts.to_pylist()]
-            return [pa.array([r[i] for r in rows], pa.int64()) for i in range(3 if wide else 1)]
+            return [pa.array([r[i] for r in rows], pa.int64()) for i in range(5 if wide else 1)]
 
         return function
 
@@ -370,13 +371,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(table, prints["fingerprint"] == table["value"], "left").select("doc_id", "fingerprint", "component_id")
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = 3, max_bits: int = 8, blocks: int = 10, choose: int = 2, wide_ngram: int = 5, wide_bits: int = 20) -> DataFrame:
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = 2, max_bits: int = 8, blocks: int = 10, choose: int = 2, wide_ngram: int = 5, wide_bits: int = 42) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the one of least id stays (then least text hash)."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    outputs = [("value", T.LongType()), ("wide_a", T.LongType()), ("wide_b", T.LongType())]
-    prints = checkpointed(append_columns(keyed, "text", ["text"], outputs, _maker(ngram, wide_ngram)).drop("text").withColumn("node", F.xxhash64("value", "wide_a", "wide_b")))
+    wide = [f"wide_{i}" for i in range(4)]
+    outputs = [(name, T.LongType()) for name in ("value", *wide)]
+    prints = checkpointed(append_columns(keyed, "text", ["text"], outputs, _maker(ngram, wide_ngram)).drop("text").withColumn("node", F.xxhash64("value", *wide)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
-    groups = checkpointed(prints.groupBy("value", "node", "wide_a", "wide_b").agg(first.alias("first")))
+    groups = checkpointed(prints.groupBy("value", "node", *wide).agg(first.alias("first")))
     found = components(links(groups.drop("first"), max_bits=max_bits, blocks=blocks, choose=choose, wide_bits=wide_bits))
     rooted = groups.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))

@@ -268,12 +268,12 @@ def test_pipeline(spark):
     def wide(text):
         words = (text or "").encode().lower().split()
         runs = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-        bits = [np.unpackbits(np.frombuffer(xxhash.xxh128_digest(x, 42), np.uint8)) for x in runs]
-        return tuple((2 * np.sum(bits, axis=0, dtype=int) > len(bits)).tolist()) if bits else (False,) * 128
+        bits = [np.unpackbits(np.frombuffer(xxhash.xxh128_digest(x, 42) + xxhash.xxh128_digest(x, 43), np.uint8)) for x in runs]
+        return tuple((2 * np.sum(bits, axis=0, dtype=int) > len(bits)).tolist()) if bits else (False,) * 256
 
     ids = sorted(left)
-    prints = [(plain_print(left[i]), np.array(wide(left[i]))) for i in ids]
-    roots = plain_components(prints, lambda a, b: (a[0] ^ b[0]).bit_count() <= 8 and int((a[1] != b[1]).sum()) <= 20)
+    prints = [(plain_print(left[i], 2), np.array(wide(left[i]))) for i in ids]
+    roots = plain_components(prints, lambda a, b: (a[0] ^ b[0]).bit_count() <= 8 and int((a[1] != b[1]).sum()) <= 42)
     stay = {i: left[i] for k, i in enumerate(ids) if roots[k] == k}
     frame = spark.createDataFrame(list(stay.items()), "doc_id long, text string")
     clean = {r["doc_id"] for r in decontam.find_contamination(frame, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("size(hit_items) = 0").collect()}
