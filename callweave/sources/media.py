@@ -1,0 +1,83 @@
+"""Optional connectors to recognisers that read images: each runs in the tasks, and only where its package is there.
+
+Frames come from ``readers.binary_frames``; the tables made here are the ones the operators begin with.
+"""
+
+from __future__ import annotations
+
+import importlib.util
+
+from pyspark.sql import DataFrame
+
+
+def _need(package: str) -> None:
+    if importlib.util.find_spec(package) is None:
+        raise RuntimeError(f"this source needs the package {package}; without it, begin with its output table")
+
+
+def ocr_lines(frames: DataFrame, partitions: int = 8) -> DataFrame:
+    """(recording_id, frame_index, value): the text of each frame."""
+    _need("pytesseract")
+
+    def run(batches):
+        import io
+
+        import pytesseract
+        from PIL import Image
+
+        for batch in batches:
+            batch["value"] = [pytesseract.image_to_string(Image.open(io.BytesIO(c))) for c in batch["content"]]
+            yield batch[["recording_id", "frame_index", "value"]]
+
+    return frames.repartition(partitions).mapInPandas(run, "recording_id string, frame_index long, value string")
+
+
+def ocr_words(frames: DataFrame, partitions: int = 8) -> DataFrame:
+    """OCR words with their places, as ``readers.ocr_table`` has them."""
+    _need("pytesseract")
+    schema = "recording_id string, frame_no int, block string, par string, line string, left int, top int, conf double, word string, row_no int"
+
+    def run(batches):
+        import io
+
+        import pandas as pd
+        import pytesseract
+        from PIL import Image
+
+        names = {"block_num": "block", "par_num": "par", "line_num": "line", "text": "word", "word_num": "row_no"}
+        for batch in batches:
+            for name, frame, content in zip(batch["recording_id"], batch["frame_index"], batch["content"], strict=True):
+                words = pytesseract.image_to_data(Image.open(io.BytesIO(content)), config="--psm 6", output_type="data.frame").rename(columns=names)
+                words = words.dropna(subset=["word"]).astype({"block": str, "par": str, "line": str, "word": str})
+                yield pd.DataFrame({"recording_id": name, "frame_no": frame, **{c: words[c] for c in ("block", "par", "line", "left", "top", "conf", "word", "row_no")}})
+
+    return frames.repartition(partitions).mapInPandas(run, schema)
+
+
+def face_samples(frames: DataFrame, model_path: str, fps: float = 2.0, partitions: int = 8) -> DataFrame:
+    """(recording_id, t, smile, pitch_deg); a frame without a face has neither."""
+    _need("mediapipe")
+
+    def run(batches):
+        import io
+        import math
+
+        import mediapipe as mp
+        import numpy as np
+        import pandas as pd
+        from mediapipe.tasks.python import BaseOptions, vision
+        from PIL import Image
+
+        options = vision.FaceLandmarkerOptions(base_options=BaseOptions(model_asset_path=model_path), output_face_blendshapes=True, output_facial_transformation_matrixes=True, num_faces=1)
+        with vision.FaceLandmarker.create_from_options(options) as marker:
+            for batch in batches:
+                rows = []
+                for name, index, content in zip(batch["recording_id"], batch["frame_index"], batch["content"], strict=True):
+                    found = marker.detect(mp.Image(image_format=mp.ImageFormat.SRGB, data=np.array(Image.open(io.BytesIO(content)).convert("RGB"))))
+                    shapes = {s.category_name: s.score for s in found.face_blendshapes[0]} if found.face_blendshapes else None
+                    smile = (shapes.get("mouthSmileLeft", 0.0) + shapes.get("mouthSmileRight", 0.0)) / 2 if shapes else None
+                    turn = found.facial_transformation_matrixes[0] if shapes and found.facial_transformation_matrixes else None
+                    rows.append((name, (index - 1) / fps, smile, math.degrees(math.atan2(turn[2][1], turn[2][2])) if turn is not None else None))
+                yield pd.DataFrame(rows, columns=["recording_id", "t", "smile", "pitch_deg"])
+
+    return frames.repartition(partitions).mapInPandas(run, "recording_id string, t double, smile double, pitch_deg double")
