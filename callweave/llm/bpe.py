@@ -17,6 +17,7 @@ white space only have no ids. Decoding joins the tokens' strings with one space,
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
 import heapq
 import json
@@ -33,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, steps, text_sizes
+from .common import append_columns, checkpointed, steps, text_sizes
 
 END = "</w>"
+NO_RANK = 1 << 30
 #: Words kept by a worker between slices, at most.
 CACHE_WORDS = 150_000
 
@@ -105,14 +107,83 @@ class WordBpe:
             parts = self._merge_long(parts)
         else:
             while len(parts) > 1:
-                best = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-                if best[0] == 1 << 30:
+                best = min((ranks.get(pair, NO_RANK), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+                if best[0] == NO_RANK:
                     break
                 i = best[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
         vocab = self.vocab
         return tuple(vocab[p] for p in parts if p in vocab)
 
+    def merge_all(self, words: list[str]) -> list:
+        """``merge`` of many words at once: each step merges the first pair of least rank in every word."""
+        raw = [w.encode() for w in words]
+        out: list = [None] * len(words)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for low, high in ((0, 8), (8, 12), (12, 20), (20, 48)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for i in range(0, len(rows), 1 << 14):
+                self._merge_rows(rows[i : i + (1 << 14)], raw, out)
+        for i in np.flatnonzero((sizes == 0) | (sizes > 48)):
+            out[i] = self.merge(words[i]) if words[i] else ()
+        return out
+
+    @functools.cached_property
+    def _pairs(self):
+        """Arrays of the first symbols of a word, and of the pairs by key: rank and merged id."""
+        vocab = self.vocab
+        begin = np.array([vocab[x] for x in self.letters])
+        end = np.array([vocab[x + END] for x in self.letters])
+        rows = sorted((vocab[a] << 32 | vocab[b], rank, vocab[a + b]) for (a, b), rank in self.ranks.items())
+        keys, ranks, merged = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        by_rank = np.zeros(len(self.ranks) + 1, np.int64)
+        by_rank[ranks] = merged
+        return begin, end, keys, ranks, by_rank
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        _, _, keys, ranks, _ = self._pairs
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (b >= 0), ranks[at], NO_RANK)
+
+    def _merge_rows(self, rows: np.ndarray, raw: list[bytes], out: list) -> None:
+        begin, end, _, _, merged = self._pairs
+        sizes = np.fromiter((len(raw[i]) for i in rows), np.int64, len(rows))
+        flat = begin[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
+        lasts = np.cumsum(sizes) - 1
+        flat[lasts] = end[np.frombuffer(bytes(raw[i][-1] for i in rows), np.uint8)]
+        width = int(sizes.max())
+        symbols = np.full((len(rows), width), -1, np.int64)
+        symbols[np.arange(width) < sizes[:, None]] = flat
+        ranks = self._ranks_of(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            if ranks.shape[1]:
+                at = ranks.argmin(axis=1)
+                least = ranks[np.arange(len(rows)), at]
+                going = least < NO_RANK
+            else:
+                going = np.zeros(len(rows), bool)
+            done = ~going
+            if done.any():
+                left = symbols[done]
+                counts = (left >= 0).sum(axis=1)
+                ids = left[left >= 0].astype(np.int32)
+                for i, part in zip(rows[done].tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                    out[i] = part
+                if not going.any():
+                    return
+                rows, symbols, ranks, at, least = rows[going], symbols[going], ranks[going], at[going], least[going]
+            one = np.arange(len(rows))
+            symbols[one, at] = merged[least]
+            columns = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, columns + (columns > at[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= at[:, None]), axis=1)
+            if ranks.shape[1]:
+                has = at > 0
+                ranks[one[has], at[has] - 1] = self._ranks_of(symbols[one[has], at[has] - 1], symbols[one[has], at[has]])
+                has = at < ranks.shape[1]
+                ranks[one[has], at[has]] = self._ranks_of(symbols[one[has], at[has]], symbols[one[has], at[has] + 1])
+
     def _merge_long(self, parts: list[str]) -> list[str]:
         """The same by a heap over a linked list."""
         ranks, n = self.ranks, len(parts)
@@ -250,7 +321,7 @@ def _read(path: str) -> str:
 
 
 def frequent_words(docs: DataFrame, limit: int, *, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """The ``limit`` most frequent words of all texts (ties by the word) with their counts."""
+    """The most frequent words of all texts with their counts, ``limit`` at most (words of like counts together)."""
     shared = docs.sparkSession.sparkContext.broadcast(_read(tokenizer or default_path()))
 
     def run(batches):
@@ -270,8 +341,16 @@ def frequent_words(docs: DataFrame, limit: int, *, text: str = "text", tokenizer
                     yield flush()
         yield flush()
 
-    partial = docs.select(F.col(text)).mapInArrow(run, "word string, n long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    counts = docs.select(F.col(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # a word seen once is no frequent one; sizes by steps of a twelfth of an octave find the least count
+    counts = checkpointed(counts.filter("n > 1").withColumn("step", F.floor(F.log2("n") * 12).cast("int")))
+    total, least = 0, None
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += row["count"]
+        if total > limit:
+            break
+        least = row["step"]
+    return counts.filter(F.col("step") >= (1 << 30 if least is None else least)).select("word", "n")
 
 
 _folder: list[str] = []
@@ -280,7 +359,8 @@ _folder: list[str] = []
 def build_lexicon(words: DataFrame, *, tokenizer: str | None = None) -> str:
     """Compiles a (bounded) table of words and hands the file to all executors; returns its name."""
     bpe = WordBpe(_read(tokenizer or default_path()))
-    entries = {r["word"].encode(): bpe.merge(r["word"]) for r in words.select("word").collect()}
+    listed = [r["word"] for r in words.select("word").collect()]
+    entries = {w.encode(): tuple(map(int, ids)) for w, ids in zip(listed, bpe.merge_all(listed), strict=True)}
     if not _folder:  # the driver's own copy, from which Spark serves the file
         _folder.append(os.path.realpath(tempfile.mkdtemp()))
         atexit.register(shutil.rmtree, _folder[0], True)
@@ -309,12 +389,13 @@ def encode(docs: DataFrame, lexicon: str, *, text: str = "text", output: str = "
             nonlocal start, size, ids
             raw = [w.encode() if isinstance(w, str) else b"" for w in words]
             place = automaton.find(raw)
+            unseen = iter(bpe.merge_all([w for w, p in zip(words, place.tolist(), strict=True) if p < 0 and isinstance(w, str)]))
             runs = []
             for w, p in zip(words, place.tolist(), strict=True):
                 if p >= 0:
                     runs.append(automaton.ids[automaton.start[p] : automaton.start[p + 1]])
                 else:
-                    runs.append(bpe.merge(w) if isinstance(w, str) else (w,))
+                    runs.append(next(unseen) if isinstance(w, str) else (w,))
             lengths = np.fromiter(map(len, runs), np.int64, len(runs))
             known.update(zip(words, range(len(known), len(known) + len(words)), strict=True))
             start = np.append(start, len(ids) + np.cumsum(lengths) - lengths)
