@@ -244,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
     """Learns a model from labels (doc_id, toxic). All that reaches the driver is bounded by the parameters."""
     spark = docs.sparkSession
     sample = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    # by hash range first, so that no task sorts or sends more than its share of the sample
+    share = 1.1 * max_rows / max(sample.count(), 1)
+    sample = sample.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53) < min(share, 1.0))
+    sample = sample.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id", "toxic").limit(max_rows)
     sample = spark.createDataFrame(sample.toArrow()) if not sample.isEmpty() else None
     if sample is None:
         return None
