@@ -13,6 +13,7 @@ Null fields and texts are empty; an empty text is one empty line. Special-token
 from __future__ import annotations
 
 import base64
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(ranks: bytes):
+    """The encoder and the bytes of each token; a worker keeps them between tasks."""
+    import public_tokenizers
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    width = np.zeros(max(table.values()) + 1, np.int64)
+    for token, i in table.items():
+        width[i] = len(token)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}), width
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tuple[np.ndarray, int]:
     """Tokens of each section and how many tokens cross a boundary; section i is bounds[i]:bounds[i+1]."""
     sections = len(bounds) - 1
@@ -54,14 +68,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", fields: tuple[str, ...]
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        import public_tokenizers
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
-        encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        width = np.zeros(max(table.values()) + 1, np.int64)
-        for token, i in table.items():
-            width[i] = len(token)
+        encoder, width = _encoder(shared.value)
 
         def function(texts, *others):
             rows = []
