@@ -59,3 +59,61 @@ def committed_tokens(frames: DataFrame, *, tail: int = TAIL) -> DataFrame:
 def new_files(spark: SparkSession, folder: str, schema: str, *, per_trigger: int = 1000) -> DataFrame:
     """Parquet files as they arrive; with a checkpoint each is taken once, which is the skip of finished work."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+
+def _timeline(runs: list[list], debounce: float, grace: float) -> list[list]:
+    """Raw runs (start, end, kind, who) to entries (start, end, kind, who, first raw run), gaps included."""
+    out: list[list] = []
+    for i, (start, end, kind, who) in enumerate(runs):
+        if out and kind != "gap" and end - start < debounce and runs[i - 1][2] != "gap":
+            out[-1][1] = end
+        elif out and out[-1][2:4] == [kind, who]:
+            out[-1][1] = end
+        else:
+            out.append([start, end, kind, who, i])
+    i = 1
+    while i + 1 < len(out):
+        (_, _, before, a, _), (start, end, kind, _, _), (_, last, after, b, _) = out[i - 1 : i + 2]
+        if kind == "gap" and end - start < grace and before == after == "name" and a == b:
+            out[i - 1][1] = last
+            del out[i : i + 2]
+        else:
+            i += 1
+    return out
+
+
+def settled_spans(observations: DataFrame, *, fps: float = 2.0, debounce: float = 1.0, grace: float = 3.0) -> DataFrame:
+    """(recording_id, start, end, name, raw_ocr, unresolved): spans as soon as no later frame can change them.
+
+    ``observations``: recording_id, frame_index, kind, who, final (true in a recording's last frame). A span is
+    settled once two entries follow it in its timeline, and when the recording ends; the state is the raw
+    runs after the last settled span. Frames must come in order; older ones are left out.
+    """
+    key = observations.schema["recording_id"].dataType.simpleString()
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs, last = ([list(r) for r in zip(*state.get[:4], strict=True)], state.get[4]) if state.exists else ([], -1)
+        ended = False
+        for frame, kind, who, final in pd.concat(list(batches)).sort_values("frame_index")[["frame_index", "kind", "who", "final"]].itertuples(index=False):
+            if frame <= last:
+                continue
+            who, t, last, ended = None if pd.isna(who) else who, frame / fps, int(frame), ended or bool(final)
+            if runs and runs[-1][2:] == [kind, who]:
+                runs[-1][1] = t + 1 / fps
+            else:
+                runs.append([t, t + 1 / fps, kind, who])
+        entries = _timeline(runs, debounce, grace)
+        ready = len(entries) if ended else max(0, len(entries) - 2)
+        rows = [(name[0], round(s, 3), round(e, 3), who if kind == "name" else None, who, kind != "name") for s, e, kind, who, _ in entries[:ready] if kind != "gap"]
+        if ended:
+            state.remove()
+        else:
+            runs = runs[entries[ready][4] :] if ready else runs
+            columns = [list(c) for c in zip(*runs, strict=True)] if runs else [[], [], [], []]
+            state.update((*columns, last))
+        yield pd.DataFrame(rows, columns=["recording_id", "start", "end", "name", "raw_ocr", "unresolved"])
+
+    return observations.select("recording_id", "frame_index", "kind", "who", "final").groupBy("recording_id").applyInPandasWithState(
+        step, f"recording_id {key}, start double, end double, name string, raw_ocr string, unresolved boolean",
+        "starts array<double>, ends array<double>, kinds array<string>, whos array<string>, last long", "append", "NoTimeout",
+    )

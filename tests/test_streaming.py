@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.registry import register
 from callweave.operators import stitch as st
+from callweave.operators import timeline as tl
 from callweave.sources import fixtures as fx
 from callweave.streaming import jobs
 
@@ -48,6 +49,19 @@ def test_caption_merge_over_micro_batches(spark, tmp_path):
     assert joined == {r["recording_id"]: [t["tok"] for t in r["tokens"]] for r in st.rolling_merge(frames).collect()}
 
 
+def test_settled_spans_are_those_of_the_batch(spark, tmp_path):
+    observations = fx.observations(spark, SF)
+    last = observations.groupBy("recording_id").agg(F.max("frame_index").alias("top"))
+    marked = observations.join(last, "recording_id").select("recording_id", "frame_index", "kind", "who", (F.col("frame_index") == F.col("top")).alias("final")).cache()
+    for low, high in ((0, 11), (11, 37), (37, 10_000)):
+        marked.filter((F.col("frame_index") >= low) & (F.col("frame_index") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    source = jobs.new_files(spark, str(tmp_path / "in"), marked.schema, per_trigger=1)
+    names = ["recording_id", "start", "end", "name", "raw_ocr", "unresolved"]
+    shape = lambda df: sorted(map(str, df.select(*names).collect()))
+    assert shape(drained(jobs.settled_spans(source), "spans", tmp_path)) == shape(tl.spans(observations))
+
+
 def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT seq_ratio('Dana Park', 'D4na Park') AS r, dedupe_stutter(array('a', 'b', 'A', 'b', 'c')) AS d, clock(3661) AS c, decibels(0.25D) AS l").first()
