@@ -6,17 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_spans(lines: DataFrame, spans: DataFrame, lag: float, self_name: str, caller: str) -> DataFrame:
+    """``lines`` with ``timed`` (the label by time) and ``others`` (the other speakers of the recording).
+
+    A recording's spans are gathered into one row, in the partitioning their windows already have, and
+    lines meet them by recording: one exchange of the lines, and no row for every pair of line and span.
+    """
+    name = F.when((F.col("name") != "") & (F.col("name") != self_name), F.col("name"))
+    whole = spans.groupBy("recording_id").agg(
+        F.array_sort(F.collect_list(F.struct("span_no", "start", "end", "name"))).alias("spans"), F.array_sort(F.collect_set(name)).alias("others")
+    )
+    at = F.col("t") - F.lit(float(lag))
+    first = F.try_element_at(F.filter("spans", lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(1))["name"]
+    good = (F.col("label") == caller) & first.isNotNull() & (first != "") & (first != self_name)
+    joined = lines.join(whole, "recording_id", "left")
+    return joined.select("recording_id", "line_no", "t", "label", "text", F.when(good, first).otherwise(F.col("label")).alias("timed"), F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+
+
 def relabel_timed(lines: DataFrame, spans: DataFrame, *, lag: float = 1.5, self_name: str = "You", caller: str = "Caller") -> DataFrame:
     """``lines`` with the label of the first span that holds ``t - lag``; ``original_label`` is kept.
 
     Only caller lines change, and only where that span has a name other than ``self_name``.
     """
-    wanted = lines.filter(F.col("label") == caller).select("recording_id", "line_no", (F.col("t") - F.lit(float(lag))).alias("at"))
-    inside = wanted.join(spans.select("recording_id", "span_no", "start", "end", "name"), "recording_id").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    first = inside.groupBy("recording_id", "line_no").agg(F.min_by("name", "span_no").alias("name"))
-    good = F.col("name").isNotNull() & (F.col("name") != "") & (F.col("name") != self_name)
-    joined = lines.join(first, ["recording_id", "line_no"], "left")
-    return joined.select("recording_id", "line_no", "t", F.when((F.col("label") == caller) & good, F.col("name")).otherwise(F.col("label")).alias("label"), "text", F.col("label").alias("original_label"))
+    found = _with_spans(lines, spans, lag, self_name, caller)
+    return found.select("recording_id", "line_no", "t", F.col("timed").alias("label"), "text", F.col("label").alias("original_label"))
 
 
 def distinct_speakers(spans: DataFrame, self_name: str = "You") -> DataFrame:
@@ -46,11 +59,11 @@ def collapse_caller(lines: DataFrame, speakers: DataFrame, caller: str = "Caller
 
 def resolve(lines: DataFrame, spans: DataFrame, *, lag: float = 1.5, self_name: str = "You", caller: str = "Caller", callers: int | None = None) -> DataFrame:
     """``lines`` relabelled by collapse where a recording allows it, else by time."""
-    mode = attribution_mode(lines, spans, callers=callers, self_name=self_name)
-    timed = relabel_timed(lines, spans, lag=lag, self_name=self_name, caller=caller)
-    joined = timed.join(mode.select("recording_id", "mode", "speaker"), "recording_id")
-    label = F.when((F.col("mode") == "collapse") & (F.col("original_label") == caller), F.col("speaker")).when(F.col("mode") == "collapse", F.col("original_label")).otherwise(F.col("label"))
-    return joined.select("recording_id", "line_no", "t", label.alias("label"), "text", "original_label", "mode")
+    found = _with_spans(lines, spans, lag, self_name, caller)
+    collapse = F.size("others") == 1 if callers in (None, 1) else F.lit(False)
+    label = F.when(collapse & (F.col("label") == caller), F.col("others")[0]).when(collapse, F.col("label")).otherwise(F.col("timed"))
+    mode = F.when(collapse, "collapse").otherwise("timed")
+    return found.select("recording_id", "line_no", "t", label.alias("label"), "text", F.col("label").alias("original_label"), mode.alias("mode"))
 
 
 def coverage(lines: DataFrame, caller: str = "Caller") -> DataFrame:
