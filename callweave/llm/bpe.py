@@ -20,6 +20,7 @@ import atexit
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import mmap
 import os
@@ -38,8 +39,8 @@ from .common import append_columns, checkpointed, steps, text_sizes
 
 END = "</w>"
 NO_RANK = 1 << 30
-#: Words kept by a worker between slices, at most.
-CACHE_WORDS = 150_000
+#: Words kept by a worker between slices and tasks, about.
+CACHE_WORDS = 300_000
 
 
 def default_path() -> str:
@@ -77,7 +78,7 @@ class WordBpe:
         self.pieces = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         # the same split where all characters are below U+0100 and none is a number but 0-9
         letters = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
-        self.plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^\t-\r \x85\xa0{letters}0-9]+").findall
+        self.plain = re.compile(rf"[{letters}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{letters}0-9]+").findall
         self.odd = re.compile("[Ā-\U0010ffff\xb2\xb3\xb9\xbc-\xbe]").search
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
 
@@ -166,10 +167,10 @@ class WordBpe:
             done = ~going
             if done.any():
                 left = symbols[done]
-                counts = (left >= 0).sum(axis=1)
+                ends = np.cumsum((left >= 0).sum(axis=1)).tolist()
                 ids = left[left >= 0].astype(np.int32)
-                for i, part in zip(rows[done].tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    out[i] = part
+                for i, start, stop in zip(rows[done].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[i] = ids[start:stop]
                 if not going.any():
                     return
                 rows, symbols, ranks, at, least = rows[going], symbols[going], ranks[going], at[going], least[going]
@@ -206,6 +207,12 @@ class WordBpe:
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
 
+@functools.lru_cache(maxsize=2)
+def parsed(content: str) -> WordBpe:
+    """A worker keeps the parsed file between tasks."""
+    return WordBpe(content)
+
+
 # ---------------------------------------------------------------- the transducer
 
 
@@ -312,6 +319,48 @@ class Transducer:
         return place
 
 
+class Encoder:
+    """Encodes texts with the automaton, and keeps the words it has met."""
+
+    def __init__(self, bpe: WordBpe, automaton: Transducer):
+        self.bpe, self.automaton = bpe, automaton
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: list) -> None:
+        place = self.automaton.find([w.encode() if isinstance(w, str) else b"" for w in words]).tolist()
+        unseen = iter(self.bpe.merge_all([w for w, p in zip(words, place, strict=True) if p < 0 and isinstance(w, str)]))
+        ids, start = self.automaton.ids, self.automaton.start.tolist()
+        runs = [ids[start[p] : start[p + 1]] if p >= 0 else next(unseen) if isinstance(w, str) else (w,) for w, p in zip(words, place, strict=True)]
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.size = np.append(self.size, lengths)
+        self.ids = np.append(self.ids, np.concatenate([np.asarray(r, np.int32) for r in runs]))
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i+1]]."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        split = [self.bpe.split(x) if x else [] for x in texts]
+        if new := list(set().union(*split).difference(self.known)):
+            self.learn(new)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.array(list(map(self.known.__getitem__, itertools.chain.from_iterable(split))), np.int64)
+        lengths = self.size[at]
+        ends = np.cumsum(lengths)
+        flat = self.ids[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        return np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32), flat
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(content: str, path: str) -> Encoder:
+    return Encoder(parsed(content), Transducer.mapped(path))
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -325,7 +374,7 @@ def frequent_words(docs: DataFrame, limit: int, *, text: str = "text", tokenizer
     shared = docs.sparkSession.sparkContext.broadcast(_read(tokenizer or default_path()))
 
     def run(batches):
-        bpe, counts = WordBpe(shared.value), Counter()
+        bpe, counts = parsed(shared.value), Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -380,43 +429,11 @@ def encode(docs: DataFrame, lexicon: str, *, text: str = "text", output: str = "
     shared = docs.sparkSession.sparkContext.broadcast(_read(tokenizer or default_path()))
 
     def make():
-        bpe = WordBpe(shared.value)
-        automaton = Transducer.mapped(SparkFiles.get(lexicon))
-        known: dict = {}
-        start, size, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-        def learn(words: list) -> None:
-            nonlocal start, size, ids
-            raw = [w.encode() if isinstance(w, str) else b"" for w in words]
-            place = automaton.find(raw)
-            unseen = iter(bpe.merge_all([w for w, p in zip(words, place.tolist(), strict=True) if p < 0 and isinstance(w, str)]))
-            runs = []
-            for w, p in zip(words, place.tolist(), strict=True):
-                if p >= 0:
-                    runs.append(automaton.ids[automaton.start[p] : automaton.start[p + 1]])
-                else:
-                    runs.append(next(unseen) if isinstance(w, str) else (w,))
-            lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-            known.update(zip(words, range(len(known), len(known) + len(words)), strict=True))
-            start = np.append(start, len(ids) + np.cumsum(lengths) - lengths)
-            size = np.append(size, lengths)
-            ids = np.append(ids, np.concatenate([np.asarray(r, np.int32) for r in runs]))
+        encoder = _encoder(shared.value, SparkFiles.get(lexicon))
 
         def function(texts):
-            nonlocal start, size, ids
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                start, size, ids = start[:0], size[:0], ids[:0]
-            split = [bpe.split(x) if x else [] for x in texts.to_pylist()]
-            if new := [w for w in dict.fromkeys(w for s in split for w in s) if w not in known]:
-                learn(new)
-            counts = np.fromiter(map(len, split), np.int64, len(split))
-            at = np.fromiter((known[w] for s in split for w in s), np.int64, int(counts.sum()))
-            lengths = size[at]
-            ends = np.cumsum(lengths)
-            flat = ids[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-            offsets = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+            offsets, ids = encoder.encode(texts.to_pylist())
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))]
 
         return function
 
@@ -431,7 +448,7 @@ def decode(df: DataFrame, *, ids: str = "ids", output: str = "decoded", tokenize
     of_ids = [f.name for f in fields].index(ids)
 
     def run(batches):
-        tokens = WordBpe(shared.value).tokens
+        tokens = parsed(shared.value).tokens
         names = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         width = np.array([len(x) + 1 if x else 0 for x in names])
         start = np.cumsum(width) - width
