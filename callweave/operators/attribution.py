@@ -82,18 +82,23 @@ def coverage(lines: DataFrame, caller: str = "Caller") -> DataFrame:
 # ---------------------------------------------------------------- review
 
 
-def unknowns(spans: DataFrame) -> DataFrame:
-    """(recording_id, review_id, raw_ocr): the unmatched labels, numbered as they first appear."""
-    first = spans.filter("unresolved").groupBy("recording_id", "raw_ocr").agg(F.min("span_no").alias("first_span"))
-    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("first_span"))
-    return first.select("recording_id", F.format_string("unknown_%02d", nth).alias("review_id"), "raw_ocr", "first_span")
+def with_review_ids(spans: DataFrame) -> DataFrame:
+    """``spans`` with a review id for each unmatched label, numbered by recording as they first appear.
+
+    Windows within a recording only, so the timeline's partitioning is kept.
+    """
+    label = Window.partitionBy("recording_id", "raw_ocr", "unresolved")
+    begins = F.col("unresolved") & (F.col("span_no") == F.min("span_no").over(label))
+    nth = F.sum("begins").over(Window.partitionBy("recording_id").orderBy("span_no"))
+    numbered = spans.withColumn("begins", begins.cast("int")).withColumn("nth", nth)
+    number = F.max(F.when(F.col("begins") == 1, F.col("nth"))).over(label)
+    return numbered.select(*spans.columns, F.when(F.col("unresolved"), F.format_string("unknown_%02d", number)).alias("review_id"))
 
 
-def with_review_ids(spans: DataFrame) -> DataFrame:
-    """``spans`` with the review id of each unmatched label."""
-    found = unknowns(spans).select("recording_id", "raw_ocr", "review_id", F.lit(True).alias("unresolved"))
-    keys = ["recording_id", "unresolved"]
-    return spans.alias("s").join(found.alias("u"), [F.col(f"s.{k}") == F.col(f"u.{k}") for k in keys] + [F.col("s.raw_ocr").eqNullSafe(F.col("u.raw_ocr"))], "left").select("s.*", "u.review_id")
+def unknowns(spans: DataFrame) -> DataFrame:
+    """(recording_id, review_id, raw_ocr, first_span): the unmatched labels."""
+    found = with_review_ids(spans).filter("unresolved")
+    return found.groupBy("recording_id", "review_id").agg(F.min_by("raw_ocr", "span_no").alias("raw_ocr"), F.min("span_no").alias("first_span"))
 
 
 def reconcile(spans: DataFrame, mapping: DataFrame, *, bail: bool = False) -> DataFrame:
@@ -110,26 +115,25 @@ def reconcile(spans: DataFrame, mapping: DataFrame, *, bail: bool = False) -> Da
 
 
 def frame_for_review(spans: DataFrame, frames: DataFrame, fps: float = 2.0) -> DataFrame:
-    """(recording_id, review_id, frame_index): the frame nearest to the first span of a label (the earliest of equals).
+    """(recording_id, review_id, raw_ocr, frame_index): the frame nearest to the first span of a label (the earliest of equals).
 
     Frames are numbered from one. The nearest one to a time is its whole neighbour on either side, so
     the join is on frame numbers, not on all frames of a recording.
     """
-    first = spans.filter("review_id is not null").groupBy("recording_id", "review_id").agg(F.min_by("start", "span_no").alias("start"))
+    first = spans.filter("review_id is not null").groupBy("recording_id", "review_id").agg(F.min_by(F.struct("start", "raw_ocr"), "span_no").alias("s")).select("recording_id", "review_id", "s.*")
     known = frames.select("recording_id", "frame_index").distinct()
     w = Window.partitionBy("recording_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy("recording_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = ((F.col("frame_index") - 1) / F.lit(float(fps))).alias("at")
-    both = known.select("recording_id", at, F.lit(0).alias("kind"), "frame_index", F.lit(None).cast("string").alias("review_id")).unionByName(
-        first.select("recording_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("frame_index"), "review_id")
+    both = known.select("recording_id", at, F.lit(0).alias("kind"), "frame_index", F.lit(None).cast("string").alias("review_id"), F.lit(None).cast("string").alias("raw_ocr")).unionByName(
+        first.select("recording_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("frame_index"), "review_id", "raw_ocr")
     )
     near = both.withColumns({"low": F.last("frame_index", True).over(w), "high": F.last("frame_index", True).over(ahead)}).filter("kind = 1")
     away = lambda c: F.abs((F.col(c) - 1) / F.lit(float(fps)) - F.col("at"))
     pick = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull() | (away("low") <= away("high")), F.col("low")).otherwise(F.col("high"))
-    return near.select("recording_id", "review_id", pick.alias("frame_index"))
+    return near.select("recording_id", "review_id", "raw_ocr", pick.alias("frame_index"))
 
 
 def review_manifest(spans: DataFrame, frames: DataFrame, fps: float = 2.0) -> DataFrame:
     """What a reviewer needs: label, id and frame."""
-    ids = with_review_ids(spans)
-    return unknowns(spans).join(frame_for_review(ids, frames, fps), ["recording_id", "review_id"], "left").select("recording_id", "review_id", "raw_ocr", "frame_index")
+    return frame_for_review(with_review_ids(spans), frames, fps)

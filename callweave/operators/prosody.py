@@ -57,6 +57,31 @@ def voiced_energy(frames: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys).agg(F.avg(F.when(good, F.col("intensity"))).alias("energy"))
 
 
+def utterance_features(frames: DataFrame, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(keys, extra, f0_med, f0_range, voiced_frac, f0_slope, energy) in one pass over the frames.
+
+    The rules are those of ``pitch_features``, ``terminal_slope`` and ``voiced_energy``; ``extra`` are more
+    aggregates of the same groups.
+    """
+    w = Window.partitionBy(*keys)
+    spoken = F.col("f0").isNotNull()
+    so_far = F.count("f0").over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.when(spoken, F.col("t"))
+    marked = frames.withColumns({"n": F.count("f0").over(w), "nth": so_far - 1, "lo": F.min(at).over(w), "hi": F.max(at).over(w)})
+    tail = spoken & (F.col("n") >= 8) & (F.col("nth") >= F.floor(F.col("n") * 0.6))
+    heard = (F.col("lo").isNull() | F.col("t").between(F.col("lo"), F.col("hi"))) & ~F.isnan("intensity") & (F.col("intensity") != 0)
+    slope = F.coalesce(F.regr_slope(F.when(tail, F.col("f0")), F.when(tail, F.col("t"))), F.lit(0.0))
+    made = marked.groupBy(*keys).agg(
+        *extra, F.sort_array(F.collect_list("f0")).alias("f"), F.count("f0").alias("voiced"), F.count("*").alias("total"), F.median("f0").alias("mid"),
+        F.when(F.count_if(tail) >= 3, slope).alias("f0_slope"), F.avg(F.when(heard, F.col("intensity"))).alias("energy"),
+    )
+    n = F.col("voiced")
+    low = F.element_at("f", (F.greatest(F.lit(0), F.floor(n * 0.1).cast("int") - 1) + 1).cast("int"))
+    high = F.element_at("f", (F.least(n.cast("int") - 1, F.floor(n * 0.9).cast("int")) + 1).cast("int"))
+    kept = [c for c in made.columns if c not in ("f", "voiced", "total", "mid", "f0_slope", "energy")]
+    return made.select(*kept, F.when(n >= 8, F.col("mid")).alias("f0_med"), F.when(n >= 8, high - low).alias("f0_range"), (n / F.greatest(F.lit(1), F.col("total"))).alias("voiced_frac"), "f0_slope", "energy")
+
+
 def zscores(features: DataFrame, by: list[str], *, min_duration: float = 1.5, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """``features`` with z_* columns against the utterances of the same speaker.
 

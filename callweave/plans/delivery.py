@@ -107,9 +107,7 @@ def utterance_slices(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    frames = fx.pitch_frames(spark, sf_dir)
-    meta = frames.groupBy(*KEYS).agg(F.max("duration").alias("duration"), F.max("words").alias("words"))
-    out = meta.join(pr.pitch_features(frames, KEYS), KEYS).join(pr.terminal_slope(frames, KEYS), KEYS, "left").join(pr.voiced_energy(frames, KEYS), KEYS, "left")
+    out = pr.utterance_features(fx.pitch_frames(spark, sf_dir), KEYS, (F.max("duration").alias("duration"), F.max("words").alias("words")))
     return out.withColumn("rate", pr.rate(F.col("words"), F.col("duration")))
 
 
