@@ -47,7 +47,18 @@ def keys_of(tokens: Column) -> Column:
 
 
 def overlap(tail: list[str], frame: list[str], anchor: int = ANCHOR) -> int:
-    """How many tokens of ``frame`` are known already: up to the block that reaches furthest into ``tail``."""
+    """How many tokens of ``frame`` are known already: up to the block that reaches furthest into ``tail``.
+
+    Mostly the frame begins with what the tail ends with. Where no other run of that length is common to
+    both, it is the longest block there is and reaches furthest, so the alignment need not be made.
+    """
+    for k in range(min(len(tail), len(frame)), anchor - 1, -1):
+        if tail[-k:] == frame[:k]:
+            runs = {tuple(frame[i : i + k]) for i in range(len(frame) - k + 1)}
+            same = sum(tuple(tail[i : i + k]) in runs for i in range(len(tail) - k + 1))
+            if same == 1 and len(runs) == len(frame) - k + 1:
+                return k
+            break
     known, reach = 0, -1
     for block in SequenceMatcher(None, tail, frame, autojunk=False).get_matching_blocks():
         if block.size >= anchor and block.a + block.size > reach:

@@ -54,6 +54,22 @@ def test_overlap_of_a_revised_frame():
     assert st.overlap(committed, "z y x w".split()) == 0
 
 
+def test_overlap_is_that_of_the_alignment():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    for _ in range(4000):
+        letters = rng.choice(["ab", "abcd", "abcdefghijklmnop"])
+        tail = [rng.choice(letters) for _ in range(rng.randint(0, 40))]
+        frame = tail[-rng.randint(1, 12) :] * rng.randint(0, 1) + [rng.choice(letters) for _ in range(rng.randint(0, 12))]
+        best = None
+        for a, b, size in SequenceMatcher(None, tail, frame, autojunk=False).get_matching_blocks():
+            if size >= 4 and (best is None or a + size > best[0]):
+                best = (a + size, b + size)
+        assert st.overlap(tail, frame) == (best[1] if best else 0), (tail, frame)
+
+
 @pytest.mark.parametrize(("said", "kept"), [("like yeah i like yeah i think", "like yeah i think"), ("no no no", "no"), ("a b c", "a b c")])
 def test_stutter(said, kept):
     words = said.split()
