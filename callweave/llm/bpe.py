@@ -40,7 +40,7 @@ from .common import append_columns, checkpointed, steps, text_sizes
 END = "</w>"
 NO_RANK = 1 << 30
 #: Words kept by a worker between slices and tasks, about.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def default_path() -> str:
@@ -80,7 +80,6 @@ class WordBpe:
         letters = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
         self.plain = re.compile(rf"[{letters}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{letters}0-9]+").findall
         self.odd = re.compile("[Ā-\U0010ffff\xb2\xb3\xb9\xbc-\xbe]").search
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
 
     def split(self, text: str) -> list:
         """Words of a text; special tokens stand as their ids."""
@@ -213,6 +212,16 @@ def parsed(content: str) -> WordBpe:
     return WordBpe(content)
 
 
+@functools.lru_cache(maxsize=1)
+def token_strings(content: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, width, bytes) of every id's string and a space; all that decoding needs of the file."""
+    spec = json.loads(content)
+    tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    names = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
+    width = np.array([len(x) + 1 if x else 0 for x in names])
+    return np.cumsum(width) - width, width, np.frombuffer(b"".join(x + b" " for x in names if x), np.uint8)
+
+
 # ---------------------------------------------------------------- the transducer
 
 
@@ -448,11 +457,7 @@ def decode(df: DataFrame, *, ids: str = "ids", output: str = "decoded", tokenize
     of_ids = [f.name for f in fields].index(ids)
 
     def run(batches):
-        tokens = parsed(shared.value).tokens
-        names = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
-        width = np.array([len(x) + 1 if x else 0 for x in names])
-        start = np.cumsum(width) - width
-        table = np.frombuffer(b"".join(x + b" " for x in names if x), np.uint8)
+        start, width, table = token_strings(shared.value)
         for batch in batches:
             lists = batch.column(of_ids)
             for part in steps(batch, [4 * (n or 0) for n in pa.compute.list_value_length(lists).to_pylist()]):

@@ -123,7 +123,7 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 # ---------------------------------------------------------------- each text and its successor
 
 
-def with_edits(docs: DataFrame, *, ngram: int = 5, n_perm: int = 128, rows_per_bucket: int = 4096) -> DataFrame:
+def with_edits(docs: DataFrame, *, ngram: int = 5, n_perm: int = 128, rows_per_bucket: int = 1024) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The next document follows in descending doc_id (ties by a hash of the text, then the text; null ids
@@ -166,7 +166,7 @@ def with_edits(docs: DataFrame, *, ngram: int = 5, n_perm: int = 128, rows_per_b
     main = F.struct(F.col("bucket"), F.lit(False).alias("tail"))
     copies = F.when(is_first, F.array(main, F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(main))
     sent = marked.select("doc_id", "text", F.hex("h").alias("x"), F.explode(copies).alias("c")).select("c.bucket", "c.tail", "doc_id", "x", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(firsts) // 2))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(firsts) // 4))
     placed = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "x", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
