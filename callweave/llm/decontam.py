@@ -13,6 +13,7 @@ mark words but are not listed. Repeated items and documents are each treated on
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +27,59 @@ from .textnp import Words
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _grams(items: list[tuple[str | None, str]], window: int) -> dict:
-    """length -> (sorted hashes, their (words, item ids) lists)."""
-    found: dict[int, dict[int, dict[bytes, set]]] = {}
+@dataclass(frozen=True)
+class Windows:
+    """The windows of a block of items, in arrays: about ten bytes for each byte of its text.
+
+    ``tables``: length -> (known, bounds, at); windows of hash ``known[i]`` begin at the words
+    ``at[bounds[i]:bounds[i + 1]]`` of ``words``.
+    """
+
+    words: Words
+    items: list
+    tables: dict
+
+    def owners(self, length: int, place: int, text: bytes) -> list | None:
+        """Sorted ids of the items with exactly this window; None if there is none."""
+        _, bounds, at = self.tables[length]
+        rows = [self.words.doc[i] for i in at[bounds[place] : bounds[place + 1]] if self.words.text(i, length) == text]
+        return sorted({self.items[r] for r in rows if self.items[r] is not None}) if rows else None
+
+
+def _windows(items: list[tuple[str | None, str]], window: int) -> Windows:
     words = Words(pa.array([text for _, text in items], pa.string()))
-    for row, (item, _) in enumerate(items):
-        lo, hi = int(words.first[row]), int(words.first[row + 1])
-        length = min(window, hi - lo)
-        if length:
-            found.setdefault(length, {})
-    for length, table in found.items():
+    lengths = np.minimum(np.diff(words.first), window)
+    tables = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
         at, hashes = words.windows(length)
-        for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
-            row = int(words.doc[i])
-            if min(window, int(words.first[row + 1] - words.first[row])) == length:
-                table.setdefault(h, {}).setdefault(words.text(i, length), set()).add(items[row][0])
-    return {length: (np.array(sorted(t), np.uint64), {h: {k: sorted(x for x in v if x is not None) for k, v in g.items()} for h, g in t.items()}) for length, t in found.items()}
+        own = lengths[words.doc[at]] == length
+        at, hashes = at[own], hashes[own]
+        order = np.argsort(hashes, kind="stable")
+        known, first = np.unique(hashes[order], return_index=True)
+        tables[length] = (known, np.append(first, len(order)), at[order])
+    return Windows(words, [item for item, _ in items], tables)
 
 
 def _scan(shared):
     def make():
-        grams = shared.value
+        benchmark = shared.value
+        met: dict[tuple[int, bytes], list | None] = {}  # no more entries than the block has windows, but for collisions
 
         def function(texts, old_spans, old_items):
             words = Words(texts)
             hits: dict[int, list] = {}
-            for length, (known, exact) in grams.items():
+            for length, (known, _, _) in benchmark.tables.items():
                 at, hashes = words.windows(length)
                 if not len(at):
                     continue
                 place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 for i in np.flatnonzero(known[place] == hashes):
                     begin = int(at[i])
-                    items = exact[int(hashes[i])].get(words.text(begin, length))
-                    if items is not None:
-                        hits.setdefault(int(words.doc[begin]), []).append((begin, begin + length, items))
+                    key = length, words.text(begin, length)
+                    if key not in met:
+                        met[key] = benchmark.owners(length, place[i], key[1])
+                    if met[key] is not None:
+                        hits.setdefault(int(words.doc[begin]), []).append((begin, begin + length, met[key]))
             spans, ids = old_spans.to_pylist(), old_items.to_pylist()
             for row, more in hits.items():
                 zero = int(words.first[row])
@@ -93,7 +112,7 @@ def find_contamination(
     )
     for block in range(blocks):  # one pass unless the benchmark is larger than a broadcast may be
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct().collect()
-        shared = spark.sparkContext.broadcast(_grams([(r["item"], r["text"]) for r in rows], window))
+        shared = spark.sparkContext.broadcast(_windows([(r["item"], r["text"]) for r in rows], window))
         out = append_columns(out, text, [text, "hit_spans", "hit_items"], outputs, _scan(shared))
     return out
 
