@@ -1,9 +1,9 @@
 """Cross-entropy difference of matched n-gram models (domain selection).
 
-A target and a background model of equal form share one vocabulary: words are hashed to ``2**word_bits``
-entries, word pairs to ``2**pair_bits``. Counts are taken over every text of either corpus; each task
-sends its table in compressed blocks, which are added up block by block. The finished models have a fixed
-size, whatever the corpus, and so may be broadcast. The loss of a word is -log of
+A target and a background model of equal form share one vocabulary: the words of either corpus. Words and
+word pairs are counted over every text under 64-bit keys, as a table with a row for each distinct one, which
+grows with the input and is never gathered on one machine. Documents are dealt into buckets of bounded text;
+the distinct keys of a bucket are joined to the counts and meet its documents again. The loss of a word is -log of
 
     0.6 c(v, w) / c(v) + 0.39 c(w) / N + 0.01 / V        (v: the word before; pairs within a text)
 
@@ -14,107 +14,134 @@ an empty corpus leaves the uniform part alone. Repeated rows count as often as t
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, steps, text_sizes
+from .common import steps, text_sizes
 from .textnp import Words, mixed
 
-BLOCK = 1 << 16
+#: Bytes of text of a bucket of documents.
+BUCKET = 16 << 20
+#: Words and pairs that a task gathers before it hands its counts on.
+GATHERED = 4 << 20
 PAIR, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
 
 
-@dataclass(frozen=True)
-class Model:
-    words: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, word: np.ndarray, pair: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """-log p of each word; ``pair`` are slots of (word before, word) where ``follows``."""
-        total = max(float(self.words.sum()), 1.0)
-        single = self.words[word] / total
-        before = np.maximum(np.append([1.0], self.words[word[:-1]]) if len(word) else np.empty(0), 1.0)
-        double = np.where(follows, np.minimum(self.pairs[pair] / before, 1.0), single)
-        return -np.log(PAIR * double + UNIGRAM * single + FLOOR / len(self.words))
-
-
-def _slots(words: Words, word_bits: int, pair_bits: int):
+def _keys(words: Words):
+    """Keys of the words (even) and of the pairs (word before, word) that end in them (odd), and which words have one before."""
     h = words.hash
     before = np.append(np.zeros(1, np.uint64), h[:-1]) if len(h) else h
     pair = mixed(before * np.uint64(0xD6E8FEB86659FD93) + h)
     follows = np.ones(len(h), bool)
     follows[words.first[:-1][np.diff(words.first) > 0]] = False
-    return (h & np.uint64((1 << word_bits) - 1)).astype(np.int64), (pair & np.uint64((1 << pair_bits) - 1)).astype(np.int64), follows
+    return (h & ~np.uint64(1)).view(np.int64), (pair | np.uint64(1)).view(np.int64), follows
+
 
+def _tally(keys: list[np.ndarray], counts: list[np.ndarray]):
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
-def count_model(docs: DataFrame, *, text: str = "text", word_bits: int = 18, pair_bits: int = 22) -> Model:
-    """The counts of one corpus."""
+
+def _counted(docs: DataFrame, text: str, pairs: bool) -> DataFrame:
+    """(key, n): partial counts of the words, and of the pairs if wanted."""
 
     def count(batches):
-        single, double = np.zeros(1 << word_bits, np.uint32), np.zeros(1 << pair_bits, np.uint32)
+        keys, counts, size = [], [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _tally(keys, counts)], names=["key", "n"])
+
         for batch in batches:
             for part in steps(batch, text_sizes(batch.column(0))):
-                word, pair, follows = _slots(Words(part.column(0)), word_bits, pair_bits)
-                single += np.bincount(word, minlength=len(single)).astype(np.uint32)
-                slots, counts = np.unique(pair[follows], return_counts=True)
-                double[slots] += counts.astype(np.uint32)
-        for kind, table in enumerate((single, double)):
-            blocks = table.reshape(-1, min(BLOCK, len(table)))
-            for i in np.flatnonzero(blocks.any(axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(blocks[i].astype(np.uint64).tobytes(), 1)])], names=["kind", "block", "counts"])
-
-    def add(batches):
-        key, total = None, None
-        for batch in batches:
-            for kind, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table = np.frombuffer(zlib.decompress(packed), np.uint64)
-                if key == (kind, block):
-                    total = total + table
-                    continue
-                if key is not None:
-                    yield row(key, total)
-                key, total = (kind, block), table
-        if key is not None:
-            yield row(key, total)
-
-    def row(key, total):
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)])], names=["kind", "block", "counts"])
-
-    schema = "kind int, block int, counts binary"
-    parts = docs.select(F.col(text)).mapInArrow(count, schema)
-    rows = parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(add, schema).collect()
-    tables = [np.zeros(1 << word_bits, np.float32), np.zeros(1 << pair_bits, np.float32)]
-    for r in rows:
-        size = min(BLOCK, len(tables[r["kind"]]))
-        tables[r["kind"]][r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.float32)
-    return Model(*tables)
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, text: str = "text", word_bits: int = 18, pair_bits: int = 22) -> DataFrame:
-    """``docs`` with n_words, target_loss, background_loss (mean per word) and their difference."""
-    models = [count_model(c, text=text, word_bits=word_bits, pair_bits=pair_bits) for c in (target, background)]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        def function(texts):
-            words = Words(texts)
-            slots = _slots(words, word_bits, pair_bits)
-            counts = np.diff(words.first)
-            means = []
-            for model in shared.value:
-                sums = np.concatenate([[0.0], np.cumsum(model.losses(*slots))])
-                means.append((sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(counts, 1))
-            none = counts == 0
-            columns = [np.round(m, 6) for m in (means[0], means[1], means[0] - means[1])]
-            return [pa.array(counts.astype(np.int64)), *(pa.array(c, pa.float64(), mask=none) for c in columns)]
+                word, pair, follows = _keys(Words(part.column(0)))
+                for met in (word, pair[follows])[: 1 + pairs]:
+                    found, n = np.unique(met, return_counts=True)
+                    keys.append(found)
+                    counts.append(n)
+                    size += len(found)
+                if size > GATHERED:
+                    yield made()
+                    keys, counts, size = [], [], 0
+        if size:
+            yield made()
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(count, "key long, n long")
+
+
+def count_table(target: DataFrame, background: DataFrame, *, text: str = "text", pairs: bool = True) -> DataFrame:
+    """(key, target, background): how often each word, and each pair, stands in either corpus."""
+    none = F.lit(0).cast("long")
+    ours = _counted(target, text, pairs).select("key", F.col("n").alias("target"), none.alias("background"))
+    all_ = _counted(background, text, pairs).select("key", none.alias("target"), F.col("n").alias("background"))
+    return ours.unionAll(all_).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
 
-        return function
+def _losses(single: np.ndarray, double: np.ndarray, follows: np.ndarray, total: float, size: int) -> np.ndarray:
+    """-log p of each word from the counts of the words and of the pairs that end in them."""
+    before = np.maximum(np.append([1.0], single[:-1]) if len(single) else np.empty(0), 1.0)
+    share = single / max(total, 1.0)
+    return -np.log(PAIR * np.where(follows, np.minimum(double / before, 1.0), share) + UNIGRAM * share + FLOOR / size)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, text: str = "text", word_bits: int | None = None, pair_bits: int | None = None) -> DataFrame:
+    """``docs`` with n_words, target_loss, background_loss (mean per word) and their difference.
+
+    V is the number of distinct words of both corpora, or ``2**word_bits`` if that is given; ``pair_bits`` is taken
+    for the sake of earlier callers and has no effect.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     outputs = [("n_words", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
-    return append_columns(docs, text, [text], outputs, make)
+    kept = [f for f in docs.schema.fields if f.name not in [name for name, _ in outputs]]
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in outputs)])
+    kinds = to_arrow_schema(schema)
+
+    sums = count_table(target, background, text=text, pairs=False).agg(F.sum("target"), F.sum("background"), F.count("*")).first()
+    totals = [float(x or 0) for x in sums[:2]]
+    size = max(sums[2], 1) if word_bits is None else 1 << word_bits
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    bucket = F.pmod(F.xxhash64(*plain), F.lit(n_bytes // BUCKET + 1)).alias("__bucket")
+    dealt = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text"), bucket)
+
+    def parts(rows: pa.Table):
+        for batch in rows.to_batches():
+            yield from steps(batch, text_sizes(batch.column("__text")))
+
+    def asked(rows: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)]
+        for part in parts(rows):
+            word, pair, follows = _keys(Words(part.column("__text")))
+            found += [np.unique(word), np.unique(pair[follows])]
+        keys = np.unique(np.concatenate(found))
+        return pa.table({"__bucket": pa.array(np.full(len(keys), rows.column("__bucket")[0].as_py(), np.int64)), "key": pa.array(keys)})
+
+    def scored(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        key = counts.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        models = [counts.column(c).to_numpy()[order].astype(np.float64) for c in ("target", "background")]
+        made = []
+        for part in parts(rows):
+            words = Words(part.column("__text"))
+            word, pair, follows = _keys(words)
+            at, pair_at = np.searchsorted(key, word), np.zeros(len(word), np.int64)
+            pair_at[follows] = np.searchsorted(key, pair[follows])
+            n = np.diff(words.first)
+            means = []
+            for model, total in zip(models, totals, strict=True):
+                up = np.concatenate([[0.0], np.cumsum(_losses(model[at], model[pair_at], follows, total, size))])
+                means.append((up[words.first[1:]] - up[words.first[:-1]]) / np.maximum(n, 1))
+            columns = [np.round(m, 6) for m in (means[0], means[1], means[0] - means[1])]
+            new = [pa.array(n.astype(np.int64)), *(pa.array(c, pa.float64(), mask=n == 0) for c in columns)]
+            made.append(pa.RecordBatch.from_arrays([*(part.column(f.name).cast(kinds.field(f.name).type) for f in kept), *new], schema=kinds))
+        return pa.Table.from_batches(made, kinds)
+
+    wanted = dealt.groupBy("__bucket").applyInArrow(asked, "__bucket long, key long")
+    met = wanted.join(count_table(target, background, text=text).hint("merge"), "key", "left")
+    met = met.select("__bucket", "key", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("target", "background")))
+    return dealt.groupBy("__bucket").cogroup(met.groupBy("__bucket")).applyInArrow(scored, schema)

@@ -165,6 +165,35 @@ def test_losses_against_plain_counts(spark):
     assert lm.cross_entropy_difference(docs, docs.limit(0), docs.limit(0), word_bits=16, pair_bits=16).filter("abs(difference) > 0").count() == 0
 
 
+def test_counts_are_those_of_words_whatever_their_number(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)) for _ in range(30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    single, double, some, some_pairs = Counter(), Counter(), Counter(), Counter()
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        single.update(w)
+        double.update(zip(w, w[1:], strict=False))
+        if i < 10:
+            some.update(w)
+            some_pairs.update(zip(w, w[1:], strict=False))
+
+    def loss(w, words, pairs, size):
+        total = sum(words.values())
+        chances = [(pairs[w[i - 1], x] / max(words[w[i - 1]], 1) if i else words[x] / total) * 0.6 + 0.39 * words[x] / total + 0.01 / size for i, x in enumerate(w)]
+        return -sum(map(math.log, chances)) / len(w)
+
+    monkeypatch.setattr(lm, "BUCKET", 4000)
+    for bits in (None, 4):
+        found = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, docs.filter("doc_id < 10"), docs, word_bits=bits, pair_bits=bits).collect()}
+        assert len(found) == len(texts) and found[30]["difference"] is None and found[31]["n_words"] == 0
+        for i, t in enumerate(texts[:30]):
+            size = 16 if bits else len(single)
+            assert abs(found[i]["target_loss"] - loss(words_of(t), some, some_pairs, size)) < 1e-5
+            assert abs(found[i]["background_loss"] - loss(words_of(t), single, double, size)) < 1e-5
+    assert lm.cross_entropy_difference(docs.filter("doc_id >= 30"), docs, docs).filter("n_words = 0 and difference is null").count() == 2
+
+
 # ---------------------------------------------------------------- token counts
 
 
