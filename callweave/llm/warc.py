@@ -2,7 +2,10 @@
 
 ``derive`` parses each response record (WARC and HTTP headers) and writes a ``metadata`` record (JSON:
 source headers, title, links) and a ``conversion`` record (plain text), each with WARC-Refers-To of the
-response, its target URI, date and payload digest, and digests of its own. A record that is not a
+response, WARC-Concurrent-To of the other, the target URI, date and payload digest of the response, all its
+WARC headers as ``X-Source-`` fields, and a block digest of its own. The digest that a response states is compared
+with its payload; ``source_digest`` and the field X-Source-Digest-Check tell the outcome: verified, mismatch,
+unknown (an algorithm not known here) or absent. The payload digest written is always that of the payload. A record that is not a
 well-formed response, or null, gives nulls and the status ``malformed``; an empty body gives empty text.
 Repeated records give equal derivatives: identifiers are made from content.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-FIELDS = [("status", "string"), ("response_id", "string"), ("target_uri", "string"), ("warc_date", "string"), ("payload_digest", "string"), ("metadata_id", "string"), ("conversion_id", "string"), ("metadata_record", "binary"), ("conversion_record", "binary"), ("title", "string"), ("plain_text", "string"), ("n_links", "long")]
+FIELDS = [("status", "string"), ("response_id", "string"), ("target_uri", "string"), ("warc_date", "string"), ("payload_digest", "string"), ("metadata_id", "string"), ("conversion_id", "string"), ("metadata_record", "binary"), ("conversion_record", "binary"), ("title", "string"), ("plain_text", "string"), ("n_links", "long"), ("source_digest", "string")]
 
 
 def response_record(url: Column, body: Column, date: str) -> Column:
@@ -67,30 +70,49 @@ def parse_record(record: bytes) -> tuple[dict, dict, bytes] | None:
     return headers, _headers(first.decode("latin-1").split("\r\n")[1:]), payload
 
 
-def _headers(lines: list[str]) -> dict[str, str]:
-    out: dict[str, str] = {}
+def _fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values in order, repeated ones too."""
+    out: list[tuple[str, str]] = []
     for line in lines:
         if line[:1] in (" ", "\t") and out:  # a folded line
-            out[next(reversed(out))] += " " + line.strip()
+            out[-1] = (out[-1][0], out[-1][1] + " " + line.strip())
         elif ":" in line:
             name, _, value = line.partition(":")
-            out[name.strip().lower()] = value.strip()
+            out.append((name.strip(), value.strip()))
     return out
 
 
+def _headers(lines: list[str]) -> dict[str, str]:
+    return {name.lower(): value for name, value in _fields(lines)}
+
+
 def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def digest_check(stated: str | None, payload: bytes) -> str:
+    """Whether a stated digest (hex or base32) is that of the payload."""
+    if not stated:
+        return "absent"
+    name, _, value = stated.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return "unknown"
+    digest = hashlib.new(name, payload).digest()
+    good = value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+    return "verified" if good else "mismatch"
+
+
 def _urn(*parts: str) -> str:
     h = hashlib.sha256("\n".join(parts).encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:32]}>"
 
 
-def write_record(kind: str, record_id: str, source: dict, content_type: str, block: bytes) -> bytes:
-    """A derivative of the response whose headers are ``source``."""
+def write_record(kind: str, record_id: str, other_id: str, source: dict, fields: list[tuple[str, str]], digest: str, check: str, content_type: str, block: bytes) -> bytes:
+    """A derivative, beside ``other_id``, of the response whose headers are ``source`` and, as they stand, ``fields``."""
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Refers-To: {source['warc-record-id']}", f"WARC-Target-URI: {source.get('warc-target-uri', '')}", f"WARC-Date: {source.get('warc-date', '')}",
+        f"WARC-Concurrent-To: {other_id}", f"WARC-Payload-Digest: {digest}", f"X-Source-Digest-Check: {check}", *(f"X-Source-{name}: {value}" for name, value in fields),
         f"WARC-Block-Digest: {sha1(block)}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -118,10 +140,13 @@ def derivatives(record: bytes | None) -> tuple:
             links.append(html.unescape(m[1] or m[2] or m[3] or ""))
     text = plain_text(page)
     own, uri = source["warc-record-id"], source.get("warc-target-uri")
-    digest = sha1(payload)
-    meta = json.dumps({"warc": source, "http": http, "payload_digest": digest, "title": title, "links": links}, sort_keys=True, ensure_ascii=False).encode()
+    digest, check = sha1(payload), digest_check(source.get("warc-payload-digest"), payload)
+    fields = _fields(record.partition(b"\r\n\r\n")[0].decode("utf-8", "replace").split("\r\n")[1:])
+    meta = json.dumps({"warc": source, "http": http, "payload_digest": digest, "source_digest": check, "title": title, "links": links}, sort_keys=True, ensure_ascii=False).encode()
     meta_id, text_id = _urn("metadata", own, digest), _urn("conversion", own, digest)
-    return ("ok", own, uri, source.get("warc-date"), digest, meta_id, text_id, write_record("metadata", meta_id, source, "application/json", meta), write_record("conversion", text_id, source, "text/plain; charset=utf-8", text.encode()), title, text, len(links))
+    meta_record = write_record("metadata", meta_id, text_id, source, fields, digest, check, "application/json", meta)
+    text_record = write_record("conversion", text_id, meta_id, source, fields, digest, check, "text/plain; charset=utf-8", text.encode())
+    return ("ok", own, uri, source.get("warc-date"), digest, meta_id, text_id, meta_record, text_record, title, text, len(links), check)
 
 
 def derive(records: DataFrame, *, record: str = "record") -> DataFrame:

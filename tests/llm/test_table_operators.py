@@ -105,6 +105,21 @@ def test_derivatives_keep_links_headers_and_digests(spark):
     assert warc.records(warc.derive(bad)).count() == 0 and warc.derive(bad.limit(0)).count() == 0
 
 
+def test_derivatives_carry_source_headers_and_a_checked_digest():
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello"
+    good = hashlib.sha1(b"<p>hello")
+    stated = {"sha1:" + good.hexdigest(): "verified", "SHA-1:" + base64.b32encode(good.digest()).decode(): "verified", "sha1:" + "0" * 40: "mismatch", "own:1": "unknown", None: "absent"}
+    for digest, outcome in stated.items():
+        head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\nWARC-IP-Address: 192.0.2.7\r\nWARC-Concurrent-To: <urn:b>\r\nWARC-Concurrent-To: <urn:c>\r\n"
+        head += (f"WARC-Payload-Digest: {digest}\r\n" if digest else "") + f"Content-Length: {len(body)}\r\n\r\n"
+        r = dict(zip([n for n, _ in warc.FIELDS], warc.derivatives(head.encode() + body + b"\r\n\r\n"), strict=True))
+        assert r["status"] == "ok" and r["source_digest"] == outcome
+        for name, other in (("metadata", "conversion"), ("conversion", "metadata")):
+            lines = r[f"{name}_record"].partition(b"\r\n\r\n")[0].decode().split("\r\n")
+            assert f"WARC-Payload-Digest: {warc.sha1(b'<p>hello')}" in lines and f"WARC-Concurrent-To: {r[f'{other}_id']}" in lines
+            assert {"X-Source-WARC-IP-Address: 192.0.2.7", "X-Source-WARC-Concurrent-To: <urn:b>", "X-Source-WARC-Concurrent-To: <urn:c>", f"X-Source-Digest-Check: {outcome}"} <= set(lines)
+
+
 # ---------------------------------------------------------------- minhash
 
 
