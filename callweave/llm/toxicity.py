@@ -39,44 +39,52 @@ STEMS = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with weights; stems match all words that begin with them."""
+    """Terms with weights; stems match all words that begin with them. Terms from ``long_from`` letters on may have ``long_edits``."""
 
     words: dict
     stems: dict
     max_edits: int = 1
     fuzzy_from: int = 5
+    long_from: int = 9
+    long_edits: int = 2
+
+    def allowed(self, length: int) -> int:
+        """Edits that a term of so many letters may have."""
+        if length < self.fuzzy_from:
+            return 0
+        return max(self.max_edits, self.long_edits) if length >= self.long_from else self.max_edits
 
 
 class FuzzyTrie:
     """The lexicon trie intersected with Levenshtein automata, determinised on demand."""
 
     def __init__(self, lexicon: Lexicon):
-        self.edits = lexicon.max_edits
+        self.allowed = lexicon.allowed
         self.children: list[dict[str, int]] = [{}]
         self.word: list[float | None] = [None]
         self.stem: list[float | None] = [None]
-        self.deep: list[bool] = [False]  # whether a term that may be misspelled lies below
+        self.deep: list[int] = [0]  # the most edits that a term below may have
         for term, weight in lexicon.words.items():
-            self._add(term, weight, self.word, len(term) >= lexicon.fuzzy_from)
+            self._add(term, weight, self.word, lexicon.allowed(len(term)))
         for term, weight in lexicon.stems.items():
-            self._add(term, weight, self.stem, False)
-        self.fuzzy_from = lexicon.fuzzy_from
+            self._add(term, weight, self.stem, 0)
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.begin = self._state({(0, 0): 0}, 0.0)
 
-    def _add(self, term: str, weight: float, into: list, fuzzy: bool) -> None:
+    def _add(self, term: str, weight: float, into: list, edits: int) -> None:
         node = 0
+        self.deep[0] = max(self.deep[0], edits)
         for letter in term:
             if letter not in self.children[node]:
                 self.children[node][letter] = len(self.children)
                 self.children.append({})
                 self.word.append(None)
                 self.stem.append(None)
-                self.deep.append(False)
+                self.deep.append(0)
             node = self.children[node][letter]
-            self.deep[node] = self.deep[node] or fuzzy
+            self.deep[node] = max(self.deep[node], edits)
         into[node] = weight
 
     def _state(self, nodes: dict, stem: float) -> int:
@@ -84,10 +92,10 @@ class FuzzyTrie:
         grow = list(nodes.items())
         while grow:  # letters of a term that the word leaves out
             (node, depth), used = grow.pop()
-            if used < self.edits:
+            if used < self.deep[node]:
                 for child in self.children[node].values():
                     key = (child, depth + 1)
-                    if self.deep[child] and nodes.get(key, 99) > used + 1:
+                    if used < self.deep[child] and nodes.get(key, 99) > used + 1:
                         nodes[key] = used + 1
                         grow.append((key, used + 1))
         key = (tuple(sorted(nodes.items())), stem)
@@ -111,11 +119,10 @@ class FuzzyTrie:
                 put(child, depth + 1, used)
                 if used == 0 and self.stem[child] is not None:
                     stem = max(stem, self.stem[child])
-            if used < self.edits:
-                if self.deep[node] or node == 0:
-                    put(node, depth, used + 1)
+            if used < self.deep[node]:
+                put(node, depth, used + 1)
                 for other, child in self.children[node].items():
-                    if other != letter and self.deep[child]:
+                    if other != letter and used < self.deep[child]:
                         put(child, depth + 1, used + 1)
         to = self._state(nodes, stem)
         self.steps[state][letter] = to
@@ -141,7 +148,7 @@ class FuzzyTrie:
             if weight is not None:
                 if used == 0:
                     exact = max(exact, weight)
-                elif depth >= self.fuzzy_from:
+                elif used <= self.allowed(depth):
                     fuzzy = max(fuzzy, weight)
         return exact, fuzzy
 
@@ -209,10 +216,9 @@ def _lexicon(counts: list, clean: int, toxic: int, min_support: int, min_odds: f
             (stems if kind else words)[term] = odds
     # a word or a longer stem adds nothing where a shorter stem is as good
     covered = lambda term, odds: any(stems.get(term[:k], -1.0) >= odds - 0.5 for k in STEMS if k < len(term))
-    often = {term for kind, term, t, _ in counts if not kind and t >= max(min_support, 0.01 * toxic)}
     keep_stems = {s: w for s, w in stems.items() if not covered(s, w)}
-    # words of many toxic documents stay all the same: they may be misspelled, stems may not
-    keep_words = {w: o for w, o in words.items() if not covered(w, o) or (w in often and o >= 4)}
+    # words that may be misspelled stay all the same: stems may not be
+    keep_words = {w: o for w, o in words.items() if len(w) >= Lexicon.fuzzy_from or not covered(w, o)}
     return Lexicon(keep_words, keep_stems)
 
 

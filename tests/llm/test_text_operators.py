@@ -252,6 +252,15 @@ def test_fuzzy_trie_against_edit_distance():
             assert got[1] >= fuzzy and (got[1] == fuzzy or words.get(word) == got[1] or any(len(t) >= 5 and edits(word, t) <= k and w == got[1] for t, w in words.items())), word
 
 
+def test_rare_and_long_terms_may_be_misspelled():
+    counts = [(0, "grumbock", 8, 0), (1, "grum", 40, 0), (0, "flarnishment", 6, 0), (1, "flar", 30, 0), (0, "zogg", 9, 0)]
+    trie = toxicity.FuzzyTrie(toxicity._lexicon(counts, 2000, 2000, 4, 2.5))
+    for word in ("grzmbock", "gumbock", "flxrnishmnt", "fxlarnishmemt"):
+        assert trie.match(word)[0] == 0 < trie.match(word)[1], word
+    for word in ("gxzmbock", "zoxg", "fxrnxshmnt"):
+        assert trie.match(word) == (0.0, 0.0), word
+
+
 def test_quotation_counts_less_than_abuse():
     reader = toxicity.Reader(toxicity.Lexicon({"idiot": 6.0}, {}))
     plain, quoted, said, loose = (reader.features(t) for t in ("you are an idiot and more", 'the word "idiot" is an insult', "he said idiot to them", "you are an idiott and more"))
