@@ -1,22 +1,27 @@
 """Cross-entropy difference of matched n-gram models (domain selection).
 
 A target and a background model of equal form share one vocabulary: the words of either corpus. Words and
-word pairs are counted over every text under 64-bit keys, as a table with a row for each distinct one, which
-grows with the input and is never gathered on one machine. Documents are dealt into buckets of bounded text;
-the distinct keys of a bucket are joined to the counts and meet its documents again. The loss of a word is -log of
+word pairs are counted over every text under 64-bit keys; nothing is pruned, hashed into slots or gathered on
+one machine, and the counts grow with the input. Documents are dealt into buckets of bounded text. A bucket
+sends its distinct keys with their own counts, packed, to the ranges of keys; a range adds up what all buckets
+hold of it and answers each with the totals in the order of its keys; the answers meet the bucket's documents
+again. The loss of a word is -log of
 
     0.6 c(v, w) / c(v) + 0.39 c(w) / N + 0.01 / V        (v: the word before; pairs within a text)
 
 and a document's score is the mean over its words of target loss less background loss: lower is
-nearer to the target. Words are those of ``textnp``. Null and empty texts have no words and null losses;
-an empty corpus leaves the uniform part alone. Repeated rows count as often as they stand.
+nearer to the target. With ``leave_own_out`` a document that is part of a corpus is scored by that corpus
+without it, so none is near to itself only. Words are those of ``textnp``. Null and empty texts have no words and
+null losses; an empty corpus leaves the uniform part alone. Repeated rows count as often as they stand; rows that
+are alike in every column share a bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +30,12 @@ from .textnp import Words, mixed
 
 #: Bytes of text of a bucket of documents.
 BUCKET = 16 << 20
-#: Words and pairs that a task gathers before it hands its counts on.
+#: Bytes of text whose keys make one range on average.
+RANGE = 64 << 20
+#: Words that a task gathers before it hands its counts on.
 GATHERED = 4 << 20
 PAIR, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
+OUTPUTS = [("n_words", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
 
 
 def _keys(words: Words):
@@ -37,111 +45,220 @@ def _keys(words: Words):
     pair = mixed(before * np.uint64(0xD6E8FEB86659FD93) + h)
     follows = np.ones(len(h), bool)
     follows[words.first[:-1][np.diff(words.first) > 0]] = False
-    return (h & ~np.uint64(1)).view(np.int64), (pair | np.uint64(1)).view(np.int64), follows
+    return h & ~np.uint64(1), pair | np.uint64(1), follows
 
 
-def _tally(keys: list[np.ndarray], counts: list[np.ndarray]):
+def _tally(keys: list[np.ndarray], *weights: list[np.ndarray]):
+    """Sorted distinct keys and the sum of each kind of weight."""
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+    return found, *(np.bincount(at, np.concatenate(w), len(found)).astype(np.int64) for w in weights)
 
 
-def _counted(docs: DataFrame, text: str, pairs: bool) -> DataFrame:
-    """(key, n): partial counts of the words, and of the pairs if wanted."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, compressed: the equal leading bytes of sorted or small numbers cost nothing."""
+    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
+
+
+def _size(rows: DataFrame, marks: DataFrame | None):
+    """Words of the target, words of the background, distinct words of either."""
+    marked = marks is not None
 
     def count(batches):
-        keys, counts, size = [], [], 0
+        keys, ours, theirs, size = [], [], [], 0
 
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _tally(keys, counts)], names=["key", "n"])
+        def made(kind, key, t, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(t), pa.array(b)], names=["kind", "key", "t", "b"])
 
         for batch in batches:
             for part in steps(batch, text_sizes(batch.column(0))):
-                word, pair, follows = _keys(Words(part.column(0)))
-                for met in (word, pair[follows])[: 1 + pairs]:
-                    found, n = np.unique(met, return_counts=True)
-                    keys.append(found)
-                    counts.append(n)
-                    size += len(found)
+                words = Words(part.column(0))
+                found, at = np.unique(words.hash & ~np.uint64(1), return_inverse=True)
+                for many, into in ((part.column(1), ours), (part.column(2), theirs)):
+                    into.append(np.bincount(at, many.to_numpy()[words.doc], len(found)))
+                keys.append(found)
+                size += len(found)
+                if marked:  # the length of each row, which counts for the target if a mark meets it
+                    n = np.diff(words.first).astype(np.int64)
+                    yield made(1, part.column(3).to_numpy(), n, np.zeros(len(n), np.int64))
                 if size > GATHERED:
-                    yield made()
-                    keys, counts, size = [], [], 0
+                    yield made(0, *_tally(keys, ours, theirs))
+                    keys, ours, theirs, size = [], [], [], 0
         if size:
-            yield made()
+            yield made(0, *_tally(keys, ours, theirs))
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(count, "key long, n long")
+    each = rows.select("__text", "__t", "__b", "__h").mapInArrow(count, "kind int, key long, t long, b long").withColumn("mark", F.lit(False))
+    if marked:
+        zero = F.lit(0).cast("long")
+        each = each.unionByName(marks.select(F.lit(1).alias("kind"), F.col("__h").alias("key"), zero.alias("t"), zero.alias("b"), F.lit(True).alias("mark")))
+    each = each.groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.max("mark").alias("mark")).filter("(kind = 0 and (t > 0 or b > 0)) or mark")
+    t, b, n = each.agg(F.sum("t"), F.sum("b"), F.count_if(F.col("kind") == 0)).first()
+    return float(t or 0), float(b or 0), max(n, 1)
 
 
-def count_table(target: DataFrame, background: DataFrame, *, text: str = "text", pairs: bool = True) -> DataFrame:
-    """(key, target, background): how often each word, and each pair, stands in either corpus."""
-    none = F.lit(0).cast("long")
-    ours = _counted(target, text, pairs).select("key", F.col("n").alias("target"), none.alias("background"))
-    all_ = _counted(background, text, pairs).select("key", none.alias("target"), F.col("n").alias("background"))
-    return ours.unionAll(all_).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+def _parts(rows: pa.Table):
+    for batch in rows.to_batches():
+        yield from steps(batch, text_sizes(batch.column("__text")))
 
 
-def _losses(single: np.ndarray, double: np.ndarray, follows: np.ndarray, total: float, size: int) -> np.ndarray:
+def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each key stands in its own document."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.empty(0, np.int64)
+    many = np.diff(np.append(begins, len(key)))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(many, many)
+    return out
+
+
+def _losses(single: np.ndarray, double: np.ndarray, follows: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
     """-log p of each word from the counts of the words and of the pairs that end in them."""
     before = np.maximum(np.append([1.0], single[:-1]) if len(single) else np.empty(0), 1.0)
-    share = single / max(total, 1.0)
+    share = single / np.maximum(total, 1.0)
     return -np.log(PAIR * np.where(follows, np.minimum(double / before, 1.0), share) + UNIGRAM * share + FLOOR / size)
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, text: str = "text", word_bits: int | None = None, pair_bits: int | None = None) -> DataFrame:
-    """``docs`` with n_words, target_loss, background_loss (mean per word) and their difference.
+def _flagged(bucket: pa.Table) -> pa.Table:
+    """The rows with text; those that a row without text, of equal hash, marks are of the target."""
+    said = pc.is_valid(bucket.column("__text"))
+    body, marks = bucket.filter(said), bucket.filter(pc.invert(said)).column("__h")
+    if not len(marks):
+        return body
+    return body.set_column(body.column_names.index("__t"), "__t", pc.is_in(body.column("__h"), value_set=marks).cast(pa.int32()))
 
-    V is the number of distinct words of both corpora, or ``2**word_bits`` if that is given; ``pair_bits`` is taken
-    for the sake of earlier callers and has no effect.
+
+def _scores(rows: DataFrame, kept: list[T.StructField], leave_own_out: bool, size: int | None, marks: DataFrame | None = None) -> DataFrame:
+    """``rows``: the kept columns, __text, __t and __b (times a row counts in target and background), __scored, __h.
+
+    ``marks``: values of __h whose rows are of the target.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    outputs = [("n_words", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("difference", T.DoubleType())]
-    kept = [f for f in docs.schema.fields if f.name not in [name for name, _ in outputs]]
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in outputs)])
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in OUTPUTS)])
     kinds = to_arrow_schema(schema)
+    own = [F.col(f"`{f.name}`") for f in kept]
+    silent = rows.filter("__scored and (__text is null or __text = '')")
+    wordless = silent.select(*own, F.lit(0).cast("long").alias("n_words"), *(F.lit(None).cast("double").alias(n) for n, _ in OUTPUTS[1:]))
+    spoken = rows.filter("__text <> ''")
+    ours, theirs, distinct = _size(spoken, marks)
+    size = size or distinct
+    n_bytes = spoken.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
+    if marks is not None:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+        spoken = spoken.unionByName(marks.select(*nothing, *_row(F.lit(None).cast("string"), F.lit(0), F.lit(0), False, F.col("__h"))))
+    dealt = spoken.withColumn("__bucket", F.pmod("__h", F.lit(n_bytes // BUCKET + 1)))
+    bits = (n_bytes // RANGE).bit_length()
+
+    def keys_of(bucket: pa.Table):
+        """Distinct keys of a bucket in order, with their counts in it."""
+        keys, t, b = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]
+        for part in _parts(bucket):
+            words = Words(part.column("__text"))
+            word, pair, follows = _keys(words)
+            found, at = np.unique(np.concatenate([word, pair[follows]]), return_inverse=True)
+            doc = np.concatenate([words.doc, words.doc[follows]])
+            keys.append(found)
+            for name, into in (("__t", t), ("__b", b)):
+                into.append(np.bincount(at, part.column(name).to_numpy()[doc], len(found)))
+        return _tally(keys, t, b)
+
+    def cuts(keys: np.ndarray) -> np.ndarray:
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+        return np.append(np.searchsorted(keys, edges), len(keys))
+
+    def asked(bucket: pa.Table) -> pa.Table:
+        keys, t, b = keys_of(_flagged(bucket))
+        at = cuts(keys)
+        full = np.flatnonzero(np.diff(at))
+        packed = [[_packed(x[at[r] : at[r + 1]]) for r in full] for x in (keys, t, b)]
+        number = bucket.column("__bucket")[0].as_py()
+        return pa.table(
+            [pa.array(full.astype(np.int64)), pa.array(np.full(len(full), number, np.int64)), pa.array(np.diff(at)[full]), *(pa.array(p, pa.binary()) for p in packed)],
+            names=["range", "__bucket", "n", "keys", "t", "b"],
+        )
+
+    def answered(asks: pa.Table) -> pa.Table:
+        many = asks.column("n").to_pylist()
+        keys, t, b = ([_unpacked(data, n) for data, n in zip(asks.column(c).to_pylist(), many, strict=True)] for c in ("keys", "t", "b"))
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum(many)[:-1]
+        totals = [[_packed(x) for x in np.split(np.bincount(at, np.concatenate(w))[at].astype(np.int64), ends)] for w in (t, b)]
+        return pa.table([asks.column("__bucket"), asks.column("range"), asks.column("n"), *(pa.array(x, pa.binary()) for x in totals)], names=["__bucket", "range", "n", "t", "b"])
 
-    sums = count_table(target, background, text=text, pairs=False).agg(F.sum("target"), F.sum("background"), F.count("*")).first()
-    totals = [float(x or 0) for x in sums[:2]]
-    size = max(sums[2], 1) if word_bits is None else 1 << word_bits
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
-
-    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    bucket = F.pmod(F.xxhash64(*plain), F.lit(n_bytes // BUCKET + 1)).alias("__bucket")
-    dealt = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text"), bucket)
-
-    def parts(rows: pa.Table):
-        for batch in rows.to_batches():
-            yield from steps(batch, text_sizes(batch.column("__text")))
-
-    def asked(rows: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)]
-        for part in parts(rows):
-            word, pair, follows = _keys(Words(part.column("__text")))
-            found += [np.unique(word), np.unique(pair[follows])]
-        keys = np.unique(np.concatenate(found))
-        return pa.table({"__bucket": pa.array(np.full(len(keys), rows.column("__bucket")[0].as_py(), np.int64)), "key": pa.array(keys)})
-
-    def scored(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        key = counts.column("key").to_numpy()
-        order = np.argsort(key)
-        key = key[order]
-        models = [counts.column(c).to_numpy()[order].astype(np.float64) for c in ("target", "background")]
+    def scored(bucket: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket = _flagged(bucket)
+        if not pc.any(bucket.column("__scored")).as_py():
+            return pa.Table.from_batches([], kinds)
+        keys = keys_of(bucket)[0]
+        answers = answers.sort_by("range")
+        many = answers.column("n").to_pylist()
+        models = [np.concatenate([_unpacked(data, n) for data, n in zip(answers.column(c).to_pylist(), many, strict=True)] or [np.empty(0)]).astype(np.float64) for c in ("t", "b")]
         made = []
-        for part in parts(rows):
+        for part in _parts(bucket):
             words = Words(part.column("__text"))
             word, pair, follows = _keys(words)
-            at, pair_at = np.searchsorted(key, word), np.zeros(len(word), np.int64)
-            pair_at[follows] = np.searchsorted(key, pair[follows])
+            at, pair_at = np.searchsorted(keys, word), np.zeros(len(word), np.int64)
+            pair_at[follows] = np.searchsorted(keys, pair[follows])
             n = np.diff(words.first)
+            mine = (_own(words.doc, word), _own(words.doc, np.where(follows, pair, np.uint64(0)))) if leave_own_out else (0, 0)
             means = []
-            for model, total in zip(models, totals, strict=True):
-                up = np.concatenate([[0.0], np.cumsum(_losses(model[at], model[pair_at], follows, total, size))])
+            for model, total, name in zip(models, (ours, theirs), ("__t", "__b"), strict=True):
+                times = part.column(name).to_numpy()[words.doc] if leave_own_out else 0
+                single, double = model[at] - mine[0] * times, model[pair_at] - mine[1] * times
+                left = total - n[words.doc] * times if leave_own_out else np.full(len(word), total)
+                up = np.concatenate([[0.0], np.cumsum(_losses(single, double, follows, left, size))])
                 means.append((up[words.first[1:]] - up[words.first[:-1]]) / np.maximum(n, 1))
             columns = [np.round(m, 6) for m in (means[0], means[1], means[0] - means[1])]
             new = [pa.array(n.astype(np.int64)), *(pa.array(c, pa.float64(), mask=n == 0) for c in columns)]
-            made.append(pa.RecordBatch.from_arrays([*(part.column(f.name).cast(kinds.field(f.name).type) for f in kept), *new], schema=kinds))
+            whole = pa.RecordBatch.from_arrays([*(part.column(f.name).cast(kinds.field(f.name).type) for f in kept), *new], schema=kinds)
+            made.append(whole.filter(part.column("__scored")))
         return pa.Table.from_batches(made, kinds)
 
-    wanted = dealt.groupBy("__bucket").applyInArrow(asked, "__bucket long, key long")
-    met = wanted.join(count_table(target, background, text=text).hint("merge"), "key", "left")
-    met = met.select("__bucket", "key", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("target", "background")))
-    return dealt.groupBy("__bucket").cogroup(met.groupBy("__bucket")).applyInArrow(scored, schema)
+    asks = dealt.groupBy("__bucket").applyInArrow(asked, "range long, __bucket long, n long, keys binary, t binary, b binary")
+    answers = asks.groupBy("range").applyInArrow(answered, "__bucket long, range long, n long, t binary, b binary")
+    return dealt.groupBy("__bucket").cogroup(answers.groupBy("__bucket")).applyInArrow(scored, schema).unionByName(wordless)
+
+
+def _kept(docs: DataFrame, text: str) -> list[T.StructField]:
+    return [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in [text, *(name for name, _ in OUTPUTS)]]
+
+
+def _row(text: Column, target: Column, background: Column, scored: bool, h: Column) -> list[Column]:
+    return [text.alias("__text"), target.cast("int").alias("__t"), background.cast("int").alias("__b"), F.lit(scored).alias("__scored"), h.alias("__h")]
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, text: str = "text", word_bits: int | None = None, pair_bits: int | None = None) -> DataFrame:
+    """``docs``, but for the text, with n_words, target_loss, background_loss (mean per word) and their difference.
+
+    V is the number of distinct words of both corpora, or ``2**word_bits`` if that is given; ``pair_bits`` is taken
+    for the sake of earlier callers and has no effect. Columns of ``docs`` named as a result are replaced.
+    """
+    kept = _kept(docs, text)
+    said = F.col(f"`{text}`")
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), *_row(said, F.lit(0), F.lit(0), True, _hash(docs)))
+    for corpus, t, b in ((target, 1, 0), (background, 0, 1)):
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+        rows = rows.unionByName(corpus.select(*none, *_row(said, F.lit(t), F.lit(b), False, _hash(corpus))))
+    return _scores(rows, kept, False, None if word_bits is None else 1 << word_bits)
+
+
+def score_within(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leave_own_out: bool = True) -> DataFrame:
+    """``docs``, but for the text, with the same four columns: all are the background, those in ``target_ids`` the target.
+
+    Which row is of the target is found on ids and hashes alone, so that each text is shuffled once only, into its bucket.
+    """
+    kept = _kept(docs, text)
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), *_row(F.col(f"`{text}`"), F.lit(0), F.lit(1), True, _hash(docs)))
+    ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("__id")).distinct()
+    small = docs.filter(F.col(f"`{text}`") != "").select(F.col(f"`{doc_id}`").alias("__id"), _hash(docs).alias("__h"))
+    marks = small.join(ids.hint("merge"), "__id", "left_semi").select("__h").distinct()
+    return _scores(rows, kept, leave_own_out, None, marks)

@@ -194,6 +194,47 @@ def test_counts_are_those_of_words_whatever_their_number(spark, monkeypatch):
     assert lm.cross_entropy_difference(docs.filter("doc_id >= 30"), docs, docs).filter("n_words = 0 and difference is null").count() == 2
 
 
+def test_cross_entropy_query(spark):
+    """Each document by counts of all others: the target without itself, the background without itself."""
+    texts = {r["doc_id"]: words_of(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()} & set(texts)
+    assert good
+    models = []
+    for ids in (good, set(texts)):
+        single, double = Counter(), Counter()
+        for d in ids:
+            single.update(texts[d])
+            double.update(zip(texts[d], texts[d][1:], strict=False))
+        models.append((ids, single, double))
+    size = len(models[1][1])
+    found = {r["doc_id"]: r for r in queries.op2_cross_entropy(spark, SF).collect()}
+    assert set(found) == set(texts)
+    for d, w in texts.items():
+        r = found[d]
+        assert r["n_words"] == len(w)
+        for (ids, single, double), column in zip(models, ("target_loss", "background_loss"), strict=True):
+            own, own_pairs = (Counter(w), Counter(zip(w, w[1:], strict=False))) if d in ids else (Counter(), Counter())
+            total = max(sum(single.values()) - sum(own.values()), 1)
+            loss = 0.0
+            for i, x in enumerate(w):
+                share = (single[x] - own[x]) / total
+                pair = share
+                if i:
+                    pair = min((double[w[i - 1], x] - own_pairs[w[i - 1], x]) / max(single[w[i - 1]] - own[w[i - 1]], 1), 1.0)
+                loss -= math.log(0.6 * pair + 0.39 * share + 0.01 / size)
+            assert (r[column] is None) if not w else abs(r[column] - loss / len(w)) < 1e-5
+
+
+def test_scores_within_odd_rows(spark):
+    docs = odd_docs(spark).withColumn("difference", F.lit("old"))
+    out = lm.score_within(docs, docs.filter("doc_id > 2").select("doc_id")).collect()
+    assert len(out) == len(ODD) and sum(r["n_words"] == 0 for r in out) == 3
+    alike = [r["background_loss"] for r in out if r["n_words"] == 1 and r["doc_id"] in (3, None, 9)]
+    assert alike and max(alike) - min(alike) < 1e-9
+    assert lm.score_within(docs.limit(0), docs.select("doc_id")).count() == 0
+    assert lm.score_within(docs, docs.limit(0).select("doc_id")).count() == len(ODD)
+
+
 # ---------------------------------------------------------------- token counts
 
 
