@@ -31,7 +31,7 @@ from .textnp import Words, mixed
 #: Bytes of text of a bucket of documents.
 BUCKET = 16 << 20
 #: Bytes of text whose keys make one range on average.
-RANGE = 64 << 20
+RANGE = 16 << 20
 #: Words that a task gathers before it hands its counts on.
 GATHERED = 4 << 20
 PAIR, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
