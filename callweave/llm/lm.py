@@ -29,7 +29,7 @@ from .common import steps, text_sizes
 from .textnp import Words, mixed
 
 #: Bytes of text of a bucket of documents.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 #: Bytes of text whose keys make one range on average.
 RANGE = 16 << 20
 #: Words that a task gathers before it hands its counts on.

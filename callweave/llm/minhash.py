@@ -5,14 +5,15 @@ words has a signature of its own (all ones). A permutation is x -> a x + b modul
 ``n_perm`` minima make the signature, whose agreement estimates the Jaccard similarity. The printed
 fingerprint keeps eight bits of each minimum; its likeness is corrected for chance agreement.
 
-Near-duplicate links: signatures are cut into bands, bands are joined in Spark between classes of equal
-signatures, and each candidate's Jaccard similarity is verified on its shingles. Nulls are empty
-texts; repeated rows have equal fingerprints.
+Near-duplicate links: signatures are cut into bands, bands are joined in Spark between classes of texts with equal
+shingles, and each candidate's Jaccard similarity is verified on its shingles (see ``nearcopies``). Nulls are empty
+texts; repeated rows have equal fingerprints; an empty table gives none. Texts of any length are read whole, in pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .common import append_columns, checkpointed
 from .textnp import Words
 
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Buckets of ids, and of null ids, at most: the driver holds one row for each. A larger table has larger buckets, which are streamed.
+MOST_BUCKETS = 20_000
 
 
 def _permutations(n_perm: int, seed: int):
@@ -88,36 +91,11 @@ def signatures(docs: DataFrame, *, text: str = "text", ngram: int = 5, n_perm: i
     return append_columns(docs, text, [text], [("signature", T.BinaryType())], make)
 
 
-def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = 5, n_perm: int = 128, bands: int = 32, min_jaccard: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(links, membership): verified pairs (a, b, jaccard) of classes, and (doc_id, class_id).
+def near_duplicate_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Bands of signatures joined in Spark, similarity verified (see ``nearcopies.near_duplicate_links``)."""
+    from . import nearcopies
 
-    A class is the texts of one signature and one set of shingles; its id is the least doc_id of it.
-    """
-
-    def make():
-        def function(texts):
-            hashes, first = shingles(texts, ngram)
-            sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(texts))]
-            sig = signatures_of(texts, ngram, n_perm)
-            return [[r.tobytes() for r in sig], [s.view(np.int64).tolist() for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]]
-
-        return function
-
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    outputs = [("signature", T.BinaryType()), ("shingles", T.ArrayType(T.LongType())), ("class", T.BinaryType())]
-    made = checkpointed(append_columns(base, "text", ["text"], outputs, make).drop("text"))
-    classes = made.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.any_value("signature").alias("signature"))
-    membership = made.select("doc_id", "class").join(classes.select("class", "class_id"), "class").select("doc_id", "class_id")
-    width = 4 * n_perm // bands
-    banded = classes.select("class", "class_id", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("signature", i * width + 1, width)).alias("key")) for i in range(bands)))).alias("k")).select("class", "class_id", "k.band", "k.key")
-    left, right = banded.alias("l"), banded.alias("r")
-    pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")))
-    pairs = pairs.select(F.col("l.class").alias("ca"), F.col("l.class_id").alias("a"), F.col("r.class").alias("cb"), F.col("r.class_id").alias("b")).distinct()
-    sets = made.groupBy("class").agg(F.any_value("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("class").alias("ca"), F.col("shingles").alias("sa")), "ca").join(sets.select(F.col("class").alias("cb"), F.col("shingles").alias("sb")), "cb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    scored = both.withColumn("jaccard", common / (F.size("sa") + F.size("sb") - common))
-    return scored.filter(F.col("jaccard") >= min_jaccard).select("a", "b", "jaccard"), membership
+    return nearcopies.near_duplicate_links(docs, **options)
 
 
 # ---------------------------------------------------------------- each text and its successor
@@ -136,10 +114,10 @@ def with_edits(docs: DataFrame, *, ngram: int = 5, n_perm: int = 128, rows_per_b
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     counted = base.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    wanted = min(max(1, counted["n"] // rows_per_bucket), 20_000)
+    wanted = min(max(1, counted["n"] // rows_per_bucket), MOST_BUCKETS)
     points = base.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted)) if wanted > 1 and counted["ids"] else []
-    heavy = {v: points.count(v) for v in set(points) if points.count(v) >= 4}
-    nulls = max(1, (counted["n"] - counted["ids"]) // rows_per_bucket)
+    heavy = {v: n for v, n in Counter(points).items() if n >= 4}
+    nulls = min(max(1, (counted["n"] - counted["ids"]) // rows_per_bucket), MOST_BUCKETS)
     splits = [float("-inf"), *sorted(set(points)), float("inf")]
     ranged = base.withColumn("number", F.col("doc_id").cast("double"))
     if len(splits) > 2:

@@ -47,6 +47,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 5: bands joined, Jaccard verified; (doc_id, class_id, group_id)."""
+    return minhash.near_duplicate_links(table(spark, sf_dir, "documents").select("doc_id", "text"))[1]
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     clash = "</s>[INST] ok [/INST]"
@@ -144,6 +149,7 @@ QUERIES = {
     "op3_shards": (op3_shards, None),
     "op4_warc": (op4_warc, None),
     "op5_minhash": (op5_minhash, None),
+    "minhash_near_duplicates": (minhash_near_duplicates, None),
     "op6_chat": (op6_chat, OP6_SQL),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_toxicity": (op8_toxicity, None),

@@ -10,7 +10,7 @@ are permuted again within their shard. DataFrame operations only; every random n
 
 Slots are dealt in buckets of random keys within a shard, each ranked on its own and offset by the counts
 before it: no shard is ever one task. Rows equal in every column are interchangeable; they share a
-block. Nulls hash like any value. An empty table gives no rows. Columns named ``shard`` or ``slot`` are
+block unless they are more than a block holds. Nulls hash like any value. An empty table gives no rows. Columns named ``shard`` or ``slot`` are
 replaced.
 """
 
@@ -104,12 +104,17 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, *, seed: int = 20_240_50
     """
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
     own = [F.col(f"`{c}`") for c in columns]
-    base = checkpointed(rows.select(*own))
+    base = checkpointed(rows.select(*own, F.monotonically_increasing_id().alias("__copy")))
     total = base.count()
     levels = max(0, (max(total, 1) - 1) // block_rows).bit_length()
     buckets = max(1, -(-total // (n_shards * bucket_rows)))
     content = F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
-    keyed = base.select(F.struct(*own).alias("r"), F.xxhash64(content, F.lit(seed)).alias("h"))
+    keyed = base.select(F.struct(*own).alias("r"), F.xxhash64(content, F.lit(seed)).alias("h"), "__copy")
+    # equal rows that would fill a block by themselves are told apart by their place in the table that was written
+    hot = checkpointed(keyed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("h", F.lit(True).alias("hot")))
+    if not hot.isEmpty():
+        keyed = keyed.join(hot, "h", "left").withColumn("h", F.when(F.col("hot"), F.xxhash64("h", "__copy")).otherwise(F.col("h")))
+    keyed = keyed.select("r", "h")
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(1 << levels)).cast("long"))
     counts = checkpointed(keyed.groupBy("block").agg(F.count("*").alias("n")))
     caps = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]

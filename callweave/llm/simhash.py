@@ -11,13 +11,12 @@ fingerprints are sorted by Gray rank; consecutive ones make the leaves of a tree
 bits that all below share. A pair of nodes is pruned when their shared bits differ too often or when
 both belong to one component already, and joined as a whole when all bits that may differ are few enough. Each bucket
 yields a spanning forest of its links, never all pairs. Buckets of over ``hot`` fingerprints are dealt
-again by blocks of their other bits, by the same rule. Components are found by large-star / small-star
+again by blocks of the bits they do not share, by the same rule and as often as it takes: after five times no more than
+sixteen bits are left, so no bucket can hold more than 65,536 distinct ones. Components are found by large-star / small-star
 rounds over a checkpointed edge table.
 
-``near_dedup`` keeps one document of each group. Its index fingerprint is over runs of two words, which a few
-changed words move less, and it searches a wider circle (eight bits); each pair is held against a second
-fingerprint, of 256 bits over runs of five words: 42 differing bits or fewer stand for a similarity of
-0.8. That test is part of the link, so a spanning forest is enough here too.
+``near_dedup`` keeps one document of each group of near copies; see ``nearcopies``, which uses this index within
+bands and decides by the exact similarity of shingle sets.
 
 Repeated fingerprints count once. Rows with a null id get a component like any other; a component of
 only null ids has a null component id.
@@ -26,10 +25,11 @@ only null ids has a null component id.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +41,10 @@ FAN = 8
 # ---------------------------------------------------------------- fingerprints
 
 
-def _votes(hashes: list[bytes], size: int) -> bytes:
+def _votes(hashes: list[bytes]) -> bytes:
     """A bit is set if it is set in over half of the hashes."""
-    rows = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, size)
-    counts = np.zeros(8 * size, np.int64)
+    rows = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+    counts = np.zeros(64, np.int64)
     for i in range(0, len(rows), 1 << 14):
         counts += np.unpackbits(rows[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > len(rows)).tobytes()
@@ -56,24 +56,19 @@ def _runs(words: list[bytes], ngram: int):
     return map(b" ".join, zip(*(words[i:] for i in range(ngram)), strict=False))
 
 
-def _maker(ngram: int, wide: int | None = None):
-    """The 64-bit fingerprint; with ``wide`` also the four words of a 256-bit one over runs of so many words."""
-
+def _maker(ngram: int):
     def make():
         import xxhash
 
-        short, long = xxhash.xxh64_digest, xxhash.xxh128_digest
+        digest = xxhash.xxh64_digest
 
-        def one(text) -> tuple[int, ...]:
+        def one(text) -> int:
             words = text.encode().lower().split() if text else []
-            bits = _votes([short(x, 42) for x in _runs(words, ngram)], 8) if words else bytes(8)
-            if wide:
-                bits += _votes([long(x, 42) + long(x, 43) for x in _runs(words, wide)], 32) if words else bytes(32)
-            return tuple(np.frombuffer(bits, ">i8").tolist())
+            bits = _votes([digest(x, 42) for x in _runs(words, ngram)]) if words else bytes(8)
+            return int.from_bytes(bits, "big", signed=True)
 
         def function(texts):
-            rows = [one(x) for x in texts.to_pylist()]
-            return [pa.array([r[i] for r in rows], pa.int64()) for i in range(5 if wide else 1)]
+            return [pa.array([one(x) for x in texts.to_pylist()], pa.int64())]
 
         return function
 
@@ -132,13 +127,12 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 class GrayTree:
     """The hierarchical index over buckets of fingerprints in Gray order."""
 
-    def __init__(self, bucket: np.ndarray, values: np.ndarray, wide: tuple[np.ndarray, ...] = (), wide_bits: int = 0):
+    def __init__(self, bucket: np.ndarray, values: np.ndarray, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         """``bucket``: non-decreasing numbers; ``values``: uint64 in Gray order within each bucket.
 
-        With ``wide`` (more words of 64 bits for each value) a link also needs ``wide_bits`` or fewer
-        differing bits there.
+        A link of few enough differing bits also needs the consent of ``accept``, if that is given.
         """
-        self.wide, self.wide_bits = wide, wide_bits
+        self.accept = accept
         self.bucket, self.values = [bucket], values
         self.all, self.any = [values], [values]
         self.begin: list[np.ndarray] = []
@@ -165,21 +159,19 @@ class GrayTree:
 
     def near(self, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
         good = np.bitwise_count(self.values[a] ^ self.values[b]) <= max_bits
-        if self.wide and good.any():
+        if self.accept and good.any():
             at = np.flatnonzero(good)
-            apart = sum(np.bitwise_count(w[a[at]] ^ w[b[at]]).astype(np.int64) for w in self.wide)
-            good[at[apart > self.wide_bits]] = False
+            good[at] = self.accept(a[at], b[at])
         return good
 
-    def forest(self, max_bits: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of pairs: a spanning forest of the links at ``max_bits`` or fewer."""
-        n, top = len(self.values), len(self.begin)
-        parent = np.arange(n)
+        n = len(self.values)
+        self.parent = np.arange(n)
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def join(a, b):
-            nonlocal parent
-            parent, used = _union(parent, a, b)
+            self.parent, used = _union(self.parent, a, b)
             if len(used):
                 out.append((a[used], b[used]))
 
@@ -188,18 +180,30 @@ class GrayTree:
             a = np.flatnonzero(self.bucket[0][:-step] == self.bucket[0][step:]) if n > step else np.empty(0, np.int64)
             a = a[self.near(a, a + step, max_bits)]
             join(a, a + step)
-        roots = np.arange(len(self.bucket[top]))
-        stack = [(top, roots, roots)]
+        self._descend(max_bits, join, whole=self.accept is None)
+        return _joined(out)
+
+    def across(self, max_bits: int, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all pairs at ``max_bits`` or fewer whose components differ."""
+        self.parent = np.unique(component, return_inverse=True)[1]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        self._descend(max_bits, lambda a, b: out.append((a, b)), whole=False)
+        return _joined(out)
+
+    def _descend(self, max_bits: int, take: Callable, whole: bool, chunk: int = 1 << 15) -> None:
+        """Hands over the near pairs of leaves of different components, from the roots of the trees downwards."""
+        roots = np.arange(len(self.bucket[-1]))
+        stack = [(len(self.begin), roots, roots)]
         while stack:
             level, a, b = stack.pop()
             if level == 0:
-                a, b = a[a != b], b[a != b]
+                apart = self.parent[a] != self.parent[b]
+                a, b = a[apart], b[apart]
                 near = self.near(a, b, max_bits)
-                join(a[near], b[near])
+                take(a[near], b[near])
                 continue
             if len(a) > chunk:
-                for i in range(0, len(a), chunk):
-                    stack.append((level, a[i : i + chunk], b[i : i + chunk]))
+                stack += [(level, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
                 continue
             x, y = self._expand(level, a, b)
             level -= 1
@@ -207,22 +211,16 @@ class GrayTree:
             apart = np.bitwise_count((self.all[level][x] ^ self.all[level][y]) & shared[x] & shared[y])
             x, y = x[apart <= max_bits], y[apart <= max_bits]
             if level:
-                lowest, highest = self._span(parent, level)
+                lowest, highest = self._span(self.parent, level)
                 same = (lowest[x] == highest[x]) & (lowest[y] == highest[y]) & (lowest[x] == lowest[y])
                 x, y = x[~same], y[~same]
-                free = np.bitwise_count((self.any[level][x] | self.any[level][y]) & ~(self.all[level][x] & self.all[level][y]))
-                whole = (free <= max_bits) & (not self.wide)
-                if whole.any():
-                    join(*self._star(level, x[whole], y[whole]))
-                    x, y = x[~whole], y[~whole]
-            else:
-                apart = parent[x] != parent[y]
-                x, y = x[apart], y[apart]
+                if whole:
+                    free = np.bitwise_count((self.any[level][x] | self.any[level][y]) & ~(self.all[level][x] & self.all[level][y]))
+                    if (free <= max_bits).any():
+                        take(*self._star(level, x[free <= max_bits], y[free <= max_bits]))
+                        x, y = x[free > max_bits], y[free > max_bits]
             if len(x):
                 stack.append((level, x, y))
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def _span(self, parent: np.ndarray, level: int):
         low = high = parent
@@ -249,8 +247,17 @@ class GrayTree:
         return a[a != b], b[a != b]
 
 
-def _bucket_links(max_bits: int, wide_bits: int, limit: int = 1 << 18):
-    """Rows (combo, block, value, node, wide ...), buckets together, to edges (a, b) of nodes."""
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def bucket_rows(pairs: Callable, value_at: int = 2, limit: int = 1 << 16) -> Callable:
+    """An Arrow function from rows (two columns that name the bucket, value, node ...), buckets together, to edges (a, b).
+
+    ``pairs`` gets whole buckets of two rows or more, each in the Gray order of its values, and returns two arrays of nodes.
+    """
 
     def run(batches):
         held = None
@@ -262,27 +269,34 @@ def _bucket_links(max_bits: int, wide_bits: int, limit: int = 1 << 18):
                     continue
             if held is None or not len(held[0]):
                 continue
-            combo, block = held[:2]
-            cut = len(combo)
+            first, second = held[:2]
+            cut = len(first)
             if batch is not None:  # the last bucket may go on in the next batch
-                last = np.flatnonzero((combo != combo[-1]) | (block != block[-1]))
+                last = np.flatnonzero((first != first[-1]) | (second != second[-1]))
                 cut = int(last[-1]) + 1 if len(last) else 0
             if not cut:
                 continue
             now, held = [z[:cut] for z in held], [z[cut:] for z in held]
-            order = np.lexsort((gray_rank(now[2].view(np.uint64)), now[1], now[0]))
-            combo, block, value, node, *wide = (z[order] for z in now)
-            bucket = np.cumsum(np.concatenate([[0], (combo[1:] != combo[:-1]) | (block[1:] != block[:-1])]))
-            many = np.bincount(bucket)[bucket] > 1
+            order = np.lexsort((gray_rank(now[value_at].view(np.uint64)), now[1], now[0]))
+            now = [z[order] for z in now]
+            edge = np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])])
+            many = np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1
             if many.any():
-                tree = GrayTree(bucket[many], value[many].view(np.uint64), tuple(w[many].view(np.uint64) for w in wide), wide_bits)
-                a, b = tree.forest(max_bits)
-                x, y = node[many][a], node[many][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                a, b = pairs(*(z[many] for z in now))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+def _bucket_links(max_bits: int):
+    def pairs(combo, block, value, node):
+        bucket = np.cumsum(np.concatenate([[0], (combo[1:] != combo[:-1]) | (block[1:] != block[:-1])]))
+        a, b = GrayTree(bucket, value.view(np.uint64)).forest(max_bits)
+        return node[a], node[b]
+
+    return bucket_rows(pairs)
+
+
 def _masks(bits: list[int], blocks: int, choose: int) -> list[int]:
     """Masks of every choice of ``choose`` out of ``blocks`` runs of the given bit positions."""
     parts = [int(sum(1 << int(b) for b in part)) for part in np.array_split(np.array(bits), blocks)]
@@ -293,40 +307,51 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _dealt(values: DataFrame, masks: list[int]) -> DataFrame:
-    """A row for each mask: (combo, block, value)."""
-    picks = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("value").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(masks)))
-    return values.select("*", F.explode(picks).alias("p")).select(F.col("p.combo").cast("long").alias("combo"), "p.block", *values.columns)
+def _dealt(rows: DataFrame, plan: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """A row for each (combo, mask) that ``plan`` gives for the row's combo: (combo, block, value, node)."""
+    table = [(now, combo, _signed(mask)) for now, more in plan.items() for combo, mask in more]
+    # no more rows than there are choices of blocks at this depth
+    masks = F.broadcast(rows.sparkSession.createDataFrame(table, "combo long, next long, mask long"))
+    return rows.join(masks, "combo").select(F.col("next").alias("combo"), F.col("value").bitwiseAND(F.col("mask")).alias("block"), "value", "node")
 
 
-def links(values: DataFrame, *, max_bits: int = 3, blocks: int = 4, choose: int | None = None, wide_bits: int = 0, hot: int = 4096) -> DataFrame:
+def links(values: DataFrame, *, max_bits: int = 3, blocks: int = 4, choose: int | None = None, hot: int = 4096, deepest: int = 5) -> DataFrame:
     """Edges (a, b) of nodes: their components are those of all links.
 
-    ``values``: distinct rows (value[, node, wide ...]); without ``node`` the value itself is the node.
+    ``values``: distinct rows (value[, node]); without ``node`` the value itself is the node.
     """
     choose = choose or blocks - max_bits
     if choose > blocks - max_bits:
         raise ValueError("a choice of more blocks than always agree loses links")
-    if "node" not in values.columns:
-        values = values.withColumn("node", F.col("value"))
-    values = values.select("value", "node", *(c for c in values.columns if c not in ("value", "node")))
-    bits = list(range(64))
-    masks = _masks(bits, blocks, choose)
-    dealt = _dealt(values, masks)
-    # buckets of over `hot` fingerprints are dealt again by blocks of the bits they do not share
-    sizes = checkpointed(dealt.groupBy("combo", "block").count().filter(F.col("count") > hot).select("combo", "block", F.lit(1).alias("is_hot")))
-    ready = dealt
-    if not sizes.isEmpty():
-        marked = dealt.join(sizes, ["combo", "block"], "left")
-        ready = marked.filter("is_hot is null").select(*dealt.columns)
-        again = marked.filter("is_hot is not null").select("combo", *values.columns)
-        for i, mask in enumerate(masks):
-            rest = [b for b in bits if not mask >> b & 1]
+    node = F.col("node") if "node" in values.columns else F.col("value")
+    now = values.select(F.lit(0).cast("long").alias("combo"), "value", node.alias("node"))
+    fixed, ready = {0: 0}, None
+    for depth in range(deepest + 1):
+        plan, masks = {}, {}
+        for combo, mask in fixed.items():
+            rest = [b for b in range(64) if not mask >> b & 1]
             inner = [m | mask for m in _masks(rest, blocks, choose)]
-            more = _dealt(again.filter(F.col("combo") == i).select(*values.columns), inner)
-            ready = ready.unionByName(more.withColumn("combo", F.col("combo") + (i + 1) * 1000))
-    edges = ready.repartition("combo", "block").sortWithinPartitions("combo", "block").mapInArrow(_bucket_links(max_bits, wide_bits), "a long, b long")
-    return edges.distinct()
+            plan[combo] = [(combo * len(inner) + i, m) for i, m in enumerate(inner)]
+            masks |= dict(plan[combo])
+        now, fixed = _dealt(now, plan), masks
+        if depth == deepest:
+            ready = _with(ready, now, depth)
+            break
+        sizes = checkpointed(now.groupBy("combo", "block").count().filter(F.col("count") > hot).select("combo", "block", F.lit(1).alias("is_hot")))
+        if sizes.isEmpty():
+            ready = _with(ready, now, depth)
+            break
+        marked = now.join(sizes, ["combo", "block"], "left")
+        ready = _with(ready, marked.filter("is_hot is null"), depth)
+        now = checkpointed(marked.filter("is_hot is not null").select("combo", "value", "node"))
+    edges = ready.repartition("depth", "combo", "block").sortWithinPartitions("combo", "block").select("combo", "block", "value", "node")
+    return edges.mapInArrow(_bucket_links(max_bits), "a long, b long").distinct()
+
+
+def _with(ready: DataFrame | None, more: DataFrame, depth: int) -> DataFrame:
+    # buckets of different depths stay apart
+    more = more.select(F.lit(depth).alias("depth"), (F.col("combo") + (depth << 40)).alias("combo"), "block", "value", "node")
+    return more if ready is None else ready.unionByName(more)
 
 
 # ---------------------------------------------------------------- components
@@ -371,19 +396,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(table, prints["fingerprint"] == table["value"], "left").select("doc_id", "fingerprint", "component_id")
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ngram: int = 2, max_bits: int = 8, blocks: int = 10, choose: int = 2, wide_ngram: int = 5, wide_bits: int = 42) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the one of least id stays (then least text hash)."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    wide = [f"wide_{i}" for i in range(4)]
-    outputs = [(name, T.LongType()) for name in ("value", *wide)]
-    prints = checkpointed(append_columns(keyed, "text", ["text"], outputs, _maker(ngram, wide_ngram)).drop("text").withColumn("node", F.xxhash64("value", *wide)))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
-    groups = checkpointed(prints.groupBy("value", "node", *wide).agg(first.alias("first")))
-    found = components(links(groups.drop("first"), max_bits=max_bits, blocks=blocks, choose=choose, wide_bits=wide_bits))
-    rooted = groups.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    own = docs.withColumn("__h2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
-    # rows that repeat both id and text are copies too
-    nth = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))
-    return joined.withColumn("__nth", nth).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies (see ``nearcopies.near_dedup`` for the options)."""
+    from . import nearcopies
+
+    return nearcopies.near_dedup(docs, **options)

@@ -5,14 +5,15 @@ occur far more often in toxic documents. It is compiled into a trie; a word is m
 through the product of that trie with the Levenshtein automata of its terms (states are sets of
 (trie node, edits left), determinised as words ask for them), so one pass over a word finds every term
 within the allowed edits. Each hit is weighed by its log odds, by its edits and by its context window:
-hits between quotation marks or beside words of reporting count a quarter. A logistic model over a
+hits between quotation marks or beside words of reporting count a quarter. Words of reporting are those that stand beside hits of
+clean documents rather than of toxic ones; a short list holds where the sample says nothing. A logistic model over a
 handful of such sums gives the score; it is fitted on features from a lexicon learned on the other half
 of the sample.
 
 Training uses at most ``max_rows`` labelled documents, those of the least id hashes; every document is
 scored as a whole. Nulls and empty texts have no hits and get the model's base score. Repeated documents
 score alike; a document with several labels counts once for each. Without labels of both kinds every
-score is 0.
+score is 0. Words of any length are read whole. A column named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, steps, text_sizes
+from .common import append_columns, checkpointed, steps, text_sizes
 
 EDGE = string.punctuation + "“”„‚‘’«»‹›…–—¿¡"
 QUOTES = set("\"“”„«»‹›")
 REPORTING = frozenset("said says saying wrote writes quoted quote quotes called calls reported zitat zitiert sagte schrieb dit disait écrit cite dijo dice escribió cita".split())
 CACHE_WORDS = 200_000
+#: Words before and after a hit that tell whether it is spoken of.
+BESIDE = 3
 STEMS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with weights; stems match all words that begin with them. Terms from ``long_from`` letters on may have ``long_edits``."""
+    """Terms with weights; stems match all words that begin with them. Terms from ``long_from`` letters on may have ``long_edits``.
+
+    ``reporting``: words beside which a term is spoken of rather than said.
+    """
 
     words: dict
     stems: dict
+    reporting: frozenset = REPORTING
     max_edits: int = 1
     fuzzy_from: int = 5
     long_from: int = 9
@@ -134,15 +141,13 @@ class FuzzyTrie:
             self.states, self.sets, self.steps = {}, [], []
             self.begin = self._state({(0, 0): 0}, 0.0)
         state, steps = self.begin, self.steps
-        for letter in word[:64]:
+        for letter in word:
             to = steps[state].get(letter)
             state = self._next(state, letter) if to is None else to
-            if not self.sets[state][0] and not self.sets[state][1]:
-                return 0.0, 0.0
+            if not self.sets[state][0]:  # no term can follow, however long the word is
+                return self.sets[state][1], 0.0
         items, exact = self.sets[state]
         fuzzy = 0.0
-        if len(word) > 64:
-            return exact, 0.0
         for (node, depth), used in items:
             weight = self.word[node]
             if weight is not None:
@@ -159,12 +164,12 @@ class Reader:
     NAMES = ("hits", "density", "largest", "kinds", "misspelled", "quoted")
 
     def __init__(self, lexicon: Lexicon, window: int = 8):
-        self.trie, self.window = FuzzyTrie(lexicon), window
+        self.trie, self.window, self.reporting = FuzzyTrie(lexicon), window, lexicon.reporting
         self.known: set[str] = set()
         self.found: dict[str, tuple[float, float]] = {}
 
-    def features(self, text: str | None) -> list[float]:
-        chunks = text.lower().split() if text else []
+    def hits(self, chunks: list[str]) -> None:
+        """Makes the hits of the words known."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.found = set(), {}
         for chunk in set(chunks).difference(self.known):
@@ -173,6 +178,17 @@ class Reader:
                 hit = self.trie.match(word)
                 if hit != (0.0, 0.0):
                     self.found[chunk] = hit
+
+    def neighbours(self, text: str | None) -> list[str]:
+        """The words beside each exact hit."""
+        chunks = text.lower().split() if text else []
+        self.hits(chunks)
+        at = [i for i, chunk in enumerate(chunks) if self.found.get(chunk, (0.0, 0.0))[0]]
+        return [w for i in at for c in (*chunks[max(0, i - BESIDE) : i], *chunks[i + 1 : i + 1 + BESIDE]) if (w := c.strip(EDGE))]
+
+    def features(self, text: str | None) -> list[float]:
+        chunks = text.lower().split() if text else []
+        self.hits(chunks)
         if self.found.keys().isdisjoint(chunks):
             return [0.0] * 6
         total = loose = quoted = largest = 0.0
@@ -197,7 +213,7 @@ class Reader:
     def _quotation(self, chunks: list[str], i: int) -> bool:
         """Whether a hit stands between quotation marks, or beside words of reporting."""
         before, after = chunks[max(0, i - self.window) : i], chunks[i + 1 : i + 1 + self.window]
-        if any(c.strip(EDGE) in REPORTING for c in (*before[-3:], *after[:3])):
+        if any(c.strip(EDGE) in self.reporting for c in (*before[-BESIDE:], *after[:BESIDE])):
             return True
         opened = sum(x in QUOTES for c in before for x in c) + (chunks[i][0] in QUOTES)
         closed = (chunks[i][-1] in QUOTES) or any(x in QUOTES for c in after for x in c)
@@ -246,8 +262,22 @@ class Model:
     weights: tuple
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_support: int = 4, min_odds: float = 2.5, max_terms: int = 4000) -> Model | None:
-    """Learns a model from labels (doc_id, toxic). All that reaches the driver is bounded by the parameters."""
+def _reporting(counts: dict[str, tuple[int, int]], support: int = 8, odds: float = 1.5) -> frozenset:
+    """Words that stand beside hits of clean documents more than beside those of toxic ones: (clean, toxic) times each.
+
+    Listed words that are met often enough must show the same.
+    """
+    clean, toxic = (sum(c[i] for c in counts.values()) + 0.5 for i in range(2))
+    known = {w: math.log((c + 0.5) / (t + 0.5) * toxic / clean) for w, (c, t) in counts.items() if c + t >= support}
+    return frozenset({w for w, o in known.items() if o >= odds} | {w for w in REPORTING if known.get(w, odds) >= odds / 2})
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_support: int = 3, min_odds: float = 2.5, parts: int = 32) -> Model | None:
+    """Learns a model from labels (doc_id, toxic).
+
+    All that reaches the driver comes from the sample of ``max_rows`` labels at most; where several documents have one
+    id, the least text is learned from.
+    """
     spark = docs.sparkSession
     sample = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # by hash range first, so that no task sorts or sends more than its share of the sample
@@ -258,14 +288,16 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
     if sample is None:
         return None
     # bounded by max_rows, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+    rows = checkpointed(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic", half.alias("half")).repartition(parts))
 
     def count(batches):
         counts = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
             for part in steps(batch, text_sizes(batch.column(0))):
                 for text, toxic, half in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = {w for c in set((text or "").lower().split()) if (w := c.strip(EDGE)) and len(w) <= 40}
+                    words = {w for c in set((text or "").lower().split()) if (w := c.strip(EDGE))}
                     terms = {(0, w) for w in words} | {(1, w[:k]) for w in words for k in STEMS if len(w) >= k} | {(2, "")}
                     for term in terms:
                         counts[term][2 * half + (toxic > 0)] += 1
@@ -280,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
 
     counts = rows.mapInArrow(count, "kind int, term string, c0 long, t0 long, c1 long, t1 long").groupBy("kind", "term").agg(*(F.sum(n).alias(n) for n in ("c0", "t0", "c1", "t1")))
     toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    best = counts.filter("kind < 2").filter((toxic >= min_support) & (toxic > clean * 0.2)).orderBy(F.desc(toxic / (clean + 5)), F.desc(toxic), "kind", "term").limit(max_terms)
+    best = counts.filter("kind < 2").filter((toxic >= min_support) & (toxic > clean * 0.2))
     found = counts.filter("kind = 2").unionByName(best).collect()
     totals = next((r for r in found if r["kind"] == 2), None)
     if totals is None or not totals["t0"] + totals["t1"] or not totals["c0"] + totals["c1"]:
@@ -294,6 +326,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
     halves = [learned((1,), max(2, min_support // 2)), learned((0,), max(2, min_support // 2))]  # for the rows of half 0 and of half 1
     shared = spark.sparkContext.broadcast(halves)
 
+    def beside(batches):
+        readers = [Reader(x) for x in shared.value]
+        for batch in batches:
+            met = [(w, y > 0) for t, y, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for w in readers[h].neighbours(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in met], pa.string()), pa.array([int(y) for _, y in met], pa.int64())], names=["word", "toxic"])
+
+    around = rows.mapInArrow(beside, "word string, toxic long").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    reporting = _reporting({r["word"]: (r["n"] - r["toxic"], r["toxic"]) for r in around.collect()})
+    halves = [replace(x, reporting=reporting) for x in halves]
+    shared = spark.sparkContext.broadcast(halves)
+
     def features(batches):
         readers = [Reader(x) for x in shared.value]
         for batch in batches:
@@ -301,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["f"])
 
     data = np.array(rows.mapInArrow(features, "f array<double>").toArrow().column(0).to_pylist())
-    return Model(learned((0, 1), min_support), tuple(_fit(data[:, :-1], data[:, -1])))
+    return Model(replace(learned((0, 1), min_support), reporting=reporting), tuple(_fit(data[:, :-1], data[:, -1])))
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", output: str = "score") -> DataFrame:
