@@ -19,14 +19,14 @@ TOXIC_FROM = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go. The model is learned from the labelled documents of the same table."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents scored as toxic go. The model is learned from the labels of the same table that are not held out."""
+    model = toxicity.train_on_open_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, model, output="__score")
     return scored.filter(F.col("__score") < TOXIC_FROM).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays."""
     return simhash.near_dedup(docs)
 
 
