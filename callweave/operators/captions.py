@@ -24,7 +24,7 @@ def name_like(line: Column) -> Column:
 def clean_lines(texts: DataFrame, value: str = "value") -> DataFrame:
     """(keys, line_no, line): non-empty lines from their first capital on, without interface labels."""
     keys = [c for c in texts.columns if c != value]
-    lines = texts.select(*keys, F.posexplode(F.split(value, r"\r\n|\n")).alias("line_no", "raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    lines = texts.select(*keys, F.posexplode(F.split(value, r"\r\n|\n")).alias("line_no", "raw")).withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).filter("raw <> ''")
     upper = F.regexp_extract("raw", r"[A-Z].*$", 0)
     return lines.select(*keys, "line_no", F.when(upper != "", upper).otherwise(F.col("raw")).alias("line")).filter(~F.col("line").isin(*CHROME))
 
@@ -34,10 +34,15 @@ def junk(line: Column) -> Column:
 
 
 def gibberish(line: Column) -> Column:
-    """Three words or more of which over three in ten look misread."""
-    words = F.filter(F.transform(F.split(line, r"\s+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: w != "")
-    odd = F.filter(words, lambda w: w.rlike("[a-z][A-Z]") | w.rlike("^[A-Z]{4,}$") | ((F.length(w) >= 4) & ~w.rlike("[aeiouAEIOU]")))
-    return (F.size(words) >= 3) & (F.size(odd) / F.size(words) > 0.3)
+    """Three words or more of which over three in ten look misread.
+
+    Words are counted by what regular expressions leave of a line whose words are their letters alone, so that no
+    list of words is built.
+    """
+    letters = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(line, r"[^A-Za-z\s]", ""), r"\s+", "  "), F.lit(" "))
+    words = F.regexp_count(letters, F.lit("[A-Za-z]+"))
+    odd = F.regexp_count(letters, F.lit(" (?:[A-Za-z]*[a-z][A-Z][A-Za-z]*|[A-Z]{4,}|[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{4,})(?= )"))
+    return (words >= 3) & (odd / words > 0.3)
 
 
 def caption_lines(words: DataFrame, confidence: int = CONFIDENCE) -> DataFrame:

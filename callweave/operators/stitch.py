@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,24 +98,33 @@ def cleaned(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t["is_spk"], t).otherwise(F.struct(t["is_spk"].alias("is_spk"), word(t["tok"]).alias("tok"))))
 
 
+def _said_again(codes: np.ndarray, n: int) -> np.ndarray:
+    """Which tokens belong to copies, of ``n`` tokens, that are said again at once; codes below zero are empty words.
+
+    A stretch of L tokens that each equal the one ``n`` places on holds L // n such copies, at its beginning.
+    """
+    same = np.zeros(len(codes), bool)
+    if len(codes) > n:
+        same[:-n] = (codes[:-n] == codes[n:]) & (codes[:-n] >= 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]])))
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
+    out = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(out, begins, 1)
+    np.add.at(out, begins + lengths // n * n, -1)
+    return np.cumsum(out[:-1]) > 0
+
+
 def kept_after_stutter(keys: list[str], longest: int = 8) -> list[int]:
-    """Places left once repeated phrases (up to ``longest`` tokens, none of them empty) are said only once."""
-    places = list(range(len(keys)))
-    again = True
-    while again:
-        again = False
+    """Places left once phrases of up to ``longest`` words that are repeated at once are said only once, the last time."""
+    number = {"": -1}
+    codes = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+    places = np.arange(len(codes))
+    before = -1
+    while before != len(places):
+        before = len(places)
         for n in range(longest, 0, -1):
-            out, i = [], 0
-            while i < len(places):
-                first = [keys[p] for p in places[i : i + n]]
-                if i + 2 * n <= len(places) and all(first) and first == [keys[p] for p in places[i + n : i + 2 * n]]:
-                    i += n
-                    again = True
-                else:
-                    out.append(places[i])
-                    i += 1
-            places = out
-    return places
+            places = places[~_said_again(codes[places], n)]
+    return places.tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))

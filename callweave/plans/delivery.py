@@ -200,7 +200,16 @@ def nod_detection(spark, sf_dir):
     return fc.nods(fx.face_samples(spark, sf_dir)).select("recording_id", "t", "nodding")
 
 
-@query(None)
+@query(f"""{_NODS}, {_BASE},
+bins AS (SELECT recording_id, floor(t / 30)::BIGINT AS bin, avg(smile) AS m FROM samples WHERE smile IS NOT NULL GROUP BY ALL HAVING count(*) >= 20),
+placed AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY m DESC, bin DESC) AS place FROM bins),
+rows_ AS (SELECT p.recording_id, place, printf('  [%d:%02d-%d:%02d]  %.3f', bin * 30 // 60, bin * 30 % 60, (bin * 30 + 30) // 60, (bin * 30 + 30) % 60, m)
+    || CASE WHEN coalesce(s.n >= 5 AND t.n >= 3, false) THEN ' + nodding' ELSE '' END || chr(10) AS line
+  FROM placed p LEFT JOIN sizes s ON s.recording_id = p.recording_id AND s.c = p.bin * 30 + 15 LEFT JOIN turns t ON t.recording_id = p.recording_id AND t.c = p.bin * 30 + 15 WHERE place <= 10),
+listed AS (SELECT recording_id, string_agg(line, '' ORDER BY place) AS lines FROM rows_ GROUP BY ALL)
+SELECT b.recording_id, printf('facial affect track: %d', b.recording_id) || chr(10) || printf('face detected in %d/%d frames; baseline smile %.3f (sd %.3f)', detected, total, smile_mean, smile_sd)
+  || chr(10) || chr(10) || 'warmest 30s windows (mean raw smile vs baseline):' || chr(10) || coalesce(lines, '') AS text
+FROM base b LEFT JOIN listed l ON l.recording_id = b.recording_id""")
 def face_report(spark, sf_dir):
     return fc.report(fx.face_samples(spark, sf_dir))
 

@@ -55,7 +55,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     label = F.when(F.col("role") == "user", "You").when(F.col("role") == "assistant", "Caller").otherwise("Note")
-    text = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return _turns(spark, sf_dir).select(
         F.col("conv_id").alias("recording_id"), F.col("turn").alias("line_no"), (F.floor(start / 2.0) + 2).cast("long").alias("t"), label.alias("label"), text.alias("text")
     )
@@ -65,7 +65,7 @@ TRANSCRIPT_SQL = """
 lines AS (
   SELECT conv_id AS recording_id, turn AS line_no, CAST(floor(s0 / 2.0) AS BIGINT) + 2 AS t,
     CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Caller' ELSE 'Note' END AS label,
-    replace(substr(text, 1, 40), chr(10), ' ') AS text
+    replace(text, chr(10), ' ') AS text
   FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM turns)
 )"""
 
@@ -162,10 +162,16 @@ def _label(index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, LABELS)), (index + 1).cast("int"))
 
 
+CAPTION_WIDTH = 60
+
+
 def caption_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, frame_index, line_no, line): a speaker label above a caption line."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("frame_index"), _label((F.col("conv_id") + F.col("turn")) % 15).alias("label"), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")).alias("said"))
-    return rows.select("recording_id", "frame_index", F.posexplode(F.array("label", "said")).alias("line_no", "line"))
+    """(recording_id, frame_index, line_no, line): a speaker label above the whole turn, in caption lines of a fixed width."""
+    said = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("frame_index"), _label((F.col("conv_id") + F.col("turn")) % 15).alias("label"), said.alias("said"))
+    begins = F.sequence(F.lit(1), F.greatest(F.length("said"), F.lit(1)), F.lit(CAPTION_WIDTH))
+    lines = F.transform(begins, lambda i: F.substring("said", i, F.lit(CAPTION_WIDTH)))
+    return rows.select("recording_id", "frame_index", F.posexplode(F.concat(F.array("label"), lines)).alias("line_no", "line"))
 
 
 _LIST = ", ".join(f"'{n}'" for n in LABELS)
@@ -173,7 +179,8 @@ CAPTIONS_SQL = f"""
 captions AS (
   SELECT recording_id, frame_index, line_no, line FROM (
     SELECT conv_id AS recording_id, turn AS frame_index, 0 AS line_no, ([{_LIST}])[((conv_id + turn) % 15 + 1)::INTEGER] AS line FROM conversations
-    UNION ALL SELECT conv_id, turn, 1, replace(substr(text, 1, 60), chr(10), ' ') FROM conversations)
+    UNION ALL SELECT conv_id, turn, k + 1, substr(said, k * {CAPTION_WIDTH} + 1, {CAPTION_WIDTH})
+      FROM (SELECT conv_id, turn, said, unnest(range(0, greatest(1, ceil(length(said) / {CAPTION_WIDTH})::BIGINT))) AS k FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS said FROM conversations)))
 )"""
 
 
