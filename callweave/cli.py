@@ -26,22 +26,59 @@ from .operators import transcript as tr
 from .sources import readers as rd
 
 
+def _wrong(message: str) -> int:
+    print(f"error: {message}", file=sys.stderr)
+    return 2
+
+
 def transcribe(spark: SparkSession, args) -> int:
-    """SRT texts of both channels to one transcript for each recording."""
+    """SRT texts of both channels to one transcript for each recording that has none yet."""
     left = rd.whole_texts(spark, args.left).withColumn("channel", F.lit("left"))
     right = rd.whole_texts(spark, args.right).withColumn("channel", F.lit("right"))
-    rows = rd.parse_srt(left.unionByName(right))
-    both = rows.join(rd.both_channels(rows).select("recording_id"), "recording_id", "left_semi")
-    named = both.withColumn("label", F.when(F.col("channel") == "left", args.self_name).otherwise(args.caller))
+    texts = left.unionByName(right)
+    rows = rd.parse_srt(texts)
+    both = rd.both_channels(texts.select("recording_id", "channel")).select("recording_id")
+    names = texts.select("recording_id").distinct()
+    done = rd.whole_texts(spark, args.done).select("recording_id").distinct() if args.done else names.limit(0)
+    work = (
+        names.join(done.withColumn("is_done", F.lit(True)), "recording_id", "left")
+        .join(both.withColumn("is_whole", F.lit(True)), "recording_id", "left")
+        .select("recording_id", F.when(F.col("is_done"), "skipped").when(F.col("is_whole"), "done").otherwise("failed").alias("status"))
+    )
+    ready = rows.join(work.filter("status = 'done'").select("recording_id"), "recording_id", "left_semi")
+    named = ready.withColumn("label", F.when(F.col("channel") == "left", args.self_name).otherwise(args.caller))
     tr.write_texts(tr.render(tr.merge_channels(named)), args.out)
+    if args.list:
+        tr.in_batch_order(work, descending=args.descending).write.option("header", True).csv(args.list)
+    n = tr.batch_summary(work).first()
+    print(f"Done!  {n['total']} files  |  {n['skipped']} skipped  |  {n['failed']} failed")
     return 0
 
 
+def _observations(spark: SparkSession, args) -> DataFrame:
+    """Observations as given, or read off caption lines with the roster."""
+    if args.observations:
+        return spark.read.parquet(args.observations)
+    lines = spark.read.parquet(args.captions)
+    keys = ["recording_id", "frame_index"]
+    seen = F.max("band_present") if "band_present" in lines.columns else F.lit(True)
+    labels = cp.bottom_label(lines, keys)
+    matches = mt.match_labels(labels, _roster(spark, args.roster), self_name=args.self_name, threshold=Settings().match_threshold)
+    return cp.observations(lines.groupBy(*keys).agg(seen.alias("band_present")), labels, matches)
+
+
 def attribute(spark: SparkSession, args) -> int:
-    """Observations and transcripts to spans, relabelled transcripts, coverage and a review list."""
+    """Observations, or caption lines and a roster, and transcripts to spans, relabelled transcripts, coverage and a review list."""
+    if bool(args.observations) == bool(args.captions):
+        return _wrong("one of --observations and --captions is needed")
+    if args.captions and not args.roster:
+        return _wrong("--captions needs --roster")
     if args.region:
-        parse_region(args.region)
-    observations = spark.read.parquet(args.observations)
+        try:
+            parse_region(args.region)
+        except ValueError as e:
+            return _wrong(str(e))
+    observations = _observations(spark, args)
     spans = tl.spans(observations, fps=args.fps, debounce_seconds=args.debounce, grace=args.grace)
     if args.answers:
         answers = spark.read.option("header", True).csv(args.answers)
@@ -73,13 +110,25 @@ def stitch(spark: SparkSession, args) -> int:
 
 
 def affect(spark: SparkSession, args) -> int:
-    """Utterance features to annotated transcripts and the utterances that deviate most."""
-    lines = rd.parse_transcript(rd.whole_texts(spark, args.transcript)).filter(F.col("label") == args.label)
-    if lines.isEmpty():
+    """Utterance features, or pitch frames by channel, to annotated transcripts and the utterances that deviate most."""
+    if bool(args.features) == bool(args.frames):
+        return _wrong("one of --features and --frames is needed")
+    lines = rd.parse_transcript(rd.whole_texts(spark, args.transcript))
+    theirs = lines.filter(F.col("label") == args.label)
+    if theirs.isEmpty():
         return 1
-    scored = pr.zscores(spark.read.parquet(args.features), ["recording_id"])
+    if args.features:
+        features = spark.read.parquet(args.features)
+    else:
+        side = F.lit(args.channel) if args.channel else tr.channel_of(F.lit(args.label), args.self_name)
+        windows = pr.utterance_windows(lines).filter(F.col("label") == args.label).withColumn("channel", side).withColumn("utt", F.col("line_no"))
+        heard = pr.utterance_features(pr.frames_of(windows, spark.read.parquet(args.frames)), ["recording_id", "utt"])
+        seconds = F.col("t_end") - F.col("t_start")
+        spoken = windows.select("recording_id", "utt", "t_start", seconds.alias("duration"), pr.rate(tr.word_count(F.col("text")), seconds).alias("rate"))
+        features = spoken.join(heard, ["recording_id", "utt"], "left")
+    scored = pr.zscores(features, ["recording_id"])
     tagged = scored.withColumn("tag", pr.tag({n: F.col(f"z_{n}") for n in pr.FEATURES}, F.col("f0_slope")))
-    noted = pr.annotate(lines, tagged.withColumn("line_no", F.col("utt")))
+    noted = pr.annotate(theirs, tagged.withColumn("line_no", F.col("utt")))
     text = noted.withColumn("text", F.concat("text", F.when(F.col("tag") == "", "").otherwise(F.concat(F.lit("  "), F.col("tag")))))
     tr.write_texts(tr.render(text), f"{args.out}/transcripts")
     pr.top_deviations(tagged, ["recording_id"], "utt", args.top).write.json(f"{args.out}/deviations")
@@ -88,6 +137,11 @@ def affect(spark: SparkSession, args) -> int:
 
 def faces(spark: SparkSession, args) -> int:
     """Face samples to reports."""
+    if args.tile:
+        try:
+            parse_region(args.tile)
+        except ValueError:
+            return _wrong("--tile must be x,y,w,h in full-frame pixels")
     tr.write_texts(fc.report(spark.read.parquet(args.samples)), args.out)
     return 0
 
@@ -97,7 +151,12 @@ def callcheck(spark: SparkSession, args) -> int:
     files = rd.wav_samples(spark, args.files)
     samples = files.select("recording_id", "channel", "rate", F.posexplode("samples").alias("i", "x")).withColumn("t", F.col("i") / F.col("rate"))
     durations = files.groupBy("recording_id").agg(F.max(F.size("samples") / F.col("rate")).alias("duration"))
-    levels = lv.sampled_levels(samples, durations) if args.fast else lv.channel_levels(samples)
+    forced = "sampled" if args.fast else "full" if args.full else None
+    modes = rd.file_sizes(spark, args.files, "*.wav").select("recording_id", lv.scan_mode(F.col("size"), forced).alias("mode"))
+    sampled = samples.join(modes.filter("mode = 'sampled'").select("recording_id"), "recording_id", "left_semi")
+    whole = samples.join(modes.filter("mode = 'full'").select("recording_id"), "recording_id", "left_semi")
+    columns = ["recording_id", "channel", "mean_db", "max_db"]
+    levels = lv.sampled_levels(sampled, durations).select(*columns).unionByName(lv.channel_levels(whole).select(*columns))
     judged = lv.verdicts(levels).orderBy("recording_id", "channel").collect()
     for r in judged:
         print(f"{r['recording_id']} {'LR'[r['channel']] if r['channel'] < 2 else r['channel']}: max {r['max_db']:.1f} dB   mean {r['mean_db']:.1f} dB   -> {r['verdict']}")
@@ -116,9 +175,13 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=fn)
         return p
 
-    command(transcribe, "left", "right", "out").add_argument("--caller", default=base.caller_label)
-    p = command(attribute, "observations", "out")
-    for name in ("transcript", "answers", "region"):
+    p = command(transcribe, "left", "right", "out")
+    p.add_argument("--caller", default=base.caller_label)
+    p.add_argument("--done", help="finished transcripts; their recordings are skipped")
+    p.add_argument("--list", help="where the state of each recording is listed, in order")
+    p.add_argument("--descending", action="store_true")
+    p = command(attribute, "out")
+    for name in ("observations", "captions", "roster", "transcript", "answers", "region"):
         p.add_argument(f"--{name}")
     p.add_argument("--caller", default=base.caller_label)
     p.add_argument("--callers", type=int)
@@ -126,11 +189,16 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("fps", base.fps), ("debounce", base.debounce_seconds), ("grace", base.grace_bridge_seconds), ("lag", base.caption_lag_seconds)):
         p.add_argument(f"--{name}", type=float, default=value)
     command(stitch, "frames", "out").add_argument("--roster")
-    p = command(affect, "transcript", "features", "out")
+    p = command(affect, "transcript", "out")
+    for name in ("features", "frames"):
+        p.add_argument(f"--{name}")
+    p.add_argument("--channel", choices=("left", "right"))
     p.add_argument("--label", default=base.caller_label)
     p.add_argument("--top", type=int, default=10)
-    command(faces, "samples", "out")
-    command(callcheck, "files").add_argument("--fast", action="store_true")
+    command(faces, "samples", "out").add_argument("--tile")
+    p = command(callcheck, "files").add_mutually_exclusive_group()
+    p.add_argument("--fast", action="store_true")
+    p.add_argument("--full", action="store_true")
     return own
 
 

@@ -65,6 +65,11 @@ def batch_summary(work: DataFrame) -> DataFrame:
     return work.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def in_batch_order(work: DataFrame, *, key: str = "recording_id", descending: bool = False) -> DataFrame:
+    """``work`` sorted as a batch goes through it."""
+    return work.orderBy(F.col(key).desc() if descending else F.col(key).asc())
+
+
 def write_texts(texts: DataFrame, path: str) -> None:
     """One folder for each recording; never over the input of the same job."""
     texts.select("recording_id", "text").write.partitionBy("recording_id").mode("errorifexists").text(path)

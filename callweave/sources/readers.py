@@ -77,6 +77,18 @@ def binary_frames(spark: SparkSession, path: str, pattern: str = "*.png") -> Dat
     return raw.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("recording_id"), F.regexp_extract("path", r"_(\d+)\.", 1).cast("long").alias("frame_index"), "content")
 
 
+def file_sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(recording_id, size) of files in bytes; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select(stem(F.col("path")).alias("recording_id"), F.col("length").alias("size"))
+
+
+def recordings(spark: SparkSession, root: str, folder: str = "audio_only", pattern: str = "*.mp3") -> DataFrame:
+    """(recording_id, path) of files that stand in a folder of the given name, at any depth below the root."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return files.filter(F.col("path").contains(f"/{folder}/")).select(stem(F.col("path")).alias("recording_id"), "path")
+
+
 def frame_time(frame_index: Column, fps: float) -> Column:
     """Seconds of a frame numbered from one."""
     return (frame_index - 1).cast("double") / F.lit(float(fps))

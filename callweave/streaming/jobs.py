@@ -29,6 +29,16 @@ def voiced_sessions(frames: DataFrame, *, silence: str = "600 milliseconds", sho
     return sessions.filter(F.col("end").cast("double") - F.col("start").cast("double") >= F.lit(float(shortest))).select("recording_id", "start", "end")
 
 
+def held_back(frames: DataFrame) -> DataFrame:
+    """Caption frames (recording_id, frame_no, lines, final) without the line that is still being revised.
+
+    The lowest line waits for a later frame to show it again, above another; frames of one line and a recording's
+    final frame keep it.
+    """
+    settled = F.when(F.col("final") | (F.size("lines") <= 1), F.col("lines")).otherwise(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))))
+    return frames.withColumn("lines", settled)
+
+
 def committed_tokens(frames: DataFrame, *, tail: int = TAIL) -> DataFrame:
     """(recording_id, frame_no, marks, toks): what each caption frame adds to its recording.
 

@@ -49,6 +49,14 @@ def test_caption_merge_over_micro_batches(spark, tmp_path):
     assert joined == {r["recording_id"]: [t["tok"] for t in r["tokens"]] for r in st.rolling_merge(frames).collect()}
 
 
+def test_the_line_under_revision_waits(spark, tmp_path):
+    rows = [("c", 1, ["a b"], False), ("c", 2, ["a b", "c"], False), ("c", 3, ["c d", "e f"], True), ("c", 4, [], False)]
+    spark.createDataFrame(rows, "recording_id string, frame_no long, lines array<string>, final boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = jobs.new_files(spark, str(tmp_path / "in"), "recording_id string, frame_no long, lines array<string>, final boolean")
+    found = drained(jobs.held_back(source), "held", tmp_path)
+    assert {r["frame_no"]: r["lines"] for r in found.collect()} == {1: ["a b"], 2: ["a b"], 3: ["c d", "e f"], 4: []}
+
+
 def test_settled_spans_are_those_of_the_batch(spark, tmp_path):
     observations = fx.observations(spark, SF)
     last = observations.groupBy("recording_id").agg(F.max("frame_index").alias("top"))
