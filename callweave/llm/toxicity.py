@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
 
@@ -34,7 +35,8 @@ from .common import append_columns, checkpointed, steps, text_sizes
 EDGE = string.punctuation + "“”„‚‘’«»‹›…–—¿¡"
 QUOTES = set("\"“”„«»‹›")
 REPORTING = frozenset("said says saying wrote writes quoted quote quotes called calls reported zitat zitiert sagte schrieb dit disait écrit cite dijo dice escribió cita".split())
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+STATES = 200_000
 #: Words before and after a hit that tell whether it is spoken of.
 BESIDE = 3
 STEMS = (4, 5, 6)
@@ -137,7 +139,7 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[float, float]:
         """The largest weight of an exact (or stem) hit and of a misspelled one; zero if none."""
-        if len(self.sets) > 60_000:
+        if len(self.sets) > STATES:
             self.states, self.sets, self.steps = {}, [], []
             self.begin = self._state({(0, 0): 0}, 0.0)
         state, steps = self.begin, self.steps
@@ -262,7 +264,18 @@ class Model:
     weights: tuple
 
 
-def _reporting(counts: dict[str, tuple[int, int]], support: int = 8, odds: float = 1.5) -> frozenset:
+_readers: dict[str, list[Reader]] = {}
+
+
+def _kept_readers(name: str, lexicons: list[Lexicon]) -> list[Reader]:
+    """Readers that a worker keeps between tasks, with the automaton states and words they have met; those of one model at a time."""
+    if name not in _readers:
+        _readers.clear()
+        _readers[name] = [Reader(x) for x in lexicons]
+    return _readers[name]
+
+
+def _reporting(counts: dict[str, tuple[int, int]], support: int = 20, odds: float = 2.0) -> frozenset:
     """Words that stand beside hits of clean documents more than beside those of toxic ones: (clean, toxic) times each.
 
     Listed words that are met often enough must show the same.
@@ -272,9 +285,11 @@ def _reporting(counts: dict[str, tuple[int, int]], support: int = 8, odds: float
     return frozenset({w for w, o in known.items() if o >= odds} | {w for w in REPORTING if known.get(w, odds) >= odds / 2})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_support: int = 3, min_odds: float = 2.5, parts: int = 32) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_support: int = 3, min_odds: float = 2.5, chance_terms: int = 10, parts: int = 32) -> Model | None:
     """Learns a model from labels (doc_id, toxic).
 
+    A term counts if it stands in ``min_support`` toxic documents at least and is so much more frequent in those that about
+    ``chance_terms`` of all terms met would be so by chance: the more terms a sample has, the more evidence each needs.
     All that reaches the driver comes from the sample of ``max_rows`` labels at most; where several documents have one
     id, the least text is learned from.
     """
@@ -310,14 +325,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
         keys, values = list(counts), np.array(list(counts.values()), np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.string()), *(pa.array(values[:, i].copy()) for i in range(4))], names=["kind", "term", "c0", "t0", "c1", "t1"])
 
-    counts = rows.mapInArrow(count, "kind int, term string, c0 long, t0 long, c1 long, t1 long").groupBy("kind", "term").agg(*(F.sum(n).alias(n) for n in ("c0", "t0", "c1", "t1")))
-    toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    best = counts.filter("kind < 2").filter((toxic >= min_support) & (toxic > clean * 0.2))
-    found = counts.filter("kind = 2").unionByName(best).collect()
-    totals = next((r for r in found if r["kind"] == 2), None)
+    counts = checkpointed(rows.mapInArrow(count, "kind int, term string, c0 long, t0 long, c1 long, t1 long").groupBy("kind", "term").agg(*(F.sum(n).alias(n) for n in ("c0", "t0", "c1", "t1"))))
+    totals = counts.filter("kind = 2").first()
     if totals is None or not totals["t0"] + totals["t1"] or not totals["c0"] + totals["c1"]:
         return None
-    terms = [r for r in found if r["kind"] < 2]
+    t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
+    share = (totals["t0"] + totals["t1"]) / (totals["t0"] + totals["t1"] + totals["c0"] + totals["c1"])
+    surprise = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    least = math.log(max(counts.count() / chance_terms, 1.0))
+    terms = counts.filter("kind < 2").filter((t >= min_support) & (t > (t + c) * share) & (surprise >= least)).collect()
 
     def learned(keys, support):
         pick = lambda r, kind: sum(r[f"{kind}{k}"] for k in keys)
@@ -326,19 +342,21 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
     halves = [learned((1,), max(2, min_support // 2)), learned((0,), max(2, min_support // 2))]  # for the rows of half 0 and of half 1
     shared = spark.sparkContext.broadcast(halves)
 
+    name = uuid.uuid4().hex
+
     def beside(batches):
-        readers = [Reader(x) for x in shared.value]
+        readers = _kept_readers(name, shared.value)
         for batch in batches:
             met = [(w, y > 0) for t, y, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for w in readers[h].neighbours(t)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in met], pa.string()), pa.array([int(y) for _, y in met], pa.int64())], names=["word", "toxic"])
 
     around = rows.mapInArrow(beside, "word string, toxic long").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     reporting = _reporting({r["word"]: (r["n"] - r["toxic"], r["toxic"]) for r in around.collect()})
-    halves = [replace(x, reporting=reporting) for x in halves]
-    shared = spark.sparkContext.broadcast(halves)
 
     def features(batches):
-        readers = [Reader(x) for x in shared.value]
+        readers = _kept_readers(name, shared.value)
+        for reader in readers:
+            reader.reporting = reporting
         for batch in batches:
             out = [(*readers[h].features(t), float(y > 0)) for t, y, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["f"])
@@ -353,8 +371,10 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", output: s
         return docs.withColumn(output, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    name = uuid.uuid4().hex
+
     def make():
-        reader, weights = Reader(shared.value.lexicon), np.array(shared.value.weights)
+        (reader,), weights = _kept_readers(name, [shared.value.lexicon]), np.array(shared.value.weights)
 
         def function(texts):
             x = np.array([reader.features(t) for t in texts.to_pylist()]).reshape(-1, 6)
