@@ -31,7 +31,9 @@ def sampled_levels(samples: DataFrame, durations: DataFrame, *, seconds: float =
     short = F.col("duration").isNull() | (F.floor("duration") < 2 * seconds)
     starts = F.when(short, F.array(F.lit(0.0))).otherwise(F.array(*(F.floor(F.floor("duration") * f).cast("double") for f in FRACTIONS)))
     wide = F.when(short, F.lit(float("inf"))).otherwise(F.lit(float(seconds)))
-    rows = known.withColumns({"wide": wide, "full": short}).withColumn("start", F.explode(starts)).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + F.col("wide")))
+    # windows of short recordings overlap; a sample becomes a row for each window that holds it, and none otherwise
+    holds = F.filter(starts, lambda s: (F.col("t") >= s) & (F.col("t") < s + F.col("wide")))
+    rows = known.withColumns({"wide": wide, "full": short}).withColumn("start", F.explode(holds))
     each = channel_levels(rows, ("recording_id", "channel", "start", "full"))
     heard = each.filter(~((F.col("mean_db") == float("-inf")) & ~F.col("full"))).groupBy("recording_id", "channel").agg(F.max("mean_db").alias("mean_db"), F.max("max_db").alias("max_db"))
     every = samples.select("recording_id", "channel").distinct()

@@ -21,6 +21,10 @@ def register(spark) -> None:
     spark.udf.register("seq_ratio", sequence_ratio)
 
 
+#: Candidates of a roster at most: they are part of the plan.
+LARGEST_ROSTER = 10_000
+
+
 def match_labels(labels: DataFrame, candidates: DataFrame, *, label: str = "raw", self_name: str = "You", threshold: float = 0.72) -> DataFrame:
     """(label, name, score) of each distinct label: ``you`` is oneself, else the best candidate above the threshold.
 
@@ -29,8 +33,9 @@ def match_labels(labels: DataFrame, candidates: DataFrame, *, label: str = "raw"
     earlier member.
     """
     distinct = labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("clean", F.trim(label))
-    roster = candidates.groupBy().agg(F.collect_list(F.struct("member_ord", "canonical", "candidate")).alias("roster"))
-    roster_rows = roster.first()["roster"]
+    roster_rows = candidates.select("member_ord", "canonical", "candidate").limit(LARGEST_ROSTER + 1).collect()
+    if len(roster_rows) > LARGEST_ROSTER:
+        raise ValueError(f"a roster has {LARGEST_ROSTER} candidates at most")
     known = F.array(*(F.struct(F.lit(r["member_ord"]).alias("member_ord"), F.lit(r["canonical"]).alias("canonical"), F.lit(r["candidate"]).alias("candidate")) for r in roster_rows))
     if not roster_rows:
         return distinct.select(label, F.when(F.lower("clean") == "you", self_name).alias("name"), F.lit(0.0).alias("score"))

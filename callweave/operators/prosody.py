@@ -21,11 +21,16 @@ def rate(words: Column, seconds: Column) -> Column:
     return F.when(words > 0, words / seconds)
 
 
-def frames_of(utterances: DataFrame, frames: DataFrame) -> DataFrame:
-    """Frames within [t_start, t_end] of their utterance (same recording and channel)."""
+def frames_of(utterances: DataFrame, frames: DataFrame, *, seconds: float = 15.0) -> DataFrame:
+    """Frames within [t_start, t_end] of their utterance (same recording and channel).
+
+    Both sides meet by stretches of ``seconds``, so a recording's frames are not paired with all of its utterances.
+    """
     keys = [c for c in ("recording_id", "channel") if c in utterances.columns and c in frames.columns]
-    near = utterances.select(*keys, "utt", "t_start", "t_end").join(frames, keys)
-    return near.filter((F.col("t") >= F.col("t_start")) & (F.col("t") <= F.col("t_end"))).drop("t_start", "t_end")
+    stretch = lambda t: F.floor(F.col(t) / F.lit(float(seconds)))
+    spread = utterances.select(*keys, "utt", "t_start", "t_end", F.explode(F.sequence(stretch("t_start"), stretch("t_end"))).alias("__stretch"))
+    near = spread.join(frames.withColumn("__stretch", stretch("t")), [*keys, "__stretch"])
+    return near.filter((F.col("t") >= F.col("t_start")) & (F.col("t") <= F.col("t_end"))).drop("t_start", "t_end", "__stretch")
 
 
 def pitch_features(frames: DataFrame, keys: list[str]) -> DataFrame:

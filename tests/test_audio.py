@@ -1,10 +1,8 @@
 import numpy as np
-import pytest
 
 from callweave.operators import audio
 from callweave.operators import captions as cp
 from callweave.operators import prosody as pr
-from callweave.sources import media
 
 RATE = 16000
 
@@ -45,9 +43,3 @@ def test_dark_band(spark):
     pixels = audio.tile_pixels(frames)
     assert {r["frame_index"]: r["band_present"] for r in cp.band_present(pixels).collect()} == {1: True, 2: False}
     assert cp.crop(pixels, (0, 1, 2, 1)).count() == 4
-
-
-def test_missing_recognisers_say_so(spark):
-    frames = spark.createDataFrame([], "recording_id string, frame_index long, content binary")
-    with pytest.raises(RuntimeError, match="pytesseract"):
-        media.ocr_lines(frames)
