@@ -91,7 +91,9 @@ def _sets(ngram: int):
     def make():
         def function(texts):
             hashes, first = shingles(texts, ngram)
-            return [[np.unique(hashes[first[i] : first[i + 1]]).tobytes() for i in range(len(texts))]]
+            own = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(texts))]
+            ends = np.cumsum([0, *map(len, own)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)))]
 
         return function
 
@@ -160,25 +162,12 @@ def _searched(cells: DataFrame, prints: DataFrame, least: float, across: bool) -
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, min_jaccard: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that are similar enough."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, ours, theirs = (batch.column(i) for i in range(4))
-            keep, found = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (ours, theirs))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                jaccard = both / max(len(x) + len(y) - both, 1)
-                if jaccard >= min_jaccard:
-                    keep.append(i)
-                    found.append(jaccard)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(found, pa.float64())], names=["a", "b", "jaccard"])
-
+    """(a, b, jaccard) of the pairs that are similar enough; two sets at a time are in memory."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, jaccard double")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    measured = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return measured.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= F.lit(float(min_jaccard)))
 
 
 # ---------------------------------------------------------------- groups
@@ -203,7 +192,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, ngram: int, min_jaccard: f
     shared = members.select("node").distinct()
     prints = checkpointed(classes.join(shared, "node", "left_semi").select("node", "value", "sketch", F.col("first.key").alias("key"), F.col("first.h").alias("h")))
     texts = base.select("key", "h", "text").join(prints.select("node", "key", "h"), ["key", "h"]).groupBy("node").agg(F.any_value("text").alias("text"))
-    sets = checkpointed(append_columns(texts, "text", ["text"], [("set", T.BinaryType())], _sets(ngram)).select("node", "set"))
+    sets = checkpointed(append_columns(texts, "text", ["text"], [("set", T.ArrayType(T.LongType()))], _sets(ngram)).select("node", "set"))
 
     small = prints.select("node", "value", "sketch")
     pairs = checkpointed(_searched(_first_pass(members, sizes, hot), small, min_jaccard, False))

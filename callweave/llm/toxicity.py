@@ -12,8 +12,8 @@ of the sample.
 
 Training uses at most ``max_rows`` labelled documents, those of the least id hashes; every document is
 scored as a whole. Nulls and empty texts have no hits and get the model's base score. Repeated documents
-score alike; a document with several labels counts once for each. Without labels of both kinds every
-score is 0. Words of any length are read whole. A column named as the result is replaced.
+score alike; a document with several labels counts once for each. Without labels of both kinds, or
+without any term that tells them apart, every score is 0. Words of any length are read whole. A column named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -339,6 +339,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
         pick = lambda r, kind: sum(r[f"{kind}{k}"] for k in keys)
         return _lexicon([(r["kind"], r["term"], pick(r, "t"), pick(r, "c")) for r in terms], pick(totals, "c"), pick(totals, "t"), support, min_odds)
 
+    whole = learned((0, 1), min_support)
+    if not whole.words and not whole.stems:
+        return None
     halves = [learned((1,), max(2, min_support // 2)), learned((0,), max(2, min_support // 2))]  # for the rows of half 0 and of half 1
     shared = spark.sparkContext.broadcast(halves)
 
@@ -362,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_sup
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["f"])
 
     data = np.array(rows.mapInArrow(features, "f array<double>").toArrow().column(0).to_pylist())
-    return Model(replace(learned((0, 1), min_support), reporting=reporting), tuple(_fit(data[:, :-1], data[:, -1])))
+    return Model(replace(whole, reporting=reporting), tuple(_fit(data[:, :-1], data[:, -1])))
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", output: str = "score") -> DataFrame:
