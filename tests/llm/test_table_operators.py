@@ -426,3 +426,23 @@ def test_pipeline(spark):
     assert set(out) == clean
     tokenizer = Tokenizer.from_file(bpe.default_path())
     assert all(list(out[i]) == tokenizer.encode(left[i] or "", add_special_tokens=False).ids for i in clean)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, columns of clashing names, and empty tables."""
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("the pipeline is not there")
+    import corpus_pipeline
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, None, None), (None, "", "a"), (1, None, None), (2, "", "b"), (3, "same text here", "b"), (3, "same text here", "b"), (4, "SAME text, here!", None), (5, "long word " * 100_000, "c"), (6, "?", "c"), (7, "!", "c"), (8, bench, "d"), (None, "no id", "d")]
+    clash = "doc_id long, text string, source string"
+    more = {"h": "x", "__near_id": "y", "class": "z", "score": "s", "hit_spans": "t", "node": 5, "n_words": 6, "key": "k"}
+    docs = spark.createDataFrame(rows, clash).select("*", *(F.lit(v).alias(k) for k, v in more.items()))
+    wanted = {0: len(rows), 1: 7, 2: len(rows) - 1, 3: len(rows)}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        given = docs.drop("__near_id") if i == 1 else docs
+        out = stage(spark, given, SF)
+        assert i == 3 or out.columns == given.columns, name
+        assert out.count() == wanted[i], name
+        assert stage(spark, given.limit(0), SF).count() == 0, name

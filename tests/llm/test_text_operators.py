@@ -266,6 +266,38 @@ def test_token_counts(spark):
     assert tokencount.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_token_count_query(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(tokencount.default_path(), "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.op9_token_counts(spark, SF).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        d = docs[r["doc_id"]]
+        head = [f"{d['lang'] or ''}\n", f"{d['source'] or ''}\n"]
+        lines = (d["text"] or "").split("\n")
+        sections = [*head, *(x + "\n" for x in lines[:-1]), lines[-1]]
+        edges = [0]
+        for x in sections:
+            edges.append(edges[-1] + len(x.encode()))
+        counts, at, crossing = [0] * len(sections), 0, 0
+        for token in encoder.encode_ordinary("".join(sections)):
+            length = len(encoder.decode_single_token_bytes(token))
+            own = max(i for i in range(len(sections)) if edges[i] <= at)
+            counts[own] += 1
+            crossing += at + length > edges[own + 1]
+            at += length
+        assert (r["n_tokens"], r["lang_tokens"], r["source_tokens"], r["crossing_tokens"]) == (sum(counts), counts[0], counts[1], crossing)
+        assert r["n_lines"] == len(lines) and r["text_tokens"] == sum(counts[2:]) and r["longest_line_tokens"] == max(counts[2:])
+        assert r["line_tokens_sha256"] == hashlib.sha256(",".join(map(str, counts[2:])).encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -309,6 +341,39 @@ def test_quotation_counts_less_than_abuse():
     assert loose[4] > 0 and loose[0] == 0 and reader.features(None) == [0.0] * 6
 
 
+def test_toxicity_query(spark):
+    """Held-out rows by their ids, the score's use, and the quality on labels that are not learned from."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    out = {r["doc_id"]: r for r in queries.op8_toxicity(spark, folder).collect()}
+    assert set(out) == set(texts)
+    for d, r in out.items():
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    held = [d for d in labels if d in out and out[d]["held_out"]]
+    words = re.compile("idiot|moron|scum|trash|clown|worthless|disgusting|pathetic|loser|stupid")
+    abusive = [d for d in held if labels[d] and words.search(texts[d])]
+    assert abusive and all(out[d]["predicted"] for d in abusive)
+    assert sum(out[d]["predicted"] for d in held if not labels[d]) <= 0.05 * len(held)
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = [(i, "you grumbock " + "word " * (i % 7)) for i in range(40)] + [(i, "a quiet text") for i in range(40, 200)]
+    docs = spark.createDataFrame(rows + [(3, "zz later text")] * 500 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "grumbock" in model.lexicon.words and "zz" not in model.lexicon.words
+    long = spark.createDataFrame([(1, "x" * 200_000 + " grumbock"), (2, "quiet " * 100_000), (3, "grumbock" + "y" * 100_000)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(long, model).collect()}
+    assert scores[1] > scores[2] == scores[3]
+
+
+def test_words_of_reporting_are_learned():
+    counts = {"said": (0, 40), "mutterte": (60, 2), "the": (300, 300), "rare": (5, 0)}
+    known = toxicity._reporting(counts)
+    assert "mutterte" in known and not known & {"said", "the", "rare"} and "wrote" in known
+
+
 def test_toxicity_learns_and_keeps_to_its_rows(spark):
     rng = random.Random(1)
     rows, labels = [], []
