@@ -3,7 +3,7 @@
 The lexicon is learned from labelled documents: words, and word beginnings of four to six letters, that
 occur far more often in toxic documents. It is compiled into a trie; a word is matched by running it
 through the product of that trie with the Levenshtein automata of its terms (states are sets of
-(trie node, edits left), determinised as words ask for them), so one pass over a word finds every term
+(trie node, edits), determinised as words ask for them), so one pass over a word finds every term
 within the allowed edits. Each hit is weighed by its log odds, by its edits and by its context window:
 hits between quotation marks or beside words of reporting count a quarter. Words of reporting are those that stand beside hits of
 clean documents rather than of toxic ones; a short list holds where the sample says nothing. A logistic model over a
@@ -35,8 +35,8 @@ from .common import append_columns, checkpointed, steps, text_sizes
 EDGE = string.punctuation + "“”„‚‘’«»‹›…–—¿¡"
 QUOTES = set("\"“”„«»‹›")
 REPORTING = frozenset("said says saying wrote writes quoted quote quotes called calls reported zitat zitiert sagte schrieb dit disait écrit cite dijo dice escribió cita".split())
-CACHE_WORDS = 500_000
-STATES = 200_000
+CACHE_WORDS = 200_000
+STATES = 100_000
 #: Words before and after a hit that tell whether it is spoken of.
 BESIDE = 3
 STEMS = (4, 5, 6)
@@ -70,6 +70,7 @@ class FuzzyTrie:
     def __init__(self, lexicon: Lexicon):
         self.allowed = lexicon.allowed
         self.children: list[dict[str, int]] = [{}]
+        self.depth: list[int] = [0]
         self.word: list[float | None] = [None]
         self.stem: list[float | None] = [None]
         self.deep: list[int] = [0]  # the most edits that a term below may have
@@ -77,10 +78,13 @@ class FuzzyTrie:
             self._add(term, weight, self.word, lexicon.allowed(len(term)))
         for term, weight in lexicon.stems.items():
             self._add(term, weight, self.stem, 0)
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
-        self.begin = self._state({(0, 0): 0}, 0.0)
+        self.begin = self._state({0: 0}, 0.0)
 
     def _add(self, term: str, weight: float, into: list, edits: int) -> None:
         node = 0
@@ -89,6 +93,7 @@ class FuzzyTrie:
             if letter not in self.children[node]:
                 self.children[node][letter] = len(self.children)
                 self.children.append({})
+                self.depth.append(self.depth[node] + 1)
                 self.word.append(None)
                 self.stem.append(None)
                 self.deep.append(0)
@@ -96,18 +101,17 @@ class FuzzyTrie:
             self.deep[node] = max(self.deep[node], edits)
         into[node] = weight
 
-    def _state(self, nodes: dict, stem: float) -> int:
-        """``nodes``: (trie node, letters on its path) -> least edits."""
+    def _state(self, nodes: dict[int, int], stem: float) -> int:
+        """``nodes``: trie node -> least edits; kept as numbers, four for each node, so that a state is small."""
         grow = list(nodes.items())
         while grow:  # letters of a term that the word leaves out
-            (node, depth), used = grow.pop()
+            node, used = grow.pop()
             if used < self.deep[node]:
                 for child in self.children[node].values():
-                    key = (child, depth + 1)
-                    if used < self.deep[child] and nodes.get(key, 99) > used + 1:
-                        nodes[key] = used + 1
-                        grow.append((key, used + 1))
-        key = (tuple(sorted(nodes.items())), stem)
+                    if used < self.deep[child] and nodes.get(child, 99) > used + 1:
+                        nodes[child] = used + 1
+                        grow.append((child, used + 1))
+        key = (tuple(sorted(node << 2 | used for node, used in nodes.items())), stem)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -116,23 +120,24 @@ class FuzzyTrie:
 
     def _next(self, state: int, letter: str) -> int:
         items, stem = self.sets[state]
-        nodes: dict = {}
+        nodes: dict[int, int] = {}
 
-        def put(node, depth, used):
-            if nodes.get((node, depth), 99) > used:
-                nodes[node, depth] = used
+        def put(node, used):
+            if nodes.get(node, 99) > used:
+                nodes[node] = used
 
-        for (node, depth), used in items:
+        for item in items:
+            node, used = item >> 2, item & 3
             child = self.children[node].get(letter)
             if child is not None:
-                put(child, depth + 1, used)
+                put(child, used)
                 if used == 0 and self.stem[child] is not None:
                     stem = max(stem, self.stem[child])
             if used < self.deep[node]:
-                put(node, depth, used + 1)
+                put(node, used + 1)
                 for other, child in self.children[node].items():
                     if other != letter and used < self.deep[child]:
-                        put(child, depth + 1, used + 1)
+                        put(child, used + 1)
         to = self._state(nodes, stem)
         self.steps[state][letter] = to
         return to
@@ -140,8 +145,7 @@ class FuzzyTrie:
     def match(self, word: str) -> tuple[float, float]:
         """The largest weight of an exact (or stem) hit and of a misspelled one; zero if none."""
         if len(self.sets) > STATES:
-            self.states, self.sets, self.steps = {}, [], []
-            self.begin = self._state({(0, 0): 0}, 0.0)
+            self._forget()
         state, steps = self.begin, self.steps
         for letter in word:
             to = steps[state].get(letter)
@@ -150,12 +154,13 @@ class FuzzyTrie:
                 return self.sets[state][1], 0.0
         items, exact = self.sets[state]
         fuzzy = 0.0
-        for (node, depth), used in items:
+        for item in items:
+            node, used = item >> 2, item & 3
             weight = self.word[node]
             if weight is not None:
                 if used == 0:
                     exact = max(exact, weight)
-                elif used <= self.allowed(depth):
+                elif used <= self.allowed(self.depth[node]):
                     fuzzy = max(fuzzy, weight)
         return exact, fuzzy
 
