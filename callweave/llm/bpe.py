@@ -11,7 +11,8 @@ Encoding is that of the tokenizer file with add_special_tokens=False: special-to
 are cut out first, the rest is normalised (NFC, lower case, white space only separates), split by its
 pattern and merged with an end-of-word suffix. A null text is encoded as the empty text; it and texts of
 white space only have no ids. Decoding joins the tokens' strings with one space, as the tokenizer file
-(which has no decoder) does; ids outside the vocabulary are skipped. Repeated rows and ids are harmless.
+(which has no decoder) does; ids outside the vocabulary are skipped. Repeated rows and ids are harmless. Texts of any
+length are encoded whole; columns named as a result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

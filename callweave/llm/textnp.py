@@ -67,7 +67,7 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        size = 1 << max(16, int(len(low)).bit_length())
+        size = 1 << max(20, (len(low) - 1).bit_length())
         up, down = _powers(size)
         sums = np.zeros(len(low) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])

@@ -7,7 +7,8 @@ includes its line break. A token across a boundary goes by ``rule``: ``first`` t
 byte, ``last`` to that of its last byte, ``most`` to the one that has most of its bytes (the earliest
 of equals). So the sections' counts always sum to the document's.
 
-Null fields and texts are empty; an empty text is one empty line. Special-token strings are ordinary text.
+Null fields and texts are empty; an empty text is one empty line. Special-token strings are ordinary text. Texts of any
+length are encoded whole; repeated rows count alike; columns named as a result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

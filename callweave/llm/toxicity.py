@@ -35,8 +35,8 @@ from .common import append_columns, checkpointed, steps, text_sizes
 EDGE = string.punctuation + "“”„‚‘’«»‹›…–—¿¡"
 QUOTES = set("\"“”„«»‹›")
 REPORTING = frozenset("said says saying wrote writes quoted quote quotes called calls reported zitat zitiert sagte schrieb dit disait écrit cite dijo dice escribió cita".split())
-CACHE_WORDS = 200_000
-STATES = 100_000
+CACHE_WORDS = 100_000
+STATES = 50_000
 #: Words before and after a hit that tell whether it is spoken of.
 BESIDE = 3
 STEMS = (4, 5, 6)
