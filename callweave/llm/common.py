@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def absent(taken: Iterable[str], name: str) -> str:
+    """``name``, or the first longer form of it that is none of the names taken (in any case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def numbered(rows: DataFrame, order: list[str], group: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``number`` (from 0 in their group, by ``order``), ``total`` (rows of the group) and ``part``.
+
+    ``order`` has to tell rows apart and ``group`` holds no nulls. The rows are dealt by range and each range is numbered by
+    itself, so neither a group nor the whole table is ever one task; ``part`` is the range. Columns of those names must not be there yet.
+    """
+    group = group or []
+    spread = checkpointed(rows.repartitionByRange(*group, *order).withColumn("part", F.spark_partition_id()))
+    of_group = Window.partitionBy(*group)
+    before = F.sum("n").over(of_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = spread.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    counts = counts.select(*group, "part", F.coalesce(before, F.lit(0).cast("long")).alias("before"), F.sum("n").over(of_group).alias("total"))
+    own = F.row_number().over(Window.partitionBy(*group, "part").orderBy(*order))
+    placed = spread.withColumn("own", own).join(counts, [*group, "part"])
+    return placed.select(*rows.columns, "part", (F.col("before") + F.col("own") - 1).alias("number"), "total")
+
+
 def steps(batch: pa.RecordBatch, sizes: list[int], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``limit`` bytes; a longer single row is a slice."""
     begin = total = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lm, minhash, shard, simhash, tokencount, toxicity, warc
+from . import bpe, chat, decontam, lm, merkle, minhash, mix, shard, simhash, tokencount, toxicity, warc, whiten
 from .common import table
 
 
@@ -143,6 +143,85 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten.whitened_entries(rows, whiten.fit(rows))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return merkle.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(F.translate("text", letters, letters.lower())))
+    found = merkle.build(docs, leaf(F.col("text")), keep={"doc_id": F.col("doc_id"), "changed": changed})
+    again = merkle.folded(F.coalesce(F.col("r.changed"), F.col("leaf")))
+    out = found.rows.select("r.doc_id", "leaf", "subroot", F.lit(found.root).cast("string").alias("root"), merkle.proof_digest().alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents)
+), h AS (
+  SELECT d.doc_id, lang IS NOT NULL AS named, coalesce(lang, '') AS k, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, crc,
+    coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents d LEFT JOIN crc USING (doc_id)
+), d AS (
+  SELECT doc_id, named, k, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+  FROM h
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY named, k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY named, k) AS n FROM d
+), lv AS (
+  SELECT named, k, 0 AS level, i, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT named, k, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY named, k, level, i // 8, n
+), runs AS (
+  SELECT named, k, level, i // 8 AS run, list(digest ORDER BY i) AS ds FROM lv WHERE n > 1 GROUP BY ALL
+), subs AS (
+  SELECT named, k, digest AS subroot, row_number() OVER (ORDER BY named, k) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1
+), up AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM subs
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, i // 8, n
+), upruns AS (
+  SELECT level, i // 8 AS run, list(digest ORDER BY i) AS ds FROM up WHERE n > 1 GROUP BY ALL
+), f AS (
+  SELECT named, k, i AS leaf_i, 0 AS level, i, n, coalesce(changed, leaf) AS cur, '' AS proof FROM l
+  UNION ALL
+  SELECT f.named, f.k, leaf_i, f.level + 1, f.i // 8, (n + 7) // 8,
+    sha256(array_to_string(ds[1:f.i % 8], '') || cur || array_to_string(ds[f.i % 8 + 2:8], '')), proof || array_to_string(ds[1:f.i % 8], '') || array_to_string(ds[f.i % 8 + 2:8], '')
+  FROM f JOIN runs r ON f.named = r.named AND f.k = r.k AND f.level = r.level AND f.i // 8 = r.run WHERE n > 1
+), g AS (
+  SELECT f.named, f.k, leaf_i, subroot, 0 AS level, s.i, s.n, cur, proof FROM f JOIN subs s ON f.named = s.named AND f.k = s.k WHERE f.n = 1
+  UNION ALL
+  SELECT named, k, leaf_i, subroot, g.level + 1, g.i // 8, (n + 7) // 8,
+    sha256(array_to_string(ds[1:g.i % 8], '') || cur || array_to_string(ds[g.i % 8 + 2:8], '')), proof || array_to_string(ds[1:g.i % 8], '') || array_to_string(ds[g.i % 8 + 2:8], '')
+  FROM g JOIN upruns r ON g.level = r.level AND g.i // 8 = r.run WHERE n > 1
+)
+SELECT l.doc_id, l.leaf, g.subroot, t.digest AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = t.digest AS verified
+FROM l JOIN g ON l.named = g.named AND l.k = g.k AND l.i = g.leaf_i AND g.n = 1 CROSS JOIN (SELECT digest FROM up WHERE n = 1) t
+"""
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mix.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+    made = mix.mix(rows)
+    placed = made.pieces.groupBy("row").agg(
+        F.sum("words").alias("taken"), F.count("*").alias("n_pieces"), F.min(F.struct("shard", "slot")).alias("first")
+    )
+    return made.documents.join(placed, "row", "left").select(
+        "r.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("n_pieces", F.lit(0).cast("long")).alias("n_pieces"), F.col("first.shard").alias("first_shard"), F.col("first.slot").alias("first_slot"),
+    )
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_cross_entropy": (op2_cross_entropy, None),
@@ -155,4 +234,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_merkle": (op12_merkle, OP12_SQL),
+    "op13_mix": (op13_mix, None),
 }

@@ -10,8 +10,8 @@ are permuted again within their shard. DataFrame operations only; every random n
 
 Slots are dealt in buckets of random keys within a shard, each ranked on its own and offset by the counts
 before it: no shard is ever one task. Rows equal in every column are interchangeable; they share a
-block unless they are more than a block holds. Nulls hash like any value. An empty table gives no rows. Columns named ``shard`` or ``slot`` are
-replaced.
+block unless they are more than a block holds. Nulls hash like any value. An empty table gives no rows. Columns named ``shard`` or ``slot``
+(in any case) are replaced; the others travel in a struct, so no name clashes with those used here.
 """
 
 from __future__ import annotations
@@ -96,37 +96,56 @@ def communication_matrix(counts: DataFrame, caps: list[int], levels: int, seed:
     return now.select(F.col("node").alias("block"), F.col("caps").alias("row"))
 
 
+def keyed_rows(rows: DataFrame, seed: int, hot_rows: int) -> DataFrame:
+    """(r, copy, h): the caller's columns in a struct, a number for each row and a hash of its content; written to the shared folder.
+
+    Rows that are equal in every column share ``h``, unless there are more than ``hot_rows`` of them: those are told apart by
+    their place in the table that was written.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("r")
+    base = checkpointed(rows.select(own, F.monotonically_increasing_id().alias("copy")))
+    keyed = base.select("r", "copy", F.xxhash64(F.to_json("r", {"ignoreNullFields": "false"}), F.lit(seed)).alias("h"))
+    hot = checkpointed(keyed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select("h", F.lit(True).alias("hot")))
+    if not hot.isEmpty():
+        keyed = keyed.join(hot, "h", "left").withColumn("h", F.when(F.col("hot"), F.xxhash64("h", "copy")).otherwise(F.col("h")))
+    return keyed.select("r", "copy", "h")
+
+
+def shard_of(place: str, matrix: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``block`` and their place in it) with the shard that their block's line of the matrix sends them to."""
+    ends = "aggregate(row, cast(array() as array<bigint>), (a, x) -> concat(a, array(x + coalesce(try_element_at(a, -1), 0L))))"
+    lines = matrix.select("block", F.expr(ends).alias("ends"))
+    return rows.join(lines, "block").withColumn("shard", F.expr(f"cast(size(filter(ends, e -> e <= {place})) as int)")).drop("ends")
+
+
+def slotted(sent: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """``sent`` (with h and shard) with ``slot``, gapless from 0 in each shard, by a keyed permutation; dealt in buckets."""
+    sent = sent.withColumn("key", F.xxhash64("h", F.lit(seed + 3))).withColumn("bucket", F.floor(uniform(F.col("h"), F.lit(seed + 4)) * buckets).cast("int"))
+    sent = checkpointed(sent)
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("offset"))
+    again = Window.partitionBy("shard", "bucket").orderBy("key", "h")
+    out = sent.withColumn("place", F.row_number().over(again) - 1).join(offsets, ["shard", "bucket"])
+    return out.withColumn("slot", (F.col("offset") + F.col("place")).cast("long")).drop("key", "bucket", "place", "offset")
+
+
+def even_sizes(total: int, n_shards: int) -> list[int]:
+    return [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+
+
 def shuffle_into_shards(rows: DataFrame, n_shards: int, *, seed: int = 20_240_501, block_rows: int = 8192, bucket_rows: int = 4096) -> DataFrame:
     """``rows`` with ``shard`` (0 .. n_shards-1, sizes at most one apart) and ``slot`` (gapless from 0).
 
     The given columns are written once to the shared checkpoint folder: hand over the columns that tell
     rows apart, not whole texts.
     """
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    own = [F.col(f"`{c}`") for c in columns]
-    base = checkpointed(rows.select(*own, F.monotonically_increasing_id().alias("__copy")))
-    total = base.count()
+    columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    keyed = keyed_rows(rows.select(*(F.col(f"`{c}`") for c in columns)), seed, block_rows).select("r", "h")
+    total = keyed.count()
     levels = max(0, (max(total, 1) - 1) // block_rows).bit_length()
-    buckets = max(1, -(-total // (n_shards * bucket_rows)))
-    content = F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
-    keyed = base.select(F.struct(*own).alias("r"), F.xxhash64(content, F.lit(seed)).alias("h"), "__copy")
-    # equal rows that would fill a block by themselves are told apart by their place in the table that was written
-    hot = checkpointed(keyed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("h", F.lit(True).alias("hot")))
-    if not hot.isEmpty():
-        keyed = keyed.join(hot, "h", "left").withColumn("h", F.when(F.col("hot"), F.xxhash64("h", "__copy")).otherwise(F.col("h")))
-    keyed = keyed.select("r", "h")
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(1 << levels)).cast("long"))
     counts = checkpointed(keyed.groupBy("block").agg(F.count("*").alias("n")))
-    caps = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix(counts, caps, levels, seed)
-    lines = matrix.select("block", F.expr("aggregate(row, cast(array() as array<bigint>), (a, x) -> concat(a, array(x + coalesce(try_element_at(a, -1), 0L))))").alias("ends"))
+    matrix = communication_matrix(counts, even_sizes(total, n_shards), levels, seed)
     local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit(seed + 2)), "h")
-    ranked = keyed.withColumn("place", F.row_number().over(local) - 1).join(lines, "block")
-    sent = ranked.select("r", "h", F.expr("cast(size(filter(ends, e -> e <= place)) as int)").alias("shard"))
-    sent = sent.withColumn("key", F.xxhash64("h", F.lit(seed + 3))).withColumn("bucket", F.floor(uniform(F.col("h"), F.lit(seed + 4)) * buckets).cast("int"))
-    sent = checkpointed(sent)
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("offset"))
-    again = Window.partitionBy("shard", "bucket").orderBy("key", "h")
-    out = sent.withColumn("place", F.row_number().over(again) - 1).join(offsets, ["shard", "bucket"])
-    return out.select("r.*", "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"))
+    sent = shard_of("place", matrix, keyed.withColumn("place", F.row_number().over(local) - 1)).select("r", "h", "shard")
+    return slotted(sent, max(1, -(-total // (n_shards * bucket_rows))), seed).select("r.*", "shard", "slot")
