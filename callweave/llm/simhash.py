@@ -164,10 +164,13 @@ class GrayTree:
             good[at] = self.accept(a[at], b[at])
         return good
 
-    def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of pairs: a spanning forest of the links at ``max_bits`` or fewer."""
+    def forest(self, max_bits: int, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs: a spanning forest of the links at ``max_bits`` or fewer, between components if these are given."""
         n = len(self.values)
         self.parent = np.arange(n)
+        if component is not None:
+            _, first, which = np.unique(component, return_index=True, return_inverse=True)
+            self.parent = first[which]
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def join(a, b):
@@ -177,19 +180,12 @@ class GrayTree:
 
         # neighbours in Gray order first: they collapse groups of close copies, which prunes most else
         for step in (1, 2):
-            a = np.flatnonzero(self.bucket[0][:-step] == self.bucket[0][step:]) if n > step else np.empty(0, np.int64)
+            a = np.flatnonzero((self.bucket[0][:-step] == self.bucket[0][step:]) & (self.parent[:-step] != self.parent[step:])) if n > step else np.empty(0, np.int64)
             a = a[self.near(a, a + step, max_bits)]
             join(a, a + step)
         self._descend(max_bits, join, whole=self.accept is None)
         return _joined(out)
 
-    def across(self, max_bits: int, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all pairs at ``max_bits`` or fewer whose components differ."""
-        self.parent = np.unique(component, return_inverse=True)[1]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        self._descend(max_bits, lambda a, b: out.append((a, b)), whole=False)
-        return _joined(out)
-
     def _descend(self, max_bits: int, take: Callable, whole: bool, chunk: int = 1 << 15) -> None:
         """Hands over the near pairs of leaves of different components, from the roots of the trees downwards."""
         roots = np.arange(len(self.bucket[-1]))
