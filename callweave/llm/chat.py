@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import absent
+
 #: The template's control strings.
 CONTROL = r"\[/?INST\]|</?s>|<<ROLE|<</ROLE>>"
 TURN = r"(?s)\[INST\] .*? \[/INST\]|<s> .*? </s>|<<ROLE [^<>\[]*>> .*? <</ROLE>>"
@@ -110,10 +112,11 @@ def loss_spans(turns: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``formatted`` with its parsed ``turns`` (role, text) and the ``mask`` of trained letters."""
-    parsed = formatted.withColumn("__turns", parse_turns(F.col("formatted")))
+    """``formatted`` with its parsed ``turns`` (role, text) and the ``mask`` of trained letters; columns of those names are replaced."""
+    own = absent(formatted.columns, "parsed")
+    parsed = formatted.withColumn(own, parse_turns(F.col("formatted")))
     return parsed.select(
-        *(F.col(f"`{c}`") for c in formatted.columns),
-        F.transform("__turns", lambda t: F.struct(t["role"].alias("role"), unescape(t["body"]).alias("text"))).alias("turns"),
-        loss_spans(F.col("__turns")).alias("mask"),
+        *(F.col(f"`{c}`") for c in formatted.columns if c.lower() not in ("turns", "mask")),
+        F.transform(own, lambda t: F.struct(t["role"].alias("role"), unescape(t["body"]).alias("text"))).alias("turns"),
+        loss_spans(F.col(own)).alias("mask"),
     )

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import absent, append_columns
 from .textnp import Words
 
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -170,6 +170,11 @@ def find_contamination(
     return append_columns(docs, text, [text], outputs, _scan(lambda: [_opened(name, layout) for name, layout in names]))
 
 
+def _aside(docs: DataFrame) -> dict[str, str]:
+    """Other names for columns that are named as a result."""
+    return {c: absent(docs.columns, f"{c}_") for c in docs.columns if c.lower() in ("n_words", "hit_spans", "hit_items")}
+
+
 def n_hit_words(spans="hit_spans"):
     """Words inside the spans."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["begin"]).cast("long"))
@@ -177,7 +182,9 @@ def n_hit_words(spans="hit_spans"):
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any occurrence of a benchmark window; columns as given."""
-    return find_contamination(docs, benchmark, **options).filter(F.size("hit_spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    aside = _aside(docs)
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, **options).filter(F.size("hit_spans") == 0)
+    return found.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -199,6 +206,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
 
         return function
 
-    found = find_contamination(docs, benchmark, text=text, **options)
-    cut = append_columns(found.withColumn("__cut", F.col(text)), "__cut", ["__cut", "hit_spans"], [("__cut", T.StringType())], make)
-    return cut.withColumn(text, F.col("__cut")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    aside = _aside(docs)
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, text=text, **options)
+    own = absent(found.columns, "cut")
+    cut = append_columns(found.withColumn(own, F.col(f"`{text}`")), own, [own, "hit_spans"], [(own, T.StringType())], make)
+    return cut.withColumn(text, F.col(own)).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

@@ -133,7 +133,7 @@ def _flagged(bucket: pa.Table) -> pa.Table:
 
 
 def _scores(rows: DataFrame, kept: list[T.StructField], leave_own_out: bool, size: int | None, marks: DataFrame | None = None) -> DataFrame:
-    """``rows``: the kept columns, __text, __t and __b (times a row counts in target and background), __scored, __h.
+    """``rows``: the kept columns (numbered, see ``_carried``), __text, __t and __b (times a row counts in target and background), __scored, __h.
 
     ``marks``: values of __h whose rows are of the target.
     """
@@ -228,6 +228,15 @@ def _kept(docs: DataFrame, text: str) -> list[T.StructField]:
     return [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in [text, *(name for name, _ in OUTPUTS)]]
 
 
+def _carried(kept: list[T.StructField]) -> list[T.StructField]:
+    """The kept columns under names that none of those used here can clash with."""
+    return [T.StructField(f"k{i}", f.dataType, True) for i, f in enumerate(kept)]
+
+
+def _named(scores: DataFrame, kept: list[T.StructField]) -> DataFrame:
+    return scores.toDF(*(f.name for f in kept), *(name for name, _ in OUTPUTS))
+
+
 def _row(text: Column, target: Column, background: Column, scored: bool, h: Column) -> list[Column]:
     return [text.alias("__text"), target.cast("int").alias("__t"), background.cast("int").alias("__b"), F.lit(scored).alias("__scored"), h.alias("__h")]
 
@@ -244,11 +253,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     """
     kept = _kept(docs, text)
     said = F.col(f"`{text}`")
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), *_row(said, F.lit(0), F.lit(0), True, _hash(docs)))
+    carried = _carried(kept)
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(kept, carried, strict=True)), *_row(said, F.lit(0), F.lit(0), True, _hash(docs)))
     for corpus, t, b in ((target, 1, 0), (background, 0, 1)):
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+        none = [F.lit(None).cast(c.dataType).alias(c.name) for c in carried]
         rows = rows.unionByName(corpus.select(*none, *_row(said, F.lit(t), F.lit(b), False, _hash(corpus))))
-    return _scores(rows, kept, False, None if word_bits is None else 1 << word_bits)
+    return _named(_scores(rows, carried, False, None if word_bits is None else 1 << word_bits), kept)
 
 
 def score_within(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leave_own_out: bool = True) -> DataFrame:
@@ -257,8 +267,9 @@ def score_within(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_i
     Which row is of the target is found on ids and hashes alone, so that each text is shuffled once only, into its bucket.
     """
     kept = _kept(docs, text)
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), *_row(F.col(f"`{text}`"), F.lit(0), F.lit(1), True, _hash(docs)))
+    carried = _carried(kept)
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(kept, carried, strict=True)), *_row(F.col(f"`{text}`"), F.lit(0), F.lit(1), True, _hash(docs)))
     ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("__id")).distinct()
     small = docs.filter(F.col(f"`{text}`") != "").select(F.col(f"`{doc_id}`").alias("__id"), _hash(docs).alias("__h"))
     marks = small.join(ids.hint("merge"), "__id", "left_semi").select("__h").distinct()
-    return _scores(rows, kept, leave_own_out, None, marks)
+    return _named(_scores(rows, carried, leave_own_out, None, marks), kept)

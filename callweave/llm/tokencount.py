@@ -8,13 +8,15 @@ byte, ``last`` to that of its last byte, ``most`` to the one that has most of it
 of equals). So the sections' counts always sum to the document's.
 
 Null fields and texts are empty; an empty text is one empty line. Special-token strings are ordinary text. Texts of any
-length are encoded whole; repeated rows count alike; columns named as a result are replaced; an empty table gives no rows.
+length are encoded whole: a run of white space of over 65,536 characters, too long for the encoder's pattern, is handed to its merges as the
+piece that the pattern makes of it; repeated rows count alike; columns named as a result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,25 @@ def _encoder(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}), width
 
 
+#: White space as the encoder's pattern has it.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_LONG = 1 << 16
+
+
+def encoded(encoder, text: str) -> list[int]:
+    """The tokens of a text. The pattern makes one piece of a run of white space, but for its last character where text follows."""
+    if len(text) <= _LONG:
+        return encoder.encode_ordinary(text)
+    out, at = [], 0
+    for run in _SPACE.finditer(text):
+        if run.end() - run.start() > _LONG:
+            end = run.end() - (run.end() < len(text))
+            out += encoder.encode_ordinary(text[at : run.start()])
+            out += encoder._encode_single_piece(text[run.start() : end])
+            at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tuple[np.ndarray, int]:
     """Tokens of each section and how many tokens cross a boundary; section i is bounds[i]:bounds[i+1]."""
     sections = len(bounds) - 1
@@ -79,7 +100,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", fields: tuple[str, ...]
                 whole = "".join(head) + (value or "")
                 sizes = [*(len(x.encode()) for x in head), *(len(x) + 1 for x in (value or "").encode().split(b"\n"))]
                 sizes[-1] -= 1
-                ends = np.cumsum(width[np.asarray(encoder.encode_ordinary(whole), np.int64)])
+                ends = np.cumsum(width[np.asarray(encoded(encoder, whole), np.int64)])
                 starts = np.append([0], ends[:-1])[: len(ends)]
                 counts, crossing = attribute(starts, ends, np.concatenate([[0], np.cumsum(sizes)]), rule)
                 rows.append((len(ends), counts[: len(head)].tolist(), counts[len(head) :].tolist(), crossing, len(lines)))

@@ -40,11 +40,13 @@ STATES = 50_000
 #: Words before and after a hit that tell whether it is spoken of.
 BESIDE = 3
 STEMS = (4, 5, 6)
+#: Letters by which a word may go on after a stem; no longer word is a hit of it.
+REACH = 16
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with weights; stems match all words that begin with them. Terms from ``long_from`` letters on may have ``long_edits``.
+    """Terms with weights; stems match all words that begin with them and go on by at most ``REACH`` letters. Terms from ``long_from`` letters on may have ``long_edits``.
 
     ``reporting``: words beside which a term is spoken of rather than said.
     """
@@ -84,7 +86,7 @@ class FuzzyTrie:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
-        self.begin = self._state({0: 0}, 0.0)
+        self.begin = self._state({0: 0}, ())
 
     def _add(self, term: str, weight: float, into: list, edits: int) -> None:
         node = 0
@@ -101,8 +103,8 @@ class FuzzyTrie:
             self.deep[node] = max(self.deep[node], edits)
         into[node] = weight
 
-    def _state(self, nodes: dict[int, int], stem: float) -> int:
-        """``nodes``: trie node -> least edits; kept as numbers, four for each node, so that a state is small."""
+    def _state(self, nodes: dict[int, int], stems: tuple) -> int:
+        """``nodes``: trie node -> least edits; kept as numbers, four for each node, so that a state is small. ``stems``: (letters, weight) of those met."""
         grow = list(nodes.items())
         while grow:  # letters of a term that the word leaves out
             node, used = grow.pop()
@@ -111,7 +113,7 @@ class FuzzyTrie:
                     if used < self.deep[child] and nodes.get(child, 99) > used + 1:
                         nodes[child] = used + 1
                         grow.append((child, used + 1))
-        key = (tuple(sorted(node << 2 | used for node, used in nodes.items())), stem)
+        key = (tuple(sorted(node << 2 | used for node, used in nodes.items())), stems)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -119,7 +121,7 @@ class FuzzyTrie:
         return self.states[key]
 
     def _next(self, state: int, letter: str) -> int:
-        items, stem = self.sets[state]
+        items, stems = self.sets[state]
         nodes: dict[int, int] = {}
 
         def put(node, used):
@@ -132,16 +134,19 @@ class FuzzyTrie:
             if child is not None:
                 put(child, used)
                 if used == 0 and self.stem[child] is not None:
-                    stem = max(stem, self.stem[child])
+                    stems += ((self.depth[child], self.stem[child]),)
             if used < self.deep[node]:
                 put(node, used + 1)
                 for other, child in self.children[node].items():
                     if other != letter and used < self.deep[child]:
                         put(child, used + 1)
-        to = self._state(nodes, stem)
+        to = self._state(nodes, stems)
         self.steps[state][letter] = to
         return to
 
+    def _by_stem(self, state: int, word: str) -> float:
+        return max((weight for letters, weight in self.sets[state][1] if len(word) <= letters + REACH), default=0.0)
+
     def match(self, word: str) -> tuple[float, float]:
         """The largest weight of an exact (or stem) hit and of a misspelled one; zero if none."""
         if len(self.sets) > STATES:
@@ -151,9 +156,8 @@ class FuzzyTrie:
             to = steps[state].get(letter)
             state = self._next(state, letter) if to is None else to
             if not self.sets[state][0]:  # no term can follow, however long the word is
-                return self.sets[state][1], 0.0
-        items, exact = self.sets[state]
-        fuzzy = 0.0
+                return self._by_stem(state, word), 0.0
+        items, exact, fuzzy = self.sets[state][0], self._by_stem(state, word), 0.0
         for item in items:
             node, used = item >> 2, item & 3
             weight = self.word[node]

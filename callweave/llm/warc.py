@@ -57,9 +57,25 @@ _ANCHOR = re.compile(r"<a\b([^>]*)(?:>|\Z)", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+#: A numeric reference of more digits than any character has.
+_NUMBER = re.compile(r"&#([0-9]{8,})(;?)")
+#: Bytes up to which a compressed body is inflated.
+MOST_INFLATED = 1 << 27
+
+
+def unescaped(text: str) -> str:
+    """``text`` without references; numbers that are no character, of any length, become U+FFFD as in a browser."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{digits}{m[2]}"
+
+    return html.unescape(_NUMBER.sub(short, text))
+
+
 def plain_text(page: str) -> str:
     """The lines of a page without markup; what an unclosed comment, script or tag begins is left out to the end."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _SKIP.sub(" ", page))))
+    text = unescaped(_TAG.sub("", _BREAK.sub("\n", _SKIP.sub(" ", page))))
     lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -67,20 +83,22 @@ def plain_text(page: str) -> str:
 def references(page: str) -> list[str]:
     """The href of each anchor, unescaped, in order."""
     found = (_HREF.search(a[1]) for a in _ANCHOR.finditer(page))
-    return [html.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
+    return [unescaped(m[1] or m[2] or m[3] or "") for m in found if m]
 
 
 def decoded_body(fields: list[tuple[str, str]], body: bytes) -> bytes:
-    """A body without its transfer and content encoding; one that cannot be undone is left as it is."""
+    """A body without its transfer and content encoding; one that cannot be undone, or not within ``MOST_INFLATED`` bytes, is left as it is."""
     named = {name.lower(): value.lower() for name, value in fields}
     if "chunked" in named.get("transfer-encoding", ""):
         body = _unchunked(body)
     kind = named.get("content-encoding", "").strip()
     if kind in ("gzip", "x-gzip", "deflate"):
+        inflater = zlib.decompressobj(31 if "gzip" in kind else 15)
         try:
-            return zlib.decompressobj(31 if "gzip" in kind else 15).decompress(body)
+            plain = inflater.decompress(body, MOST_INFLATED)
         except zlib.error:
             return body
+        return body if inflater.unconsumed_tail else plain
     return body
 
 
@@ -179,7 +197,7 @@ def derivatives(record: bytes | None) -> tuple:
         page = decoded_body(sent, payload).decode("utf-8", "replace")
     kept = _SKIP.sub(" ", page)
     title = _TITLE.search(kept)
-    title = " ".join(html.unescape(title[1]).split()) if title else ""
+    title = " ".join(unescaped(title[1]).split()) if title else ""
     base, links = source.get("warc-target-uri", ""), []
     for link in references(kept):
         try:

@@ -437,12 +437,13 @@ def test_stages_on_odd_rows(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     rows = [(None, None, None), (None, "", "a"), (1, None, None), (2, "", "b"), (3, "same text here", "b"), (3, "same text here", "b"), (4, "SAME text, here!", None), (5, "long word " * 100_000, "c"), (6, "?", "c"), (7, "!", "c"), (8, bench, "d"), (None, "no id", "d")]
     clash = "doc_id long, text string, source string"
-    more = {"h": "x", "__near_id": "y", "class": "z", "score": "s", "hit_spans": "t", "node": 5, "n_words": 6, "key": "k"}
+    more = {"h": "x", "__near_id": "y", "class": "z", "score": "s", "hit_spans": "t", "node": 5, "n_words": 6, "key": "k", "near_id": "n", "near_h": "o", "near_nth": "p", "score_": "q", "__score": "r", "__cut": "s"}
     docs = spark.createDataFrame(rows, clash).select("*", *(F.lit(v).alias(k) for k, v in more.items()))
     wanted = {0: len(rows), 1: 7, 2: len(rows) - 1, 3: len(rows)}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        given = docs.drop("__near_id") if i == 1 else docs
-        out = stage(spark, given, SF)
-        assert i == 3 or out.columns == given.columns, name
-        assert out.count() == wanted[i], name
-        assert stage(spark, given.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert i == 3 or out.columns == docs.columns, name
+        found = out.collect()
+        assert len(found) == wanted[i], name
+        assert i == 3 or all(r[k] == v for r in found for k, v in more.items()), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
