@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe, decontam, simhash, toxicity
-from callweave.llm.common import shared_folder
+from callweave.llm.common import absent, shared_folder
 
 #: Documents scored at or above this are rejected.
 TOXIC_FROM = 0.5
@@ -21,8 +21,9 @@ TOXIC_FROM = 0.5
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The model is learned from the labels of the same table that are not held out."""
     model = toxicity.train_on_open_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, output="__score")
-    return scored.filter(F.col("__score") < TOXIC_FROM).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = absent(docs.columns, "score")
+    scored = toxicity.score(docs, model, output=own)
+    return scored.filter(F.col(own) < TOXIC_FROM).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
