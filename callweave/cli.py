@@ -24,6 +24,7 @@ from .operators import stitch as st
 from .operators import timeline as tl
 from .operators import transcript as tr
 from .sources import readers as rd
+from .sources import wav
 
 
 def _wrong(message: str) -> int:
@@ -148,15 +149,9 @@ def faces(spark: SparkSession, args) -> int:
 
 def callcheck(spark: SparkSession, args) -> int:
     """WAV files to levels and verdicts; 1 if a channel looks dead."""
-    files = rd.wav_samples(spark, args.files)
-    samples = files.select("recording_id", "channel", "rate", F.posexplode("samples").alias("i", "x")).withColumn("t", F.col("i") / F.col("rate"))
-    durations = files.groupBy("recording_id").agg(F.max(F.size("samples") / F.col("rate")).alias("duration"))
+    headers = wav.headers(spark, args.files)
     forced = "sampled" if args.fast else "full" if args.full else None
-    modes = rd.file_sizes(spark, args.files, "*.wav").select("recording_id", lv.scan_mode(F.col("size"), forced).alias("mode"))
-    sampled = samples.join(modes.filter("mode = 'sampled'").select("recording_id"), "recording_id", "left_semi")
-    whole = samples.join(modes.filter("mode = 'full'").select("recording_id"), "recording_id", "left_semi")
-    columns = ["recording_id", "channel", "mean_db", "max_db"]
-    levels = lv.sampled_levels(sampled, durations).select(*columns).unionByName(lv.channel_levels(whole).select(*columns))
+    levels = lv.levels_of_energy(wav.energy(lv.stretches(headers, forced)))
     judged = lv.verdicts(levels).orderBy("recording_id", "channel").collect()
     for r in judged:
         print(f"{r['recording_id']} {'LR'[r['channel']] if r['channel'] < 2 else r['channel']}: max {r['max_db']:.1f} dB   mean {r['mean_db']:.1f} dB   -> {r['verdict']}")

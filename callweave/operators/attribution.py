@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _with_spans(lines: DataFrame, spans: DataFrame, lag: float, self_name: str, caller: str) -> DataFrame:
-    """``lines`` with ``timed`` (the label by time) and ``others`` (the other speakers of the recording).
+def _timed(lines: DataFrame, spans: DataFrame, lag: float, self_name: str, caller: str, stretch: float = 30.0) -> DataFrame:
+    """``lines`` with ``timed``, the label by time.
 
-    A recording's spans are gathered into one row, in the partitioning their windows already have, and
-    lines meet them by recording: one exchange of the lines, and no row for every pair of line and span.
+    Spans are gathered by stretches of time, cut to the time that their recording has lines in; a line meets the few
+    spans of its own stretch, so neither a recording is one row nor a pair of line and span.
     """
-    name = F.when((F.col("name") != "") & (F.col("name") != self_name), F.col("name"))
-    whole = spans.groupBy("recording_id").agg(
-        F.array_sort(F.collect_list(F.struct("span_no", "start", "end", "name"))).alias("spans"), F.array_sort(F.collect_set(name)).alias("others")
-    )
     at = F.col("t") - F.lit(float(lag))
+    known = lines.groupBy("recording_id").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    place = lambda c: F.floor(c / stretch).cast("long")
+    inside = spans.join(known, "recording_id").filter("start < end and start <= high and end > low")
+    cut = F.sequence(place(F.greatest("start", "low")), place(F.least("end", "high")))
+    pieces = inside.withColumn("stretch", F.explode(cut))
+    near = pieces.groupBy("recording_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("span_no", "start", "end", "name"))).alias("spans"))
     first = F.try_element_at(F.filter("spans", lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(1))["name"]
     good = (F.col("label") == caller) & first.isNotNull() & (first != "") & (first != self_name)
-    joined = lines.join(whole, "recording_id", "left")
-    return joined.select("recording_id", "line_no", "t", "label", "text", F.when(good, first).otherwise(F.col("label")).alias("timed"), F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+    joined = lines.withColumn("stretch", place(at)).join(near, ["recording_id", "stretch"], "left")
+    return joined.select("recording_id", "line_no", "t", "label", "text", F.when(good, first).otherwise(F.col("label")).alias("timed"))
 
 
 def relabel_timed(lines: DataFrame, spans: DataFrame, *, lag: float = 1.5, self_name: str = "You", caller: str = "Caller") -> DataFrame:
@@ -28,7 +30,7 @@ def relabel_timed(lines: DataFrame, spans: DataFrame, *, lag: float = 1.5, self_
 
     Only caller lines change, and only where that span has a name other than ``self_name``.
     """
-    found = _with_spans(lines, spans, lag, self_name, caller)
+    found = _timed(lines, spans, lag, self_name, caller)
     return found.select("recording_id", "line_no", "t", F.col("timed").alias("label"), "text", F.col("label").alias("original_label"))
 
 
@@ -59,7 +61,7 @@ def collapse_caller(lines: DataFrame, speakers: DataFrame, caller: str = "Caller
 
 def resolve(lines: DataFrame, spans: DataFrame, *, lag: float = 1.5, self_name: str = "You", caller: str = "Caller", callers: int | None = None) -> DataFrame:
     """``lines`` relabelled by collapse where a recording allows it, else by time."""
-    found = _with_spans(lines, spans, lag, self_name, caller)
+    found = _timed(lines, spans, lag, self_name, caller).join(distinct_speakers(spans, self_name), "recording_id", "left")
     collapse = F.size("others") == 1 if callers in (None, 1) else F.lit(False)
     label = F.when(collapse & (F.col("label") == caller), F.col("others")[0]).when(collapse, F.col("label")).otherwise(F.col("timed"))
     mode = F.when(collapse, "collapse").otherwise("timed")

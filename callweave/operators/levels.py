@@ -40,6 +40,32 @@ def sampled_levels(samples: DataFrame, durations: DataFrame, *, seconds: float =
     return every.join(heard, ["recording_id", "channel"], "left").select("recording_id", "channel", F.coalesce("mean_db", F.lit(SILENCE_DB)).alias("mean_db"), F.coalesce("max_db", F.lit(SILENCE_DB)).alias("max_db"))
 
 
+def levels_of_energy(energy: DataFrame) -> DataFrame:
+    """(recording_id, channel, mean_db, max_db) of stretches of sound (``whole``, samples, energy, peak), which may come in pieces.
+
+    A channel has the best of its stretches. Stretches without signal are passed over, but for those that are a whole file; a channel without any
+    other has -91 dB.
+    """
+    keys = ["recording_id", "channel", "stretch", "whole"]
+    sums = energy.groupBy(*keys).agg((F.sum("energy") / F.sum("samples")).alias("p"), F.max("peak").alias("m"))
+    each = sums.select(*keys, decibels(F.col("p")).alias("mean_db"), decibels(F.col("m") * F.col("m")).alias("max_db"))
+    heard = F.col("whole") | (F.col("mean_db") > float("-inf"))
+    best = each.groupBy("recording_id", "channel").agg(*(F.max(F.when(heard, F.col(c))).alias(c) for c in ("mean_db", "max_db")))
+    return best.select("recording_id", "channel", F.coalesce("mean_db", F.lit(SILENCE_DB)).alias("mean_db"), F.coalesce("max_db", F.lit(SILENCE_DB)).alias("max_db"))
+
+
+def stretches(headers: DataFrame, forced: str | None = None, *, seconds: float = 12.0) -> DataFrame:
+    """``headers`` of sound files (bytes, rate, frames, duration) with ``mode``, ``stretch``, ``whole``, ``first`` and ``count`` of frames: five
+    windows of files that are to be sampled and last two windows or more, else all of the file."""
+    whole_seconds = F.floor("duration")
+    mode = scan_mode(F.col("bytes"), forced)
+    few = (mode == "sampled") & (whole_seconds >= 2 * seconds)
+    starts = F.array(*((F.floor(whole_seconds * f) * F.col("rate")).cast("long") for f in FRACTIONS))
+    rows = headers.withColumns({"mode": mode, "whole": ~few}).select("*", F.posexplode(F.when(few, starts).otherwise(F.array(F.lit(0).cast("long")))).alias("stretch", "first"))
+    length = F.when(F.col("whole"), F.col("frames")).otherwise(F.least(F.col("frames") - F.col("first"), (F.col("rate") * F.lit(float(seconds))).cast("long")))
+    return rows.withColumn("count", length)
+
+
 def verdicts(levels: DataFrame, floor_db: float = NOISE_FLOOR_DB) -> DataFrame:
     """``levels`` with OK or DEAD."""
     dead = F.col("mean_db").isNull() | (F.col("mean_db") == float("-inf")) | (F.col("mean_db") < F.lit(float(floor_db)))

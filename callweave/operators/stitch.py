@@ -1,8 +1,7 @@
 """Stitching of rolling captions: overlap merge, stutter removal, turns.
 
-Frames of a recording must be folded in order, so the merge is a grouped map over one recording's frames;
-its alignment looks back over a bounded tail. All else is column expressions. Tokens are
-array<struct<is_spk, tok>>.
+Frames of a recording must be folded in order, and the alignment looks back over a bounded tail: chunks of frames are folded side
+by side and joined where their states agree. All else is column expressions. Tokens are array<struct<is_spk, tok>>.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 ANCHOR = 4
 TAIL = 400
 TOKENS = "array<struct<is_spk:boolean,tok:string>>"
@@ -67,23 +68,58 @@ def overlap(tail: list[str], frame: list[str], anchor: int = ANCHOR) -> int:
     return known
 
 
-def rolling_merge(frames: DataFrame, *, anchor: int = ANCHOR, tail: int = TAIL) -> DataFrame:
-    """(recording_id, n_frames, tokens): the frames' tokens, each frame from where it goes on."""
+def _folded(pdf: pd.DataFrame, start: list[str] | None, anchor: int, tail: int) -> pd.DataFrame:
+    """One chunk's frames folded: from ``start``, or from what its frames of warming up come to."""
+    pdf = pdf.sort_values("frame_no", kind="stable")
+    own = pdf[pdf["own"]]
+    if own.empty:
+        return pd.DataFrame(columns=["recording_id", "chunk", "n_frames", "marks", "toks", "start", "end"])
+    keys: list[str] = []
+    for k in pdf["keys"][~pdf["own"]] if start is None else ():
+        keys = (keys + list(k[overlap(keys, list(k), anchor) if keys else 0 :]))[-tail:]
+    begun = keys = keys if start is None else start
+    marks, toks = [], []
+    for m, t, k in zip(own["marks"], own["toks"], own["keys"], strict=True):
+        at = overlap(keys, list(k), anchor) if keys else 0
+        marks += list(m[at:])
+        toks += list(t[at:])
+        keys = (keys + list(k[at:]))[-tail:]
+    first = own.iloc[0]
+    return pd.DataFrame({"recording_id": [first["recording_id"]], "chunk": [first["chunk"]], "n_frames": [len(own)], "marks": [marks], "toks": [toks], "start": [begun], "end": [keys]})
+
+
+def rolling_merge(frames: DataFrame, *, anchor: int = ANCHOR, tail: int = TAIL, chunk_frames: int = 1024, warm_frames: int = 96) -> DataFrame:
+    """(recording_id, n_frames, tokens): the frames' tokens, each frame from where it goes on.
+
+    The merge looks back over ``tail`` tokens only, so these are all its state. Stretches of ``chunk_frames`` frame numbers are folded
+    by themselves, each after the last ``warm_frames`` of the one before, which mostly come to the state that the whole recording would
+    have there. Where a chunk's first state is not the last one of the chunk before, it is folded again from that one, until all agree: the
+    result is that of one fold over the recording, though no task ever holds more than a chunk. The merged tokens of a recording are one row.
+    """
     key = frames.schema["recording_id"].dataType.simpleString()
-    shaped = frames.select("recording_id", "frame_no", F.col("tokens.is_spk").alias("marks"), F.col("tokens.tok").alias("toks"), keys_of(F.col("tokens")).alias("keys"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        marks, toks, keys = [], [], []
-        for m, t, k in zip(pdf["marks"], pdf["toks"], pdf["keys"], strict=True):
-            at = overlap(keys[-tail:], list(k), anchor) if keys else 0
-            marks += list(m[at:])
-            toks += list(t[at:])
-            keys += list(k[at:])
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "n_frames": [len(pdf)], "marks": [marks], "toks": [toks]})
-
-    merged = shaped.groupBy("recording_id").applyInPandas(fold, f"recording_id {key}, n_frames long, marks array<boolean>, toks array<string>")
-    return merged.select("recording_id", "n_frames", F.arrays_zip(F.col("marks").alias("is_spk"), F.col("toks").alias("tok")).cast(TOKENS).alias("tokens"))
+    schema = f"recording_id {key}, chunk long, n_frames long, marks array<boolean>, toks array<string>, start array<string>, end array<string>"
+    number = F.floor(F.col("frame_no") / chunk_frames).cast("long")
+    here, ahead = F.struct(number.alias("chunk"), F.lit(True).alias("own")), F.struct((number + 1).alias("chunk"), F.lit(False).alias("own"))
+    warms = F.pmod(F.col("frame_no"), F.lit(chunk_frames)) >= chunk_frames - warm_frames
+    dealt = frames.select(
+        "recording_id", "frame_no", F.col("tokens.is_spk").alias("marks"), F.col("tokens.tok").alias("toks"), keys_of(F.col("tokens")).alias("keys"),
+        F.explode(F.when(warms, F.array(here, ahead)).otherwise(F.array(here))).alias("at"),
+    ).select("recording_id", "at.chunk", "at.own", "frame_no", "marks", "toks", "keys")
+    chunks = written(dealt.groupBy("recording_id", "chunk").applyInPandas(lambda pdf: _folded(pdf, None, anchor, tail), schema))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("recording_id").orderBy("chunk")), F.array().cast("array<string>"))
+    while True:
+        linked = chunks.withColumn("before", before)
+        wrong = written(linked.filter(F.col("start") != F.col("before")).select(F.col("recording_id").alias("rec"), F.col("chunk").alias("no"), "before"))
+        if wrong.isEmpty():
+            break
+        meets = F.col("recording_id").eqNullSafe(F.col("rec")) & (F.col("chunk") == F.col("no"))
+        states = wrong.groupBy("rec", "no")
+        own = dealt.filter("own").join(wrong.select("rec", "no"), meets, "left_semi").groupBy("recording_id", "chunk")
+        again = own.cogroup(states).applyInPandas(lambda pdf, at: _folded(pdf, list(at["before"].iloc[0]), anchor, tail), schema)
+        chunks = written(chunks.join(wrong.select("rec", "no"), meets, "left_anti").unionByName(again))
+    tokens = F.arrays_zip(F.col("marks").alias("is_spk"), F.col("toks").alias("tok")).cast(TOKENS)
+    whole = chunks.groupBy("recording_id").agg(F.sum("n_frames").alias("n_frames"), F.array_sort(F.collect_list(F.struct("chunk", tokens.alias("tokens")))).alias("all"))
+    return whole.select("recording_id", "n_frames", F.flatten(F.col("all.tokens")).alias("tokens"))
 
 
 def from_first_speaker(tokens: Column) -> Column:
