@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import string
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
 
@@ -36,7 +37,7 @@ EDGE = string.punctuation + "“”„‚‘’«»‹›…–—¿¡"
 QUOTES = set("\"“”„«»‹›")
 REPORTING = frozenset("said says saying wrote writes quoted quote quotes called calls reported zitat zitiert sagte schrieb dit disait écrit cite dijo dice escribió cita".split())
 CACHE_WORDS = 100_000
-STATES = 50_000
+STATES = 150_000
 #: Words before and after a hit that tell whether it is spoken of.
 BESIDE = 3
 STEMS = (4, 5, 6)
@@ -66,6 +67,11 @@ class Lexicon:
         return max(self.max_edits, self.long_edits) if length >= self.long_from else self.max_edits
 
 
+def _reached(stems: tuple, length: int) -> float:
+    """The largest weight of the stems (letters, weight) that a word of so many letters goes on from."""
+    return max((weight for letters, weight in stems if length <= letters + REACH), default=0.0)
+
+
 class FuzzyTrie:
     """The lexicon trie intersected with Levenshtein automata, determinised on demand."""
 
@@ -113,7 +119,7 @@ class FuzzyTrie:
                     if used < self.deep[child] and nodes.get(child, 99) > used + 1:
                         nodes[child] = used + 1
                         grow.append((child, used + 1))
-        key = (tuple(sorted(node << 2 | used for node, used in nodes.items())), stems)
+        key = (array("I", sorted(node << 2 | used for node, used in nodes.items())).tobytes(), stems)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -128,7 +134,7 @@ class FuzzyTrie:
             if nodes.get(node, 99) > used:
                 nodes[node] = used
 
-        for item in items:
+        for item in array("I", items):
             node, used = item >> 2, item & 3
             child = self.children[node].get(letter)
             if child is not None:
@@ -144,9 +150,6 @@ class FuzzyTrie:
         self.steps[state][letter] = to
         return to
 
-    def _by_stem(self, state: int, word: str) -> float:
-        return max((weight for letters, weight in self.sets[state][1] if len(word) <= letters + REACH), default=0.0)
-
     def match(self, word: str) -> tuple[float, float]:
         """The largest weight of an exact (or stem) hit and of a misspelled one; zero if none."""
         if len(self.sets) > STATES:
@@ -156,9 +159,11 @@ class FuzzyTrie:
             to = steps[state].get(letter)
             state = self._next(state, letter) if to is None else to
             if not self.sets[state][0]:  # no term can follow, however long the word is
-                return self._by_stem(state, word), 0.0
-        items, exact, fuzzy = self.sets[state][0], self._by_stem(state, word), 0.0
-        for item in items:
+                stems = self.sets[state][1]
+                return (_reached(stems, len(word)) if stems else 0.0), 0.0
+        items, stems = self.sets[state]
+        exact, fuzzy = _reached(stems, len(word)) if stems else 0.0, 0.0
+        for item in array("I", items):
             node, used = item >> 2, item & 3
             weight = self.word[node]
             if weight is not None:
