@@ -185,6 +185,13 @@ def rolling_merge(spark, sf_dir):
     return merged.select("recording_id", F.array_join(F.col("tokens.tok"), " ").alias("text"))
 
 
+@query(None)
+def revised_merge(spark, sf_dir):
+    """The fold over frames whose words are cut short, misread and corrected, in chunks; a test folds them plainly."""
+    merged = st.rolling_merge(fx.revised_windows(spark, sf_dir), chunk_frames=64, warm_frames=24)
+    return merged.select("recording_id", "n_frames", F.size("tokens").cast("long").alias("n"), F.array_join(F.col("tokens.tok"), " ").alias("text"))
+
+
 @query(rf"""WITH words AS (
   SELECT conv_id AS recording_id, turn, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS tok FROM (SELECT conv_id, turn, regexp_split_to_array(text, '\s+') AS w FROM conversations)
 ), tokens AS (SELECT *, {_KEY.format(x="tok")} AS key FROM words), {_said_once("tokens", "recording_id, turn")}

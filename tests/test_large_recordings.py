@@ -12,8 +12,11 @@ from callweave.cli import main
 from callweave.operators import attribution as att
 from callweave.operators import levels as lv
 from callweave.operators import stitch as st
+from callweave.plans import capture
+from callweave.sources import fixtures as fx
 from callweave.sources import wav
 
+SF = "/root/testdata/sf0.001"
 FRAMES = "recording_id string, frame_no long, tokens array<struct<is_spk:boolean,tok:string>>"
 
 
@@ -57,6 +60,16 @@ def test_chunked_merge_is_the_fold(spark, chunk, warm, tail, vocabulary):
     assert st.rolling_merge(spark.createDataFrame([], FRAMES)).collect() == []
 
 
+def test_revised_frames_of_the_query(spark):
+    frames = {}
+    for r in fx.revised_windows(spark, SF).collect():
+        frames.setdefault(r["recording_id"], {})[r["frame_no"]] = [tuple(t) for t in r["tokens"]]
+    found = {r["recording_id"]: (r["n_frames"], r["n"], r["text"]) for r in capture.revised_merge(spark, SF).collect()}
+    whole = {r: plain_fold([f[i] for i in sorted(f)]) for r, f in frames.items()}
+    assert found == {r: (len(frames[r]), len(t), " ".join(x for _, x in t)) for r, t in whole.items()}
+    assert max(map(len, frames.values())) > 64
+
+
 def test_first_span_that_holds_a_line(spark):
     rng = random.Random(4)
     names = ["Ann", "Bob", "You", "", None]
