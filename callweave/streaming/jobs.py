@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,25 +72,36 @@ def new_files(spark: SparkSession, folder: str, schema: str, *, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def _timeline(runs: list[list], debounce: float, grace: float) -> list[list]:
-    """Raw runs (start, end, kind, who) to entries (start, end, kind, who, first raw run), gaps included."""
-    out: list[list] = []
-    for i, (start, end, kind, who) in enumerate(runs):
-        if out and kind != "gap" and end - start < debounce and runs[i - 1][2] != "gap":
-            out[-1][1] = end
-        elif out and out[-1][2:4] == [kind, who]:
-            out[-1][1] = end
-        else:
-            out.append([start, end, kind, who, i])
-    i = 1
-    while i + 1 < len(out):
-        (_, _, before, a, _), (start, end, kind, _, _), (_, last, after, b, _) = out[i - 1 : i + 2]
-        if kind == "gap" and end - start < grace and before == after == "name" and a == b:
-            out[i - 1][1] = last
-            del out[i : i + 2]
-        else:
-            i += 1
-    return out
+def _joined(runs: pd.DataFrame, begins: pd.Series) -> pd.DataFrame:
+    """Runs joined to the last one that begins an entry, whose key and place are kept."""
+    first = begins.to_numpy(bool)
+    first[:1] = True
+    return runs[first].assign(end=runs["end"].to_numpy()[np.append(first[1:], True)[: len(runs)]]).reset_index(drop=True)
+
+
+def _timeline(runs: list[list], debounce: float, grace: float) -> pd.DataFrame:
+    """Raw runs (start, end, kind, who) to entries (start, end, kind, who, place of the first raw run), gaps included.
+
+    The closed form of ``operators.timeline`` over the few runs that are not settled.
+    """
+    t = pd.DataFrame(runs, columns=["start", "end", "kind", "who"]).astype({"kind": object, "who": object})
+    t["place"] = range(len(t))
+    before = t["kind"].shift()
+    t = _joined(t, ~((t["kind"] != "gap") & (t["end"] - t["start"] < debounce) & before.notna() & (before != "gap")))
+    key = t["kind"] + "\0" + t["who"].fillna("\0")
+    t = _joined(t, key != key.shift())
+    around = (t["kind"].shift() == "name") & (t["kind"].shift(-1) == "name") & (t["who"].shift() == t["who"].shift(-1))
+    absorbed = (t["kind"] == "gap") & (t["end"] - t["start"] < grace) & around
+    return _joined(t, ~absorbed & ~absorbed.shift(fill_value=False))
+
+
+def settle(runs: list[list], ended: bool, debounce: float, grace: float) -> tuple[list[tuple], list[list]]:
+    """Rows (start, end, name, raw_ocr, unresolved) of the spans that no later frame can change, and the raw runs after them."""
+    entries = _timeline(runs, debounce, grace)
+    ready = len(entries) if ended else max(0, len(entries) - 2)
+    done = entries[:ready]
+    rows = [(round(s, 3), round(e, 3), who if kind == "name" else None, who, kind != "name") for s, e, kind, who in zip(done["start"], done["end"], done["kind"], done["who"], strict=True) if kind != "gap"]
+    return rows, [] if ended else runs[entries["place"][ready] :] if ready else runs
 
 
 def settled_spans(observations: DataFrame, *, fps: float = 2.0, debounce: float = 1.0, grace: float = 3.0) -> DataFrame:
@@ -112,13 +124,11 @@ def settled_spans(observations: DataFrame, *, fps: float = 2.0, debounce: float
                 runs[-1][1] = t + 1 / fps
             else:
                 runs.append([t, t + 1 / fps, kind, who])
-        entries = _timeline(runs, debounce, grace)
-        ready = len(entries) if ended else max(0, len(entries) - 2)
-        rows = [(name[0], round(s, 3), round(e, 3), who if kind == "name" else None, who, kind != "name") for s, e, kind, who, _ in entries[:ready] if kind != "gap"]
+        found, runs = settle(runs, ended, debounce, grace)
+        rows = [(name[0], *row) for row in found]
         if ended:
             state.remove()
         else:
-            runs = runs[entries[ready][4] :] if ready else runs
             columns = [list(c) for c in zip(*runs, strict=True)] if runs else [[], [], [], []]
             state.update((*columns, last))
         yield pd.DataFrame(rows, columns=["recording_id", "start", "end", "name", "raw_ocr", "unresolved"])
