@@ -2,6 +2,8 @@
 
 Media is decoded outside of Spark; the commands start from its structured by-products (SRT and transcript
 texts, OCR tables, observation and feature tables as Parquet) and handle any number of recordings at once.
+With --named each text is a file under its recording's name (<id>.txt, <id>-<label>-prosody.txt, <id>-faces.txt,
+transcripts/<id>-stitched.txt). The answers of a review are a CSV with a header: see ``attribution.reconcile``.
 Exit codes: 0 done, 1 nothing to do or a dead channel, 2 wrong usage.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings, parse_region
@@ -23,15 +25,29 @@ from .operators import prosody as pr
 from .operators import stitch as st
 from .operators import timeline as tl
 from .operators import transcript as tr
+from .sources import files
 from .sources import readers as rd
 from .sources import wav
 
 
+def _transcript() -> Column:
+    """Name of a recording's transcript, from which those of its other files are made."""
+    return F.concat("recording_id", F.lit(".txt"))
+
+
 def _wrong(message: str) -> int:
     print(f"error: {message}", file=sys.stderr)
     return 2
 
 
+def _deliver(texts: DataFrame, args, folder: str, name: Column) -> None:
+    """Texts as Spark's own output, or with --named as one file for each recording."""
+    if args.named:
+        files.write_named(texts.select(name.alias("name"), "text"), folder)
+    else:
+        tr.write_texts(texts, folder)
+
+
 def transcribe(spark: SparkSession, args) -> int:
     """SRT texts of both channels to one transcript for each recording that has none yet."""
     left = rd.whole_texts(spark, args.left).withColumn("channel", F.lit("left"))
@@ -48,7 +64,7 @@ def transcribe(spark: SparkSession, args) -> int:
     )
     ready = rows.join(work.filter("status = 'done'").select("recording_id"), "recording_id", "left_semi")
     named = ready.withColumn("label", F.when(F.col("channel") == "left", args.self_name).otherwise(args.caller))
-    tr.write_texts(tr.render(tr.merge_channels(named)), args.out)
+    _deliver(tr.render(tr.merge_channels(named)), args, args.out, _transcript())
     if args.list:
         tr.in_batch_order(work, descending=args.descending).write.option("header", True).csv(args.list)
     n = tr.batch_summary(work).first()
@@ -90,7 +106,11 @@ def attribute(spark: SparkSession, args) -> int:
         lines = rd.parse_transcript(rd.whole_texts(spark, args.transcript))
         spans = spans.withColumn("recording_id", F.col("recording_id").cast("string"))
         done = att.resolve(lines, spans, lag=args.lag, self_name=args.self_name, caller=args.caller, callers=args.callers)
-        tr.write_texts(tr.render(done), f"{args.out}/transcripts")
+        if args.in_place:
+            names = rd.file_names(spark, args.transcript)
+            files.write_named(tr.render(done).join(names, "recording_id"), args.transcript)
+        else:
+            _deliver(tr.render(done), args, f"{args.out}/transcripts", _transcript())
         att.coverage(done, args.caller).write.json(f"{args.out}/coverage")
     return 0
 
@@ -106,7 +126,7 @@ def stitch(spark: SparkSession, args) -> int:
         return 1
     lines = cp.caption_lines(words)
     frames = st.frame_tokens(lines, mt.caption_speakers(lines, _roster(spark, args.roster), self_name=args.self_name))
-    tr.write_texts(st.stitched_texts(st.turns(st.stitched(frames))), args.out)
+    _deliver(st.stitched_texts(st.turns(st.stitched(frames))), args, args.out, tr.stitched_path(_transcript()))
     return 0
 
 
@@ -131,7 +151,7 @@ def affect(spark: SparkSession, args) -> int:
     tagged = scored.withColumn("tag", pr.tag({n: F.col(f"z_{n}") for n in pr.FEATURES}, F.col("f0_slope")))
     noted = pr.annotate(theirs, tagged.withColumn("line_no", F.col("utt")))
     text = noted.withColumn("text", F.concat("text", F.when(F.col("tag") == "", "").otherwise(F.concat(F.lit("  "), F.col("tag")))))
-    tr.write_texts(tr.render(text), f"{args.out}/transcripts")
+    _deliver(tr.render(text), args, f"{args.out}/transcripts", tr.prosody_path(_transcript(), F.lit(args.label)))
     pr.top_deviations(tagged, ["recording_id"], "utt", args.top).write.json(f"{args.out}/deviations")
     return 0
 
@@ -143,7 +163,7 @@ def faces(spark: SparkSession, args) -> int:
             parse_region(args.tile)
         except ValueError:
             return _wrong("--tile must be x,y,w,h in full-frame pixels")
-    tr.write_texts(fc.report(spark.read.parquet(args.samples)), args.out)
+    _deliver(fc.report(spark.read.parquet(args.samples)), args, args.out, tr.faces_path(_transcript()))
     return 0
 
 
@@ -167,6 +187,8 @@ def parser() -> argparse.ArgumentParser:
         for name in required:
             p.add_argument(f"--{name}", required=True)
         p.add_argument("--self-name", default=base.self_label)
+        if fn is not callcheck:
+            p.add_argument("--named", action="store_true", help="texts as one file for each recording, under its name")
         p.set_defaults(run=fn)
         return p
 
@@ -181,6 +203,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--caller", default=base.caller_label)
     p.add_argument("--callers", type=int)
     p.add_argument("--bail", action="store_true")
+    p.add_argument("--in-place", action="store_true", help="the transcripts themselves are rewritten, all or none by a failing job")
     for name, value in (("fps", base.fps), ("debounce", base.debounce_seconds), ("grace", base.grace_bridge_seconds), ("lag", base.caption_lag_seconds)):
         p.add_argument(f"--{name}", type=float, default=value)
     command(stitch, "frames", "out").add_argument("--roster")

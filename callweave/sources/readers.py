@@ -24,10 +24,21 @@ def roster_candidates(rosters: DataFrame) -> DataFrame:
     return members.select("member_ord", F.col("m.canonical").alias("canonical"), F.explode(names).alias("candidate"))
 
 
+def file_name() -> Column:
+    """Plain name of the file that a row was read from; Spark gives it as part of a URI."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(recording_id, value): one row for each file, named by its stem."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("recording_id"), "value")
+    return raw.select(stem(file_name()).alias("recording_id"), "value")
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    """(recording_id, name) of files, their contents not read; ``recording_id`` as ``whole_texts`` names them."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(stem(file_name()).alias("recording_id"), file_name().alias("name"))
 
 
 def stem(path: Column) -> Column:
