@@ -5,7 +5,10 @@ word pairs are counted over every text under 64-bit keys; nothing is pruned, has
 one machine, and the counts grow with the input. Documents are dealt into buckets of bounded text. A bucket
 sends its distinct keys with their own counts, packed, to the ranges of keys; a range adds up what all buckets
 hold of it and answers each with the totals in the order of its keys; the answers meet the bucket's documents
-again. The loss of a word is -log of
+again. Over ``1 << FAN_BITS`` buckets or ranges this goes by levels: a node of a level adds up the keys of one
+wider range for one group of nodes below and sends on by narrower ranges, and totals come back the same way. So a
+bucket makes at most that many packed rows a level, and their number is linear in the input but for the number of
+levels (2 at 30 GB, 3 at 1 TB). The loss of a word is -log of
 
     0.6 c(v, w) / c(v) + 0.39 c(w) / N + 0.01 / V        (v: the word before; pairs within a text)
 
@@ -32,6 +35,8 @@ from .textnp import Words, mixed
 BUCKET = 8 << 20
 #: Bytes of text whose keys make one range on average.
 RANGE = 16 << 20
+#: Bits of a key that a level of the exchange tells apart; as many nodes are added up in one.
+FAN_BITS = 6
 #: Words that a task gathers before it hands its counts on.
 GATHERED = 4 << 20
 PAIR, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
@@ -100,6 +105,78 @@ def _size(rows: DataFrame, marks: DataFrame | None):
     return float(t or 0), float(b or 0), max(n, 1)
 
 
+ASKED = "grp long, pre long, to_grp long, to_pre long, n long, keys binary, t binary, b binary"
+ANSWERED = "grp long, pre long, to_pre long, n long, t binary, b binary"
+
+
+def _bits_at(buckets: int, bits: int) -> list[int]:
+    """Leading bits of a key that are settled at each level, from 0 to ``bits``: the shape of the exchange.
+
+    At level k a node holds one range of keys for 2**(k * FAN_BITS) buckets, at the last for all.
+    """
+    depth = max(1, -(-bits // FAN_BITS), -(-(buckets - 1).bit_length() // FAN_BITS))
+    return [min(bits, level * FAN_BITS) for level in range(depth + 1)]
+
+
+def _asks(keys: np.ndarray, t: np.ndarray, b: np.ndarray, grp: int, pre: int, known: int, wanted: int, group_bits: int) -> pa.Table:
+    """A node's sorted keys, which share ``known`` leading bits, with their counts as one packed row for each range by ``wanted`` bits."""
+    step = wanted - known
+    first = pre << step
+    edges = np.arange(first, first + (1 << step), dtype=np.uint64) << np.uint64(64 - wanted) if wanted else np.zeros(1, np.uint64)
+    at = np.append(np.searchsorted(keys, edges), len(keys))
+    many = np.diff(at)
+    full = np.flatnonzero(many)
+    packed = [pa.array([_packed(x[at[r] : at[r + 1]]) for r in full], pa.binary()) for x in (keys, t, b)]
+    alike = (pa.array(np.full(len(full), x, np.int64)) for x in (grp, pre, grp >> group_bits))
+    return pa.table([*alike, pa.array(full.astype(np.int64) + first), pa.array(many[full].astype(np.int64)), *packed], names=["grp", "pre", "to_grp", "to_pre", "n", "keys", "t", "b"])
+
+
+def _arrays(rows: pa.Table, *names: str) -> list[list[np.ndarray]]:
+    many = rows.column("n").to_pylist()
+    return [[_unpacked(data, n) for data, n in zip(rows.column(name).to_pylist(), many, strict=True)] for name in names]
+
+
+def _replies(asks: pa.Table, at: np.ndarray, totals: list[np.ndarray]) -> pa.Table:
+    """What each row of ``asks`` is told: the totals, at the places ``at``, in the order of its keys."""
+    ends = np.cumsum(asks.column("n").to_numpy())[:-1]
+    packed = [pa.array([_packed(x) for x in np.split(total[at], ends)], pa.binary()) for total in totals]
+    return pa.table([*(asks.column(c) for c in ("grp", "pre", "to_pre", "n")), *packed], names=["grp", "pre", "to_pre", "n", "t", "b"])
+
+
+def _told(answers: pa.Table) -> list[np.ndarray]:
+    """Totals in the order of the keys that were asked for."""
+    return [np.concatenate(x or [np.empty(0, np.uint64)]).astype(np.int64) for x in _arrays(answers.sort_by("to_pre"), "t", "b")]
+
+
+def _sent_on(asks: DataFrame, known: int, wanted: int) -> DataFrame:
+    """What nodes, having added up what reached them, ask of the level above."""
+    group_bits = FAN_BITS
+
+    def add(got: pa.Table) -> pa.Table:
+        keys, t, b = _arrays(got, "keys", "t", "b")
+        return _asks(*_tally(keys, t, b), got.column("to_grp")[0].as_py(), got.column("to_pre")[0].as_py(), known, wanted, group_bits)
+
+    return asks.groupBy("to_grp", "to_pre").applyInArrow(add, ASKED)
+
+
+def _answers(asks: DataFrame, levels: list[int]) -> DataFrame:
+    """The totals over all buckets for each row of ``asks``, which nodes with the first of ``levels`` settled have to answer."""
+
+    def final(got: pa.Table) -> pa.Table:
+        keys, t, b = _arrays(got, "keys", "t", "b")
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return _replies(got, at, [np.bincount(at, np.concatenate(x)).astype(np.int64) for x in (t, b)])
+
+    def handed_down(got: pa.Table, answers: pa.Table) -> pa.Table:
+        _, at = np.unique(np.concatenate(_arrays(got, "keys")[0]), return_inverse=True)
+        return _replies(got, at, _told(answers))
+
+    if len(levels) == 1:
+        return asks.groupBy("to_grp", "to_pre").applyInArrow(final, ANSWERED)
+    above = _answers(_sent_on(asks, *levels[:2]), levels[1:])
+    return asks.groupBy("to_grp", "to_pre").cogroup(above.groupBy("grp", "pre")).applyInArrow(handed_down, ANSWERED)
+
+
 def _parts(rows: pa.Table):
     for batch in rows.to_batches():
         yield from steps(batch, text_sizes(batch.column("__text")))
@@ -151,8 +228,10 @@ def _scores(rows: DataFrame, kept: list[T.StructField], leave_own_out: bool, siz
     if marks is not None:
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
         spoken = spoken.unionByName(marks.select(*nothing, *_row(F.lit(None).cast("string"), F.lit(0), F.lit(0), False, F.col("__h"))))
-    dealt = spoken.withColumn("__bucket", F.pmod("__h", F.lit(n_bytes // BUCKET + 1)))
-    bits = (n_bytes // RANGE).bit_length()
+    buckets = n_bytes // BUCKET + 1
+    dealt = spoken.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    levels = _bits_at(buckets, (n_bytes // RANGE).bit_length())
+    wanted, group_bits = levels[1], FAN_BITS
 
     def keys_of(bucket: pa.Table):
         """Distinct keys of a bucket in order, with their counts in it."""
@@ -167,37 +246,15 @@ def _scores(rows: DataFrame, kept: list[T.StructField], leave_own_out: bool, siz
                 into.append(np.bincount(at, part.column(name).to_numpy()[doc], len(found)))
         return _tally(keys, t, b)
 
-    def cuts(keys: np.ndarray) -> np.ndarray:
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
-        return np.append(np.searchsorted(keys, edges), len(keys))
-
     def asked(bucket: pa.Table) -> pa.Table:
-        keys, t, b = keys_of(_flagged(bucket))
-        at = cuts(keys)
-        full = np.flatnonzero(np.diff(at))
-        packed = [[_packed(x[at[r] : at[r + 1]]) for r in full] for x in (keys, t, b)]
-        number = bucket.column("__bucket")[0].as_py()
-        return pa.table(
-            [pa.array(full.astype(np.int64)), pa.array(np.full(len(full), number, np.int64)), pa.array(np.diff(at)[full]), *(pa.array(p, pa.binary()) for p in packed)],
-            names=["range", "__bucket", "n", "keys", "t", "b"],
-        )
-
-    def answered(asks: pa.Table) -> pa.Table:
-        many = asks.column("n").to_pylist()
-        keys, t, b = ([_unpacked(data, n) for data, n in zip(asks.column(c).to_pylist(), many, strict=True)] for c in ("keys", "t", "b"))
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.cumsum(many)[:-1]
-        totals = [[_packed(x) for x in np.split(np.bincount(at, np.concatenate(w))[at].astype(np.int64), ends)] for w in (t, b)]
-        return pa.table([asks.column("__bucket"), asks.column("range"), asks.column("n"), *(pa.array(x, pa.binary()) for x in totals)], names=["__bucket", "range", "n", "t", "b"])
+        return _asks(*keys_of(_flagged(bucket)), bucket.column("__bucket")[0].as_py(), 0, 0, wanted, group_bits)
 
     def scored(bucket: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = _flagged(bucket)
         if not pc.any(bucket.column("__scored")).as_py():
             return pa.Table.from_batches([], kinds)
         keys = keys_of(bucket)[0]
-        answers = answers.sort_by("range")
-        many = answers.column("n").to_pylist()
-        models = [np.concatenate([_unpacked(data, n) for data, n in zip(answers.column(c).to_pylist(), many, strict=True)] or [np.empty(0)]).astype(np.float64) for c in ("t", "b")]
+        models = [x.astype(np.float64) for x in _told(answers)]
         made = []
         for part in _parts(bucket):
             words = Words(part.column("__text"))
@@ -219,9 +276,9 @@ def _scores(rows: DataFrame, kept: list[T.StructField], leave_own_out: bool, siz
             made.append(whole.filter(part.column("__scored")))
         return pa.Table.from_batches(made, kinds)
 
-    asks = dealt.groupBy("__bucket").applyInArrow(asked, "range long, __bucket long, n long, keys binary, t binary, b binary")
-    answers = asks.groupBy("range").applyInArrow(answered, "__bucket long, range long, n long, t binary, b binary")
-    return dealt.groupBy("__bucket").cogroup(answers.groupBy("__bucket")).applyInArrow(scored, schema).unionByName(wordless)
+    asks = dealt.groupBy("__bucket").applyInArrow(asked, ASKED)
+    answers = _answers(asks, levels[1:])
+    return dealt.groupBy("__bucket").cogroup(answers.groupBy("grp")).applyInArrow(scored, schema).unionByName(wordless)
 
 
 def _kept(docs: DataFrame, text: str) -> list[T.StructField]:

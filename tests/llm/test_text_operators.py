@@ -194,6 +194,38 @@ def test_counts_are_those_of_words_whatever_their_number(spark, monkeypatch):
     assert lm.cross_entropy_difference(docs.filter("doc_id >= 30"), docs, docs).filter("n_words = 0 and difference is null").count() == 2
 
 
+def test_exchange_by_levels(spark, monkeypatch):
+    """Many small buckets and ranges: equal scores, and packed rows linear in the input at each level, not buckets times ranges."""
+    rng = random.Random(11)
+    names = ["n_words", "target_loss", "background_loss", "difference"]
+    asked = []
+    answers = lm._answers
+
+    def counted(asks, levels):
+        asked.append(asks.count())
+        return answers(asks, levels)
+
+    for n_docs in (40, 160):
+        texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(120)) for _ in range(n_docs)] + [None, "", "alone"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        ids = docs.filter("doc_id % 3 = 0").select("doc_id")
+        plain = {r["doc_id"]: tuple(r[n] for n in names) for r in lm.score_within(docs, ids).collect()}
+        with monkeypatch.context() as small:
+            small.setattr(lm, "BUCKET", 500)
+            small.setattr(lm, "RANGE", 250)
+            small.setattr(lm, "FAN_BITS", 2)
+            n_bytes = sum(len(t or "") for t in texts)
+            buckets, ranges = n_bytes // 500 + 1, 1 << (n_bytes // 250).bit_length()
+            shape = lm._bits_at(buckets, ranges.bit_length() - 1)
+            assert len(shape) > 3 and 1 << shape[-1] == ranges
+            small.setattr(lm, "_answers", counted)
+            asked.clear()
+            found = {r["doc_id"]: tuple(r[n] for n in names) for r in lm.score_within(docs, ids).collect()}
+        assert found == plain
+        assert len(asked) == len(shape) - 1 and all(0 < rows <= (buckets + ranges) * 4 for rows in asked)
+    assert lm._bits_at(1, 0) == [0, 0] and lm._bits_at(3_840, 11) == [0, 6, 11] and lm._bits_at(131_072, 16) == [0, 6, 12, 16]
+
+
 def test_cross_entropy_query(spark):
     """Each document by counts of all others: the target without itself, the background without itself."""
     texts = {r["doc_id"]: words_of(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
