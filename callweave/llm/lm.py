@@ -8,7 +8,7 @@ hold of it and answers each with the totals in the order of its keys; the answer
 again. Over ``1 << FAN_BITS`` buckets or ranges this goes by levels: a node of a level adds up the keys of one
 wider range for one group of nodes below and sends on by narrower ranges, and totals come back the same way. So a
 bucket makes at most that many packed rows a level, and their number is linear in the input but for the number of
-levels (2 at 30 GB, 3 at 1 TB). The loss of a word is -log of
+levels. The loss of a word is -log of
 
     0.6 c(v, w) / c(v) + 0.39 c(w) / N + 0.01 / V        (v: the word before; pairs within a text)
 
@@ -35,8 +35,9 @@ from .textnp import Words, mixed
 BUCKET = 8 << 20
 #: Bytes of text whose keys make one range on average.
 RANGE = 16 << 20
-#: Bits of a key that a level of the exchange tells apart; as many nodes are added up in one.
-FAN_BITS = 6
+#: Bits of a key that a level of the exchange tells apart; 2**FAN_BITS nodes are added up in one. The wider, the fewer
+#: levels, each of which writes the counts again: one up to 8 GB of text, two up to 8 TB, while a row still packs a thousand keys.
+FAN_BITS = 10
 #: Words that a task gathers before it hands its counts on.
 GATHERED = 4 << 20
 PAIR, UNIGRAM, FLOOR = 0.6, 0.39, 0.01

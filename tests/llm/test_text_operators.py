@@ -223,6 +223,7 @@ def test_exchange_by_levels(spark, monkeypatch):
             found = {r["doc_id"]: tuple(r[n] for n in names) for r in lm.score_within(docs, ids).collect()}
         assert found == plain
         assert len(asked) == len(shape) - 1 and all(0 < rows <= (buckets + ranges) * 4 for rows in asked)
+    monkeypatch.setattr(lm, "FAN_BITS", 6)
     assert lm._bits_at(1, 0) == [0, 0] and lm._bits_at(3_840, 11) == [0, 6, 11] and lm._bits_at(131_072, 16) == [0, 6, 12, 16]
 
 
