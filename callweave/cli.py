@@ -130,14 +130,51 @@ def stitch(spark: SparkSession, args) -> int:
     return 0
 
 
+def _bad_tile(args) -> bool:
+    try:
+        if args.tile:
+            parse_region(args.tile)
+    except ValueError:
+        return True
+    return False
+
+
+def _face_reports(spark: SparkSession, path: str, args, folder: str) -> bool:
+    """Writes the reports of face samples, timed or numbered by frame; whether there were any."""
+    samples = spark.read.parquet(path)
+    if "t" not in samples.columns:
+        samples = samples.withColumn("t", F.col("frame_index") / F.lit(args.faces_fps))
+    if samples.isEmpty():
+        return False
+    _deliver(fc.report(samples), args, folder, tr.faces_path(_transcript()))
+    return True
+
+
 def affect(spark: SparkSession, args) -> int:
-    """Utterance features, or pitch frames by channel, to annotated transcripts and the utterances that deviate most."""
-    if bool(args.features) == bool(args.frames):
+    """Utterance features, or pitch frames by channel, to annotated transcripts and the utterances that deviate most; face samples to reports.
+
+    With --faces alone the reports are all that is made; beside a transcript both are, and either counts as done.
+    """
+    spoken = bool(args.transcript or args.features or args.frames)
+    if spoken and not args.transcript:
+        return _wrong("--transcript is needed")
+    if spoken and bool(args.features) == bool(args.frames):
         return _wrong("one of --features and --frames is needed")
+    if not spoken and not args.faces:
+        return _wrong("--transcript or --faces is needed")
+    if _bad_tile(args):
+        return _wrong("--tile must be x,y,w,h in full-frame pixels")
+    seen = bool(args.faces) and _face_reports(spark, args.faces, args, f"{args.out}/faces")
+    heard = spoken and _prosody(spark, args)
+    return int(not (seen or heard))
+
+
+def _prosody(spark: SparkSession, args) -> bool:
+    """Writes annotated transcripts and deviations; whether any line has the label."""
     lines = rd.parse_transcript(rd.whole_texts(spark, args.transcript))
     theirs = lines.filter(F.col("label") == args.label)
     if theirs.isEmpty():
-        return 1
+        return False
     if args.features:
         features = spark.read.parquet(args.features)
     else:
@@ -153,18 +190,14 @@ def affect(spark: SparkSession, args) -> int:
     text = noted.withColumn("text", F.concat("text", F.when(F.col("tag") == "", "").otherwise(F.concat(F.lit("  "), F.col("tag")))))
     _deliver(tr.render(text), args, f"{args.out}/transcripts", tr.prosody_path(_transcript(), F.lit(args.label)))
     pr.top_deviations(tagged, ["recording_id"], "utt", args.top).write.json(f"{args.out}/deviations")
-    return 0
+    return True
 
 
 def faces(spark: SparkSession, args) -> int:
     """Face samples to reports."""
-    if args.tile:
-        try:
-            parse_region(args.tile)
-        except ValueError:
-            return _wrong("--tile must be x,y,w,h in full-frame pixels")
-    _deliver(fc.report(spark.read.parquet(args.samples)), args, args.out, tr.faces_path(_transcript()))
-    return 0
+    if _bad_tile(args):
+        return _wrong("--tile must be x,y,w,h in full-frame pixels")
+    return int(not _face_reports(spark, args.samples, args, args.out))
 
 
 def callcheck(spark: SparkSession, args) -> int:
@@ -207,13 +240,16 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("fps", base.fps), ("debounce", base.debounce_seconds), ("grace", base.grace_bridge_seconds), ("lag", base.caption_lag_seconds)):
         p.add_argument(f"--{name}", type=float, default=value)
     command(stitch, "frames", "out").add_argument("--roster")
-    p = command(affect, "transcript", "out")
-    for name in ("features", "frames"):
+    p = command(affect, "out")
+    for name in ("transcript", "features", "frames"):
         p.add_argument(f"--{name}")
+    p.add_argument("--faces", help="face samples, for the reports on faces")
     p.add_argument("--channel", choices=("left", "right"))
     p.add_argument("--label", default=base.caller_label)
     p.add_argument("--top", type=int, default=10)
-    command(faces, "samples", "out").add_argument("--tile")
+    for each in (p, command(faces, "samples", "out")):
+        each.add_argument("--tile", help="the part of the picture that the samples were taken from; checked only")
+        each.add_argument("--faces-fps", type=float, default=2.0, help="samples a second, where they have frame_index and no t")
     p = command(callcheck, "files").add_mutually_exclusive_group()
     p.add_argument("--fast", action="store_true")
     p.add_argument("--full", action="store_true")

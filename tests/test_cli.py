@@ -94,6 +94,39 @@ def test_faces(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o")).count() > 3
 
 
+def test_affect_with_faces(spark, tmp_path):
+    """One command: reports alone, reports beside annotated transcripts, samples numbered by frame."""
+    samples = fx.face_samples(spark, SF).filter("recording_id < 3")
+    samples.write.parquet(str(tmp_path / "s"))
+    samples.withColumn("frame_index", F.round(F.col("t") * 2).cast("long")).filter("abs(frame_index - t * 2) < 1e-9").write.parquet(str(tmp_path / "timed"))
+    spark.read.parquet(str(tmp_path / "timed")).drop("t").write.parquet(str(tmp_path / "counted"))
+    samples.limit(0).write.parquet(str(tmp_path / "none"))
+
+    def reports(folder):
+        return sorted((r["recording_id"], r["value"]) for r in spark.read.text(str(folder)).collect())
+
+    assert main(["faces", "--samples", str(tmp_path / "s"), "--out", str(tmp_path / "o")]) == 0
+    assert main(["affect", "--faces", str(tmp_path / "s"), "--out", str(tmp_path / "o1"), "--tile", "1,2,3"]) == 2
+    assert main(["affect", "--faces", str(tmp_path / "s"), "--out", str(tmp_path / "o1"), "--tile", "1,2,3,4"]) == 0
+    assert reports(tmp_path / "o1" / "faces") == reports(tmp_path / "o")
+    assert not (tmp_path / "o1" / "transcripts").exists()
+    for name in ("timed", "counted"):
+        assert main(["affect", "--faces", str(tmp_path / name), "--out", str(tmp_path / f"o-{name}"), "--faces-fps", "2"]) == 0
+    assert len(reports(tmp_path / "o-timed" / "faces")) > 3
+    assert reports(tmp_path / "o-timed" / "faces") == reports(tmp_path / "o-counted" / "faces")
+    assert main(["affect", "--faces", str(tmp_path / "none"), "--out", str(tmp_path / "o2")]) == 1
+    assert main(["affect", "--out", str(tmp_path / "o2")]) == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "call.txt").write_text("".join(f"[0:00:{3 * i:02d}] [Caller] some words of line {i}\n" for i in range(16)))
+    pitch = [("call", "right", i / 10, 100.0 + i % 7, 50.0) for i in range(480)]
+    spark.createDataFrame(pitch, "recording_id string, channel string, t double, f0 double, intensity double").write.parquet(str(tmp_path / "f"))
+    both = ["affect", "--faces", str(tmp_path / "s"), "--transcript", str(tmp_path / "in"), "--frames", str(tmp_path / "f"), "--named"]
+    assert main([*both, "--out", str(tmp_path / "o3")]) == 0
+    assert list((tmp_path / "o3" / "transcripts").glob("call-*-prosody.txt"))
+    assert {p.name for p in (tmp_path / "o3" / "faces").glob("*-faces.txt")} == {f"{i}-faces.txt" for i in {r[0] for r in reports(tmp_path / "o")}}
+    assert main(["affect", "--faces", str(tmp_path / "s"), "--transcript", str(tmp_path / "in"), "--out", str(tmp_path / "o4")]) == 2
+
+
 def test_callcheck(spark, tmp_path, capsys):
     with wave.open(str(tmp_path / "call.wav"), "wb") as f:
         f.setnchannels(2)
