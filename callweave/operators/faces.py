@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fixed
+
 
 def smile(left: Column, right: Column) -> Column:
     """Mean of both sides; a missing side is zero."""
@@ -65,7 +67,7 @@ def nods(samples: DataFrame, *, window: float = 2.0, amplitude: float = 1.5, rev
 
 
 def tag(z: Column, nodding: Column) -> Column:
-    bits = F.concat_ws(" · ", F.when(F.abs(z) >= 0.75, F.concat(F.lit("smile "), F.format_string("%+.1f", z), F.lit("σ"))), F.when(nodding, "nodding"))
+    bits = F.concat_ws(" · ", F.when(F.abs(z) >= 0.75, F.concat(F.lit("smile "), fixed(z, 1, "+"), F.lit("σ"))), F.when(nodding, "nodding"))
     return F.when(bits == "", "").otherwise(F.concat(F.lit("{"), bits, F.lit("}")))
 
 
@@ -75,11 +77,11 @@ def report(samples: DataFrame) -> DataFrame:
 
     base, bins = smile_baseline(samples), smile_bins(samples)
     at = (F.col("bin") * 30).cast("long")
-    line = F.concat(F.lit("  ["), short_clock(at), F.lit("-"), short_clock(at + 30), F.lit("]  "), F.format_string("%.3f", "mean_smile"), F.when(F.col("nodding"), " + nodding").otherwise(""))
+    line = F.concat(F.lit("  ["), short_clock(at), F.lit("-"), short_clock(at + 30), F.lit("]  "), fixed(F.col("mean_smile"), 3), F.when(F.col("nodding"), " + nodding").otherwise(""))
     middle = nods(samples).select("recording_id", (F.col("t") - 15).alias("at"), "nodding")
     marked = bins.join(middle, (bins["recording_id"] == middle["recording_id"]) & (F.col("bin") * 30.0 == F.col("at")), "left").select(bins["recording_id"], "place", "bin", "mean_smile", F.coalesce("nodding", F.lit(False)).alias("nodding"))
     listed = marked.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
     head = F.concat(F.lit("facial affect track: "), F.col("recording_id").cast("string"), F.lit("\nface detected in "), F.col("detected").cast("string"), F.lit("/"), F.col("total").cast("string"),
-                    F.lit(" frames; baseline smile "), F.format_string("%.3f", "smile_mean"), F.lit(" (sd "), F.format_string("%.3f", "smile_sd"), F.lit(")\n\nwarmest 30s windows (mean raw smile vs baseline):\n"))
+                    F.lit(" frames; baseline smile "), fixed(F.col("smile_mean"), 3), F.lit(" (sd "), fixed(F.col("smile_sd"), 3), F.lit(")\n\nwarmest 30s windows (mean raw smile vs baseline):\n"))
     rows = base.join(listed, "recording_id", "left")
     return rows.select("recording_id", F.concat(head, F.coalesce(F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""), F.lit(""))).alias("text"))
