@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fixed
+
 FEATURES = ("f0_med", "f0_range", "f0_slope", "energy", "rate")
 
 
@@ -43,13 +45,28 @@ def pitch_features(frames: DataFrame, keys: list[str]) -> DataFrame:
     return counted.select(*keys, F.when(enough, F.col("mid")).alias("f0_med"), F.when(enough, high - low).alias("f0_range"), (n / F.greatest(F.lit(1), F.col("total"))).alias("voiced_frac"))
 
 
+def _slope(points: Column) -> Column:
+    """Least squares of ``f0`` over ``t`` by running moments in the order of time; zero without spread.
+
+    A slope of exactly 20 is marked and one a last digit below is not; these steps give the last digits of the SQL's ``regr_slope`` in most cases.
+    """
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "t", "f", "both", "spread")))
+
+    def fold(s, p):
+        n, dt = s["n"] + 1, p["t"] - s["t"]
+        t, f = s["t"] + dt / n, s["f"] + (p["f0"] - s["f"]) / n
+        return F.struct(n.alias("n"), t.alias("t"), f.alias("f"), (s["both"] + dt * (p["f0"] - f)).alias("both"), (s["spread"] + (p["t"] - t) * dt).alias("spread"))
+
+    return F.aggregate(F.array_sort(points), zero, fold, lambda s: F.when(s["spread"] > 0, (s["both"] / s["n"]) / (s["spread"] / s["n"])).otherwise(0.0))
+
+
 def terminal_slope(frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, f0_slope): least squares over the last two fifths of the voiced frames, three at least."""
     w = Window.partitionBy(*keys)
     voiced = frames.filter("f0 is not null").withColumns({"nth": F.row_number().over(w.orderBy("t")) - 1, "n": F.count("*").over(w)})
     tail = voiced.filter((F.col("n") >= 8) & (F.col("nth") >= F.floor(F.col("n") * 0.6)))
-    fitted = tail.groupBy(*keys).agg(F.coalesce(F.regr_slope("f0", "t"), F.lit(0.0)).alias("slope"), F.count("*").alias("n"))
-    return fitted.select(*keys, F.when(F.col("n") >= 3, F.col("slope")).alias("f0_slope"))
+    fitted = tail.groupBy(*keys).agg(F.collect_list(F.struct("t", "f0")).alias("points"))
+    return fitted.select(*keys, F.when(F.size("points") >= 3, _slope(F.col("points"))).alias("f0_slope"))
 
 
 def voiced_energy(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,16 +92,15 @@ def utterance_features(frames: DataFrame, keys: list[str], extra: tuple[Column,
     marked = frames.withColumns({"n": F.count("f0").over(w), "nth": so_far - 1, "lo": F.min(at).over(w), "hi": F.max(at).over(w)})
     tail = spoken & (F.col("n") >= 8) & (F.col("nth") >= F.floor(F.col("n") * 0.6))
     heard = (F.col("lo").isNull() | F.col("t").between(F.col("lo"), F.col("hi"))) & ~F.isnan("intensity") & (F.col("intensity") != 0)
-    slope = F.coalesce(F.regr_slope(F.when(tail, F.col("f0")), F.when(tail, F.col("t"))), F.lit(0.0))
     made = marked.groupBy(*keys).agg(
         *extra, F.sort_array(F.collect_list("f0")).alias("f"), F.count("f0").alias("voiced"), F.count("*").alias("total"), F.median("f0").alias("mid"),
-        F.when(F.count_if(tail) >= 3, slope).alias("f0_slope"), F.avg(F.when(heard, F.col("intensity"))).alias("energy"),
+        F.collect_list(F.when(tail, F.struct("t", "f0"))).alias("points"), F.avg(F.when(heard, F.col("intensity"))).alias("energy"),
     )
     n = F.col("voiced")
     low = F.element_at("f", (F.greatest(F.lit(0), F.floor(n * 0.1).cast("int") - 1) + 1).cast("int"))
     high = F.element_at("f", (F.least(n.cast("int") - 1, F.floor(n * 0.9).cast("int")) + 1).cast("int"))
-    kept = [c for c in made.columns if c not in ("f", "voiced", "total", "mid", "f0_slope", "energy")]
-    return made.select(*kept, F.when(n >= 8, F.col("mid")).alias("f0_med"), F.when(n >= 8, high - low).alias("f0_range"), (n / F.greatest(F.lit(1), F.col("total"))).alias("voiced_frac"), "f0_slope", "energy")
+    kept = [c for c in made.columns if c not in ("f", "voiced", "total", "mid", "points", "energy")]
+    return made.select(*kept, F.when(n >= 8, F.col("mid")).alias("f0_med"), F.when(n >= 8, high - low).alias("f0_range"), (n / F.greatest(F.lit(1), F.col("total"))).alias("voiced_frac"), F.when(F.size("points") >= 3, _slope(F.col("points"))).alias("f0_slope"), "energy")
 
 
 def zscores(features: DataFrame, by: list[str], *, min_duration: float = 1.5, names: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -108,7 +124,7 @@ def zscores(features: DataFrame, by: list[str], *, min_duration: float = 1.5, na
 
 def tag(z: dict[str, Column], slope: Column) -> Column:
     """``{pitch +1.4σ · rising · energy +0.9σ}``, or an empty string."""
-    shown = lambda name, label, least: F.when(F.abs(z[name]) >= least, F.concat(F.lit(f"{label} "), F.format_string("%+.1f", z[name]), F.lit("σ")))
+    shown = lambda name, label, least: F.when(F.abs(z[name]) >= least, F.concat(F.lit(f"{label} "), fixed(z[name], 1, "+"), F.lit("σ")))
     bits = F.concat_ws(
         " · ",
         shown("f0_med", "pitch", 0.5),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from callweave.operators import faces as fc
+from callweave.operators import prosody as pr
 from callweave.operators.shared import fixed
 
 
@@ -15,3 +16,8 @@ def test_fixed_is_the_format_of_python(spark):
 def test_report_of_a_mean_at_half_a_step(spark):
     samples = spark.createDataFrame([(1, i * 0.5, 0.0905, 0.0) for i in range(16)], "recording_id long, t double, smile double, pitch_deg double")
     assert f"baseline smile {0.0905:.3f} (sd" in fc.report(samples).first()["text"] and f"{0.0905:.3f}" == "0.090"
+
+
+def test_tag_of_a_score_at_half_a_step(spark):
+    z = {n: F.lit(0.85 if n == "energy" else 0.0) for n in pr.FEATURES}
+    assert spark.range(1).select(pr.tag(z, F.lit(0.0)).alias("t")).first()["t"] == "{energy +0.8σ}"
