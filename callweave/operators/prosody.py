@@ -141,9 +141,12 @@ def largest_z(names: tuple[str, ...] = FEATURES) -> Column:
 
 
 def top_deviations(scored: DataFrame, by: list[str], order: str, n: int = 10, min_duration: float = 2.0) -> DataFrame:
-    """The ``n`` utterances of each speaker that deviate most (ties: the earlier first)."""
+    """The ``n`` utterances of each speaker that deviate most (ties: the earlier first).
+
+    Deviations that differ by the rounding of their sums only, as those of two utterances equally far from the mean, are ties.
+    """
     rows = scored.withColumn("deviation", largest_z()).filter(F.col("deviation").isNotNull() & (F.col("duration") >= F.lit(float(min_duration))))
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("deviation"), order))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("deviation", 9).desc(), order))
     return rows.withColumn("place", nth).filter(F.col("place") <= n)
 
 

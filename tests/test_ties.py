@@ -21,3 +21,9 @@ def test_report_of_a_mean_at_half_a_step(spark):
 def test_tag_of_a_score_at_half_a_step(spark):
     z = {n: F.lit(0.85 if n == "energy" else 0.0) for n in pr.FEATURES}
     assert spark.range(1).select(pr.tag(z, F.lit(0.0)).alias("t")).first()["t"] == "{energy +0.8σ}"
+
+
+def test_equal_deviations_the_earlier_first(spark):
+    rows = [("r", 4, 1.2247448713915894, 3.0), ("r", 1, -1.2247448713915887, 3.0), ("r", 7, 1.3, 3.0)]
+    scored = spark.createDataFrame(rows, "recording_id string, utt long, z double, duration double").select("*", *(F.col("z").alias(f"z_{n}") for n in pr.FEATURES))
+    assert [r["utt"] for r in pr.top_deviations(scored, ["recording_id"], "utt").orderBy("place").collect()] == [7, 1, 4]
