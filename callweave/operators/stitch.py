@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,24 +69,82 @@ def overlap(tail: list[str], frame: list[str], anchor: int = ANCHOR) -> int:
     return known
 
 
-def _folded(pdf: pd.DataFrame, start: list[str] | None, anchor: int, tail: int) -> pd.DataFrame:
-    """One chunk's frames folded: from ``start``, or from what its frames of warming up come to."""
-    pdf = pdf.sort_values("frame_no", kind="stable")
-    own = pdf[pdf["own"]]
-    if own.empty:
-        return pd.DataFrame(columns=["recording_id", "chunk", "n_frames", "marks", "toks", "start", "end"])
-    keys: list[str] = []
-    for k in pdf["keys"][~pdf["own"]] if start is None else ():
-        keys = (keys + list(k[overlap(keys, list(k), anchor) if keys else 0 :]))[-tail:]
-    begun = keys = keys if start is None else start
-    marks, toks = [], []
-    for m, t, k in zip(own["marks"], own["toks"], own["keys"], strict=True):
-        at = overlap(keys, list(k), anchor) if keys else 0
-        marks += list(m[at:])
-        toks += list(t[at:])
-        keys = (keys + list(k[at:]))[-tail:]
-    first = own.iloc[0]
-    return pd.DataFrame({"recording_id": [first["recording_id"]], "chunk": [first["chunk"]], "n_frames": [len(own)], "marks": [marks], "toks": [toks], "start": [begun], "end": [keys]})
+class Tail:
+    """The keys that are merged already, and where each run of ``anchor`` of them stands: a frame is aligned by its own runs alone."""
+
+    def __init__(self, keys: list[str], anchor: int, tail: int):
+        self.keys, self.anchor, self.tail = [], anchor, tail
+        self.places: dict[tuple, list[int]] = {}
+        self.add(keys)
+
+    def add(self, keys: list[str]) -> None:
+        first = max(0, len(self.keys) - self.anchor + 1)
+        self.keys += keys
+        for i in range(first, len(self.keys) - self.anchor + 1):
+            self.places.setdefault(tuple(self.keys[i : i + self.anchor]), []).append(i)
+
+    def last(self) -> list[str]:
+        return self.keys[-self.tail :]
+
+    def overlap(self, frame: list[str]) -> int:
+        """``overlap(self.last(), frame)``: the last matching block of ``anchor`` or more is found by taking the longest common run
+        (of equals the first), then the longest one behind it in both, until none is long enough."""
+        n, low = self.anchor, max(0, len(self.keys) - self.tail)
+        runs, open_at = [], {}
+        for j in range(len(frame) - n + 1):
+            for i in reversed(self.places.get(tuple(frame[j : j + n]), ())):
+                if i < low:
+                    break
+                run = open_at.get(i - j)
+                if run and run[1] == j + n - 1:
+                    run[1] = j + n
+                else:
+                    run = open_at[i - j] = [j, j + n, i - j]
+                    runs.append(run)
+        known = 0
+        while True:
+            begun = [(max(j, known, low - d), end, d) for j, end, d in runs]
+            blocks = [(j - end, j + d, j, end, d) for j, end, d in begun if end - j >= n]
+            if not blocks:
+                return known
+            *_, known, d = min(blocks)
+            low = known + d
+
+
+def _folded(batches, anchor: int, tail: int):
+    """Chunks of sorted frames folded: from a given state (kind 0), or from what their frames of warming up (kind 1) come to."""
+    at, state, begun, n, marks, toks, rows = None, None, None, 0, [], [], []
+    types = {}
+
+    def flushed():
+        columns = list(zip(*rows, strict=True))
+        arrays = [pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(arrays, list(types))
+
+    for batch in batches:
+        own = {f.name: f.type for f in batch.schema}
+        types = {"recording_id": own["recording_id"], "chunk": pa.int64(), "n_frames": pa.int64(), "marks": own["marks"], "toks": own["toks"], "start": own["keys"], "end": own["keys"]}
+        for rec, chunk, kind, m, t, k in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "chunk", "kind", "marks", "toks", "keys")), strict=True):
+            if at != (rec, chunk):
+                if n:
+                    rows.append((*at, n, marks, toks, begun, state.last()))
+                at, state, begun, n, marks, toks = (rec, chunk), Tail(k if kind == 0 else [], anchor, tail), None, 0, [], []
+            if kind == 0:
+                continue
+            if kind == 2:
+                begun = state.last() if begun is None else begun
+            new = state.overlap(k)
+            state.add(k[new:])
+            if kind == 2:
+                n += 1
+                marks += m[new:]
+                toks += t[new:]
+        if rows:
+            yield flushed()
+    if n:
+        rows.append((*at, n, marks, toks, begun, state.last()))
+        yield flushed()
 
 
 def rolling_merge(frames: DataFrame, *, anchor: int = ANCHOR, tail: int = TAIL, chunk_frames: int = 1024, warm_frames: int = 96) -> DataFrame:
@@ -94,28 +153,34 @@ def rolling_merge(frames: DataFrame, *, anchor: int = ANCHOR, tail: int = TAIL,
     The merge looks back over ``tail`` tokens only, so these are all its state. Stretches of ``chunk_frames`` frame numbers are folded
     by themselves, each after the last ``warm_frames`` of the one before, which mostly come to the state that the whole recording would
     have there. Where a chunk's first state is not the last one of the chunk before, it is folded again from that one, until all agree: the
-    result is that of one fold over the recording, though no task ever holds more than a chunk. The merged tokens of a recording are one row.
+    result is that of one fold over the recording, though no task ever holds more than a chunk. Chunks are sorted runs of rows, so a
+    task takes many of them one after another. The merged tokens of a recording are one row.
     """
     key = frames.schema["recording_id"].dataType.simpleString()
     schema = f"recording_id {key}, chunk long, n_frames long, marks array<boolean>, toks array<string>, start array<string>, end array<string>"
     number = F.floor(F.col("frame_no") / chunk_frames).cast("long")
-    here, ahead = F.struct(number.alias("chunk"), F.lit(True).alias("own")), F.struct((number + 1).alias("chunk"), F.lit(False).alias("own"))
+    here, ahead = F.struct(number.alias("chunk"), F.lit(2).alias("kind")), F.struct((number + 1).alias("chunk"), F.lit(1).alias("kind"))
     warms = F.pmod(F.col("frame_no"), F.lit(chunk_frames)) >= chunk_frames - warm_frames
     dealt = frames.select(
         "recording_id", "frame_no", F.col("tokens.is_spk").alias("marks"), F.col("tokens.tok").alias("toks"), keys_of(F.col("tokens")).alias("keys"),
         F.explode(F.when(warms, F.array(here, ahead)).otherwise(F.array(here))).alias("at"),
-    ).select("recording_id", "at.chunk", "at.own", "frame_no", "marks", "toks", "keys")
-    chunks = written(dealt.groupBy("recording_id", "chunk").applyInPandas(lambda pdf: _folded(pdf, None, anchor, tail), schema))
+    ).select("recording_id", "at.chunk", "at.kind", "frame_no", "marks", "toks", "keys")
+
+    def fold(rows):
+        runs = rows.repartition("recording_id", "chunk").sortWithinPartitions("recording_id", "chunk", "kind", "frame_no")
+        return written(runs.mapInArrow(lambda batches: _folded(batches, anchor, tail), schema))
+
+    chunks = fold(dealt)
     before = F.coalesce(F.lag("end").over(Window.partitionBy("recording_id").orderBy("chunk")), F.array().cast("array<string>"))
     while True:
-        linked = chunks.withColumn("before", before)
+        linked = chunks.select("recording_id", "chunk", "start", "end").withColumn("before", before)
         wrong = written(linked.filter(F.col("start") != F.col("before")).select(F.col("recording_id").alias("rec"), F.col("chunk").alias("no"), "before"))
         if wrong.isEmpty():
             break
         meets = F.col("recording_id").eqNullSafe(F.col("rec")) & (F.col("chunk") == F.col("no"))
-        states = wrong.groupBy("rec", "no")
-        own = dealt.filter("own").join(wrong.select("rec", "no"), meets, "left_semi").groupBy("recording_id", "chunk")
-        again = own.cogroup(states).applyInPandas(lambda pdf, at: _folded(pdf, list(at["before"].iloc[0]), anchor, tail), schema)
+        nothing = [F.array().cast(t).alias(c) for t, c in (("array<boolean>", "marks"), ("array<string>", "toks"))]
+        states = wrong.select(F.col("rec").alias("recording_id"), F.col("no").alias("chunk"), F.lit(0).alias("kind"), F.lit(None).cast(dealt.schema["frame_no"].dataType).alias("frame_no"), *nothing, F.col("before").alias("keys"))
+        again = fold(dealt.filter("kind = 2").join(wrong.select("rec", "no"), meets, "left_semi").unionByName(states))
         chunks = written(chunks.join(wrong.select("rec", "no"), meets, "left_anti").unionByName(again))
     tokens = F.arrays_zip(F.col("marks").alias("is_spk"), F.col("toks").alias("tok")).cast(TOKENS)
     whole = chunks.groupBy("recording_id").agg(F.sum("n_frames").alias("n_frames"), F.array_sort(F.collect_list(F.struct("chunk", tokens.alias("tokens")))).alias("all"))

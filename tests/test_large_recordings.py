@@ -163,3 +163,14 @@ def test_levels_of_ranges_are_those_of_the_samples(spark, tmp_path):
         mean, peak = max(10 * np.log10((w[:, 0] ** 2).mean()) for w in windows), max(20 * np.log10(np.abs(w[:, 0]).max()) for w in windows)
         assert np.allclose(got[0], (mean, peak), atol=1e-9)
         assert got[1] == ((float("-inf"),) * 2 if forced == "full" else (-91.0, -91.0))
+
+
+def test_runs_find_the_block_that_alignment_finds():
+    rng = random.Random(3)
+    for _ in range(3000):
+        words = [f"w{i}" for i in range(rng.choice((1, 2, 3, 6, 20)))]
+        anchor, tail = rng.choice((1, 2, 3, 4)), rng.choice((5, 20, 40, 400))
+        keys, frame = ([rng.choice(words) for _ in range(rng.randrange(n))] for n in (70, 25))
+        state = st.Tail(keys[:10], anchor, tail)
+        state.add(keys[10:])
+        assert state.overlap(frame) == (st.overlap(keys[-tail:], frame, anchor) if keys else 0), (keys, frame, anchor, tail)
