@@ -9,7 +9,6 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,25 +217,45 @@ def _said_again(codes: np.ndarray, n: int) -> np.ndarray:
 def kept_after_stutter(keys: list[str], longest: int = 8) -> list[int]:
     """Places left once phrases of up to ``longest`` words that are repeated at once are said only once, the last time."""
     number = {"": -1}
-    codes = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+    return _kept_places(np.array([number.setdefault(k, len(number)) for k in keys], np.int64), longest).tolist()
+
+
+def _kept_places(codes: np.ndarray, longest: int = 8) -> np.ndarray:
     places = np.arange(len(codes))
     before = -1
     while before != len(places):
         before = len(places)
         for n in range(longest, 0, -1):
             places = places[~_said_again(codes[places], n)]
-    return places.tolist()
+    return places
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def stutter_flags(keys: pd.Series) -> pd.Series:
-    """Which tokens stay."""
+PORTION = 200_000
 
-    def flags(k):
-        kept = set(kept_after_stutter(list(k)))
-        return [i in kept for i in range(len(k))]
 
-    return keys.map(flags)
+def _flags(keys: pa.Array, portion: int = PORTION) -> pa.Array:
+    """Which tokens stay, of many token lists: words as numbers that no two lists share, some ``portion`` of tokens (or one list) at a time."""
+    ends = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    values, flags, done = keys.flatten(), [], 0
+    while done < len(ends):
+        first = int(ends[done - 1]) if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, first + portion, "right")))
+        words = values.slice(first, int(ends[upto - 1]) - first).dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        silent = np.array([w == "" for w in words.dictionary.to_pylist()] + [False])[codes]
+        row = np.repeat(np.arange(upto - done), np.diff(ends[done:upto], prepend=first))
+        stays = np.zeros(len(codes), bool)
+        stays[_kept_places(np.where(silent, -1, codes + row * (len(words.dictionary) + 1)))] = True
+        flags.append(stays)
+        done = upto
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def stutter_flags(keys: pa.Array) -> pa.Array:
+    """Which tokens stay."""
+    return _flags(keys)
 
 
 def without_stutter(df: DataFrame, tokens: str = "tokens") -> DataFrame:

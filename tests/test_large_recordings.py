@@ -174,3 +174,14 @@ def test_runs_find_the_block_that_alignment_finds():
         state = st.Tail(keys[:10], anchor, tail)
         state.add(keys[10:])
         assert state.overlap(frame) == (st.overlap(keys[-tail:], frame, anchor) if keys else 0), (keys, frame, anchor, tail)
+
+
+@pytest.mark.parametrize("portion", [1, 10, 1000])
+def test_stutter_of_many_recordings_in_portions(portion):
+    import pyarrow as pa
+
+    rng = random.Random(portion)
+    for _ in range(100):
+        rows = [None if rng.random() < 0.05 else [rng.choice(("a", "b", "c", "", "d")) for _ in range(rng.randrange(40))] for _ in range(rng.randrange(12))]
+        found = st._flags(pa.array([["zz"], *rows], pa.list_(pa.string())).slice(1), portion).to_pylist()
+        assert found == [[i in set(st.kept_after_stutter(r or [])) for i in range(len(r or []))] for r in rows]
